@@ -19,7 +19,7 @@ from ledgerloom.plans.dimensions import CONFORMED_TS, DIMENSION_NAMES, dimension
 from ledgerloom.plans.rules import RULES  # noqa: E402
 from ledgerloom.sources import landing  # noqa: E402
 from ledgerloom.sources.contracts import CONTRACTS, contract  # noqa: E402
-from ledgerloom.sources.driver_tables import derive, raw_tables  # noqa: E402
+from ledgerloom.sources.driver_tables import RawTables  # noqa: E402
 from ledgerloom.sources.scratch import scratch_folder  # noqa: E402
 from ledgerloom.streaming.append import append_new  # noqa: E402
 
@@ -37,14 +37,14 @@ MART_SIDES = (*ACCOUNT_LINE, "t001", "tvko", "tvtw", "tspa")
 
 def raw_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_folder(spark, "roundtrip")
-    path = landing.land(derive(spark, sf_dir, "ACDOCA"), "ACDOCA", root)
+    path = landing.land(RawTables(spark, sf_dir)["acdoca"], "ACDOCA", root)
     return landing.read_strict(spark, "ACDOCA", path, add_metadata=False)
 
 
 def raw_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_folder(spark, "tables")
-    for source in CONTRACTS:
-        landing.land(derive(spark, sf_dir, source), source, root)
+    for name, table in RawTables(spark, sf_dir).items():
+        landing.land(table, name.upper(), root)
 
     def size(source: str) -> DataFrame:
         cells = contract(source).fieldNames()
@@ -62,7 +62,7 @@ def raw_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_folder(spark, "lineage")
-    landing.land(derive(spark, sf_dir, "ACDOCA"), "ACDOCA", root)
+    landing.land(RawTables(spark, sf_dir)["acdoca"], "ACDOCA", root)
     return landing.ingest(spark, "ACDOCA", root).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count(landing.INGESTION_TS).alias("rows_with_load_time"),
@@ -77,7 +77,7 @@ def raw_permissive_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(damaged, F.concat(line, F.lit(",surplus"))).otherwise(line)
     path = f"{scratch_folder(spark, 'rescue')}/ACDOCA.csv"
     # One text column under the extract's header line; the separator occurs nowhere in it.
-    extract = derive(spark, sf_dir, "ACDOCA").select(text.alias(",".join(cells)))
+    extract = RawTables(spark, sf_dir)["acdoca"].select(text.alias(",".join(cells)))
     extract.write.option("header", True).option("sep", "\u0001").csv(path)
     return landing.read_rescued(spark, "ACDOCA", path, landing.IngestOptions(add_metadata=False))
 
@@ -93,7 +93,7 @@ def raw_unregistered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_folder(spark, "append")
     table = f"{root}/acdoca"
-    journal = derive(spark, sf_dir, "ACDOCA")
+    journal = RawTables(spark, sf_dir)["acdoca"]
     late = F.col("MONAT") > "06"
     for batch in (journal.filter(~late), journal.filter(late)):
         landing.land(batch, "ACDOCA", f"{root}/landed", mode="append")
@@ -110,8 +110,8 @@ def layer_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     for schema in (names.bronze_schema, names.silver_schema, names.gold_schema):
         spark.sql(f"CREATE SCHEMA {names.catalog}.{schema} LOCATION '{root}/{schema}'")
     settings = layers.Settings(names=names, paths=layers.Paths(volumes=f"{root}/landed"))
-    for source in CONTRACTS:
-        landing.land(derive(spark, sf_dir, source), source, settings.paths.raw_root(names))
+    for name, table in RawTables(spark, sf_dir).items():
+        landing.land(table, name.upper(), settings.paths.raw_root(names))
     layers.refresh(spark, settings)
     return layers.read_layer(spark, names, "gold", pnl.MART).drop(pnl.MART_TS)
 
@@ -120,40 +120,40 @@ def layer_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dim(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dimension(name, raw_tables(spark, sf_dir)).drop(CONFORMED_TS)
+    return dimension(name, RawTables(spark, sf_dir)).drop(CONFORMED_TS)
 
 
 def posting(only: tuple[str, ...] | None, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.postings(raw_tables(spark, sf_dir), only).drop(CONFORMED_TS)
+    return postings.postings(RawTables(spark, sf_dir), only).drop(CONFORMED_TS)
 
 
 # Data quality --------------------------------------------------------------------------
 
 
 def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_tables(spark, sf_dir)
+    raw = RawTables(spark, sf_dir)
     reports_ = [report(dimension_rows(name, raw), RULES[name], name) for name in DIMENSION_NAMES]
     reports_.append(postings.posting_report(raw))
-    mart = pnl.mart_rows(pnl.direct_lines_from_journal(raw))
+    mart = pnl.mart_rows(pnl.direct_sums_from_journal(raw))
     reports_.append(report(mart, RULES[pnl.MART], pnl.MART))
     return reduce(DataFrame.unionByName, reports_)
 
 
 def dq_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = RULES[postings.FACT]
-    lines = postings.journal_lines(derive(spark, sf_dir, "ACDOCA"))
+    lines = postings.journal_lines(RawTables(spark, sf_dir)["acdoca"])
     counted, observation = observe(lines, rules, "journal rules")
     enforce(counted, rules).write.format("noop").mode("overwrite").save()
     return spark.createDataFrame(list(observation.get.items()), "metric string, value bigint")
 
 
 def dq_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = postings.journal_lines(derive(spark, sf_dir, "ACDOCA"))
+    lines = postings.journal_lines(RawTables(spark, sf_dir)["acdoca"])
     return enforce(lines, RULES[postings.FACT])
 
 
 def dq_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = postings.journal_lines(derive(spark, sf_dir, "ACDOCA"))
+    lines = postings.journal_lines(RawTables(spark, sf_dir)["acdoca"])
     rows = quarantine(lines, RULES[postings.FACT])
     return rows.withColumn("failed_rules", F.array_join("failed_rules", ","))
 
@@ -162,7 +162,7 @@ def dq_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pnl.direct_lines_from_journal(raw_tables(spark, sf_dir))
+    return pnl.direct_lines_from_journal(RawTables(spark, sf_dir))
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,11 +170,11 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pnl.profit_and_loss_from_journal(raw_tables(spark, sf_dir)).drop(pnl.MART_TS)
+    return pnl.profit_and_loss_from_journal(RawTables(spark, sf_dir)).drop(pnl.MART_TS)
 
 
 def mart_from_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = postings.postings(raw_tables(spark, sf_dir), MART_SIDES)
+    facts = postings.postings(RawTables(spark, sf_dir), MART_SIDES)
     return pnl.profit_and_loss(facts).drop(pnl.MART_TS)
 
 

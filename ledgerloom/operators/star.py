@@ -20,10 +20,11 @@ from ledgerloom.functions.conform import Source, typed
 BROADCAST_KEY = "ledgerloom.broadcast.bytes"
 BROADCAST_BYTES = 10 * 1024 * 1024
 
-# Size of the heavy-hitter sketch: it cannot miss a key with a thousandth of the rows.
+# Size of the heavy-hitter sketch: it cannot miss a key with half a percent of the rows.
 # What it misses is left to adaptive execution, which splits large partitions at run time.
-TRACKED_KEYS = 8192
+TRACKED_KEYS = 4096
 REPORTED_KEYS = 100
+SKETCH_GROUPS = 256
 
 _ROW_OVERHEAD = 64
 
@@ -126,29 +127,46 @@ def composite(columns: Sequence[str]) -> Column:
 def find_spread(fact: DataFrame, sides: Sequence[Side], partitions: int) -> dict[str, Spread]:
     """Find hot and missing keys of several joins in one pass over the fact's key columns.
 
-    A bounded sketch per join reports at most ``REPORTED_KEYS`` keys. A key is spread once
-    its rows fill more than two average partitions, in proportion to its share. What the
-    sketch reports decides only where rows travel, never which rows are joined.
+    Input partitions are taken together in groups; a bounded sketch per group and join
+    names the group's most frequent keys, whose counts are then added up. A key is spread
+    once its rows fill more than two average partitions, in proportion to its share. What
+    is found here decides only where rows travel, never which rows are joined.
     """
     if not sides:
         return {}
     keyed = fact.select(*[composite(list(side.on)).alias(side.name) for side in sides])
-    sketches = keyed.agg(
+    sketches = keyed.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))).agg(
         F.count(F.lit(1)).alias("__rows"),
         *[
             F.expr(f"approx_top_k(`{side.name}`, {REPORTED_KEYS}, {TRACKED_KEYS})").alias(side.name)
             for side in sides
         ],
-    ).first()
-    per_partition = max(1.0, sketches["__rows"] / partitions)
+    )
+
+    def counted(side: Side) -> Column:
+        return F.transform(
+            side.name,
+            lambda found: F.struct(F.lit(side.name).alias("side"), found["item"].alias("key"), found["count"].alias("n")),
+        )
+
+    total = F.struct(F.lit("").alias("side"), F.lit("").alias("key"), F.col("__rows").alias("n"))
+    frequent = (
+        sketches.select(F.inline(F.concat(F.array(total), *[counted(side) for side in sides])))
+        .groupBy("side", "key")
+        .agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "side", "key")
+        .limit(1 + REPORTED_KEYS * len(sides))
+        .collect()
+    )
+    counts: dict[str, dict[str | None, int]] = {"": {}, **{side.name: {} for side in sides}}
+    for row in frequent:
+        counts[row["side"]][row["key"]] = row["n"]
+    per_partition = max(1.0, counts[""].get("", 0) / partitions)
     spreads = {}
     for side in sides:
-        pieces = {
-            item["item"]: min(partitions, int(item["count"] / per_partition))
-            for item in sketches[side.name]
-        }
-        missing = pieces.pop(None, 1)
-        spreads[side.name] = Spread({k: n for k, n in pieces.items() if n > 1}, max(1, missing))
+        pieces = {key: min(partitions, int(n / per_partition)) for key, n in counts[side.name].items()}
+        missing = max(1, pieces.pop(None, 1))
+        spreads[side.name] = Spread({key: n for key, n in pieces.items() if n > 1}, missing)
     return spreads
 
 

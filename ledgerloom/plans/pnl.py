@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from functools import reduce
 from operator import add
 
@@ -48,92 +47,103 @@ SUBTOTALS: tuple[tuple[str, str, int, tuple[str, ...]], ...] = (
 )
 SUBTOTAL_TYPE = "calc"
 
-_LINE_NAMES = {"sort_order": "pnl_sort_order", "line_type": "pnl_line_type"}
+AMOUNT_EUR = "amount_eur"
 
 
-def _line_keys() -> list[Column]:
-    return [F.col(_LINE_NAMES.get(name, name)).alias(name) for name in LINE_COLUMNS]
+def line_keys() -> list[Column]:
+    """The line columns under the names they have in the mart."""
+    source = {"sort_order": "pnl_sort_order", "line_type": "pnl_line_type"}
+    return [F.col(source.get(name, name)).alias(name) for name in LINE_COLUMNS]
+
+
+def signed_amount() -> Column:
+    return F.sum(F.col("amount_group_currency") * F.col("pnl_sign")).alias(AMOUNT_EUR)
 
 
 def direct_lines(postings: DataFrame) -> DataFrame:
     """Signed amounts of mapped P&L postings per reporting group and line."""
-    return (
-        postings.filter("account_type = 'P&L' AND pnl_line_id IS NOT NULL")
-        .groupBy(*GROUP, *_line_keys())
-        .agg(F.sum(F.col("amount_group_currency") * F.col("pnl_sign")).alias("amount_eur"))
-    )
+    reported = postings.filter("account_type = 'P&L' AND pnl_line_id IS NOT NULL")
+    return reported.groupBy(*GROUP, *line_keys()).agg(signed_amount())
 
 
-def direct_lines_from_journal(raw: Raw) -> DataFrame:
-    """The same rows, straight from the raw tables.
+def direct_sums_from_journal(raw: Raw) -> DataFrame:
+    """Signed amounts straight from the raw tables, summed by key before names are joined.
 
-    Lines are summed by key before names are joined, so that only sums are shuffled and
-    joined. Grouping again by name afterwards needs no further shuffle, and keeps the sums
-    right where a key has several names.
+    Only sums are shuffled and named. Where a key has several names its sum appears under
+    each of them, as its postings would; the rows are therefore still to be added up.
     """
     lines = enforce(journal_lines(raw["acdoca"]), RULES[FACT])
     accounts = raw["ska1"].filter(account_type() == "P&L")
     mapped = raw[ACCOUNT_LINE.name].filter(F.col("PNL_LINE_ID").isNotNull())
-    mine = star(
+    reported = star(
         lines,
-        [
-            (SIDES["ska1"].only().required(), accounts),
-            (ACCOUNT_LINE.required(), mapped),
-        ],
+        [(SIDES["ska1"].only().required(), accounts), (ACCOUNT_LINE.required(), mapped)],
         SPREAD_BY,
     )
-    named = star(mine, [(LINE, raw[LINE.name])], SPREAD_BY)
-
-    sums = named.groupBy(*KEYS, *_line_keys()).agg(
-        F.sum(F.col("amount_group_currency") * F.col("pnl_sign")).alias("amount_eur")
-    )
+    sums = reported.groupBy(*KEYS, "pnl_line_id").agg(signed_amount())
     names = [
+        (LINE, raw[LINE.name]),
         (SIDES["t001"].only("company_name", "company_country"), raw["t001"]),
         (SIDES["tvtw"], raw["tvtw"]),
         (SIDES["tspa"], raw["tspa"]),
         (SIDES["tvko"], raw["tvko"]),
     ]
-    return (
-        star(sums, names, ("fiscal_year", "fiscal_period", "pnl_line_id"))
-        .groupBy(*GROUP, *LINE_COLUMNS)
-        .agg(F.sum("amount_eur").alias("amount_eur"))
-    )
+    return star(sums, names, ("fiscal_year", "fiscal_period")).select(*GROUP, *line_keys(), AMOUNT_EUR)
+
+
+def direct_lines_from_journal(raw: Raw) -> DataFrame:
+    """The same rows as :func:`direct_lines`, without building the posting fact."""
+    sums = direct_sums_from_journal(raw)
+    return sums.groupBy(*GROUP, *LINE_COLUMNS).agg(F.sum(AMOUNT_EUR).alias(AMOUNT_EUR))
+
+
+def part_sums() -> list[Column]:
+    """The parts of the subtotals; a line that is absent counts as zero."""
+    return [
+        F.sum(F.when(F.col("pnl_line_id").isin(*lines), F.col(AMOUNT_EUR)).otherwise(0)).alias(part)
+        for part, lines in PARTS.items()
+    ]
 
 
 def wide_lines(direct: DataFrame) -> DataFrame:
-    """One row per reporting group with the parts of its subtotals; an absent line counts as zero."""
-    return direct.groupBy(*GROUP).agg(
-        *[
-            F.sum(F.when(F.col("pnl_line_id").isin(*lines), F.col("amount_eur")).otherwise(0)).alias(part)
-            for part, lines in PARTS.items()
-        ]
-    )
+    """One row per reporting group with the parts of its subtotals."""
+    return direct.groupBy(*GROUP).agg(*part_sums())
 
 
-def subtotal(parts: Iterable[str]) -> Column:
-    return reduce(add, [F.col(part) for part in parts])
+def line_struct(line: Column, name: Column, position: Column, kind: Column, amount: Column) -> Column:
+    columns = zip((line, name, position, kind, amount), (*LINE_COLUMNS, AMOUNT_EUR), strict=True)
+    return F.struct(*[column.alias(alias) for column, alias in columns])
 
 
-def subtotal_lines(wide: DataFrame) -> DataFrame:
-    """Every reporting group's subtotals as rows."""
-    rows = F.array(
+def subtotal_lines() -> Column:
+    """All subtotals of a row that holds their parts."""
+    return F.array(
         *[
-            F.struct(
-                F.lit(line).alias("pnl_line_id"),
-                F.lit(name).alias("pnl_line_name"),
-                F.lit(position).alias("sort_order"),
-                F.lit(SUBTOTAL_TYPE).alias("line_type"),
-                subtotal(parts).alias("amount_eur"),
+            line_struct(
+                F.lit(line),
+                F.lit(name),
+                F.lit(position),
+                F.lit(SUBTOTAL_TYPE),
+                reduce(add, [F.col(part) for part in parts]),
             )
             for line, name, position, parts in SUBTOTALS
         ]
     )
-    return wide.select(*GROUP, F.inline(rows))
 
 
 def mart_rows(direct: DataFrame) -> DataFrame:
-    """Direct lines and subtotals, before the mart's rules are applied."""
-    return direct.unionByName(subtotal_lines(wide_lines(direct)))
+    """Direct lines and subtotals, before the mart's rules are applied.
+
+    One aggregation over two grouping sets yields the rows per line and the rows per
+    reporting group; the latter then become the four subtotals. The input is read once,
+    whichever lines are asked for afterwards.
+    """
+    both = direct.groupingSets([[*GROUP, *LINE_COLUMNS], [*GROUP]], *GROUP, *LINE_COLUMNS).agg(
+        F.grouping("pnl_line_id").alias("is_group"), F.sum(AMOUNT_EUR).alias(AMOUNT_EUR), *part_sums()
+    )
+    own_line = F.array(line_struct(*[F.col(c) for c in (*LINE_COLUMNS, AMOUNT_EUR)]))
+    rows = F.when(F.col("is_group") == 0, own_line).otherwise(subtotal_lines())
+    return both.select(*GROUP, F.inline(rows))
 
 
 def finished(rows: DataFrame) -> DataFrame:
@@ -148,4 +158,4 @@ def profit_and_loss(postings: DataFrame) -> DataFrame:
 
 def profit_and_loss_from_journal(raw: Raw) -> DataFrame:
     """The same mart straight from the raw tables, without building the fact."""
-    return finished(mart_rows(direct_lines_from_journal(raw)))
+    return finished(mart_rows(direct_sums_from_journal(raw)))
