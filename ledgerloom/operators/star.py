@@ -215,8 +215,8 @@ def star(
 ) -> DataFrame:
     """Join every dimension to the fact.
 
-    Joins by key come first, while rows are narrow; broadcast joins then add their columns
-    without moving rows again.
+    Joins by key come first, those that add least ahead of the others, while rows are
+    narrow; broadcast joins then add their columns without moving rows again.
     """
     spark = fact.sparkSession
     pairs = [(side, side.project(dim)) for side, dim in dims]
@@ -224,7 +224,7 @@ def star(
     large = [(side, dim) for side, dim in pairs if side.name not in small]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spreads = find_spread(fact, [side for side, _ in large], partitions)
-    for side, dim in large:
+    for side, dim in sorted(large, key=lambda pair: len(pair[0].columns)):
         fact = attach(fact, dim, side, spread=spreads[side.name], spread_by=spread_by)
     for side, dim in pairs:
         if side.name in small:

@@ -66,13 +66,13 @@ def direct_lines(postings: DataFrame) -> DataFrame:
     return reported.groupBy(*GROUP, *line_keys()).agg(signed_amount())
 
 
-def direct_sums_from_journal(raw: Raw) -> DataFrame:
+def direct_sums_from_journal(raw: Raw, lenient: bool = False) -> DataFrame:
     """Signed amounts straight from the raw tables, summed by key before names are joined.
 
     Only sums are shuffled and named. Where a key has several names its sum appears under
     each of them, as its postings would; the rows are therefore still to be added up.
     """
-    lines = enforce(journal_lines(raw["acdoca"]), RULES[FACT])
+    lines = enforce(journal_lines(raw["acdoca"], lenient), RULES[FACT])
     accounts = raw["ska1"].filter(account_type() == "P&L")
     mapped = raw[ACCOUNT_LINE.name].filter(F.col("PNL_LINE_ID").isNotNull())
     reported = star(
@@ -156,6 +156,6 @@ def profit_and_loss(postings: DataFrame) -> DataFrame:
     return finished(mart_rows(direct_lines(postings)))
 
 
-def profit_and_loss_from_journal(raw: Raw) -> DataFrame:
+def profit_and_loss_from_journal(raw: Raw, lenient: bool = False) -> DataFrame:
     """The same mart straight from the raw tables, without building the fact."""
-    return finished(mart_rows(direct_sums_from_journal(raw)))
+    return finished(mart_rows(direct_sums_from_journal(raw, lenient)))
