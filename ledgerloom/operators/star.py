@@ -1,9 +1,9 @@
 """Enrichment of a large fact with dimensions of any size.
 
-A dimension is broadcast only when its size is known to be small: by Catalyst's own
-estimate, or, where derived columns or aggregates make that estimate useless, by a count of
-its rows and bytes. Every other dimension is joined by key, and keys that hold a large share
-of the fact, as well as missing keys, are spread over many partitions.
+A dimension is broadcast only after its rows and bytes were counted and found few; an
+estimate from compressed files, or from before an aggregation, proves nothing. Every other
+dimension is joined by key, and keys that hold a large share of the fact, as well as missing
+keys, are spread over many partitions.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.conform import Source, typed
 
 BROADCAST_KEY = "ledgerloom.broadcast.bytes"
-BROADCAST_BYTES = 10 * 1024 * 1024
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 # Size of the heavy-hitter sketch: it cannot miss a key with half a percent of the rows.
 # What it misses is left to adaptive execution, which splits large partitions at run time.
@@ -26,7 +27,9 @@ TRACKED_KEYS = 4096
 REPORTED_KEYS = 100
 SKETCH_GROUPS = 256
 
-_ROW_OVERHEAD = 64
+# What a row, and each of its cells, takes in a broadcast table besides the text itself.
+ROW_BYTES = 48
+CELL_BYTES = 16
 
 
 @dataclass(frozen=True)
@@ -94,26 +97,31 @@ def measured_bytes(frames: Mapping[str, DataFrame]) -> dict[str, int]:
         return {}
 
     def size(name: str, df: DataFrame) -> DataFrame:
-        width = reduce(
-            lambda total, c: total + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)),
-            df.columns,
-            F.lit(_ROW_OVERHEAD),
-        )
-        return df.agg(
-            F.lit(name).alias("name"),
-            F.coalesce(F.sum(width.cast("bigint")), F.lit(0)).alias("bytes"),
-        )
+        cells = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
+        row = reduce(add, cells, F.lit(ROW_BYTES + CELL_BYTES * len(cells)).cast("bigint"))
+        return df.agg(F.lit(name).alias("name"), F.coalesce(F.sum(row), F.lit(0)).alias("bytes"))
 
     sizes = reduce(DataFrame.unionAll, [size(name, df) for name, df in frames.items()])
     return {row["name"]: row["bytes"] for row in sizes.collect()}
 
 
-def small_sides(spark: SparkSession, pairs: Sequence[tuple[Side, DataFrame]]) -> set[str]:
-    """Names of the sides whose size is known to be within the broadcast limit."""
+def join_hints(spark: SparkSession, dims: Sequence[tuple[Side, DataFrame]]) -> dict[str, str | None]:
+    """How each side is to be joined.
+
+    Sides that may be small are measured, all in one job: those within the limit are
+    broadcast, those beyond it never are. A side without a hint was too large to measure,
+    and is left to adaptive execution, which goes by actual sizes.
+    """
     limit = broadcast_limit(spark)
-    small = {side.name for side, dim in pairs if estimated_bytes(dim) <= limit}
-    unknown = {side.name: dim for side, dim in pairs if side.bounded and side.name not in small}
-    return small | {name for name, size in measured_bytes(unknown).items() if size <= limit}
+    projected = {side.name: side.project(dim) for side, dim in dims}
+    candidates = {
+        side.name: projected[side.name]
+        for side, _ in dims
+        if limit > 0 and (side.bounded or estimated_bytes(projected[side.name]) <= limit)
+    }
+    sizes = measured_bytes(candidates)
+    hints = {name: "broadcast" if size <= limit else "merge" for name, size in sizes.items()}
+    return {name: hints.get(name) for name in projected}
 
 
 def composite(columns: Sequence[str]) -> Column:
@@ -174,7 +182,7 @@ def attach(
     fact: DataFrame,
     dim: DataFrame,
     side: Side,
-    small: bool = False,
+    hint: str | None = None,
     spread: Spread = Spread(),
     spread_by: Sequence[str] = (),
 ) -> DataFrame:
@@ -184,51 +192,53 @@ def attach(
     per piece; rows without a key match nothing and are spread the same way. The piece
     number follows from the row and its partition, so a recomputed task gives the same one.
     """
-    if small:
-        dim = F.broadcast(dim)
-    if small or not spread:
+    if not spread:
         on = [F.col(left) == F.col(side.key(left)) for left in side.on]
-        return fact.join(dim, on, side.how).drop(*side.keys)
+        return fact.join(dim.hint(hint) if hint else dim, on, side.how).drop(*side.keys)
 
-    piece, right_piece = f"__{side.name}_piece", f"__{side.name}_pieces"
-    counts = F.create_map(*[F.lit(v) for pair in spread.hot.items() for v in pair]) if spread.hot else None
+    piece, dim_piece = f"__{side.name}_piece", f"__{side.name}_dim_piece"
+    hot = F.create_map(*[F.lit(v) for pair in spread.hot.items() for v in pair])
 
     def pieces(columns: Sequence[str]) -> Column:
-        return F.coalesce(F.try_element_at(counts, composite(columns)), F.lit(1)) if counts is not None else F.lit(1)
+        if not spread.hot:
+            return F.lit(1)
+        return F.coalesce(F.try_element_at(hot, composite(columns)), F.lit(1))
 
-    where = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in spread_by])
-    missing = composite(list(side.on)).isNull()
-    left = fact.withColumn(
-        piece,
-        F.pmod(where, F.when(missing, spread.missing).otherwise(pieces(list(side.on)))).cast("int"),
-    )
-    right = dim.withColumn(right_piece, F.explode(F.sequence(F.lit(0), pieces(side.keys) - 1)))
-    on = [F.col(name) == F.col(side.key(name)) for name in side.on]
-    joined = left.join(right, [*on, F.col(piece) == F.col(right_piece)], side.how)
-    return joined.drop(piece, right_piece, *side.keys)
+    own = list(side.on)
+    count = F.when(composite(own).isNull(), spread.missing).otherwise(pieces(own))
+    row = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in spread_by])
+    left = fact.withColumn(piece, F.pmod(row, count).cast("int"))
+    right = dim.withColumn(dim_piece, F.explode(F.sequence(F.lit(0), pieces(side.keys) - 1)))
+    right = right.hint(hint) if hint else right
+    on = [F.col(name) == F.col(side.key(name)) for name in own]
+    joined = left.join(right, [*on, F.col(piece) == F.col(dim_piece)], side.how)
+    return joined.drop(piece, dim_piece, *side.keys)
 
 
 def star(
     fact: DataFrame,
     dims: Sequence[tuple[Side, DataFrame]],
     spread_by: Sequence[str] = (),
+    hints: Mapping[str, str | None] | None = None,
 ) -> DataFrame:
     """Join every dimension to the fact.
 
     Joins by key come first, those that add least ahead of the others, while rows are
-    narrow; broadcast joins then add their columns without moving rows again.
+    narrow; broadcast joins then add their columns without moving rows again. Pass
+    ``hints`` where :func:`join_hints` was already called for more dimensions at once.
     """
     spark = fact.sparkSession
-    pairs = [(side, side.project(dim)) for side, dim in dims]
-    small = small_sides(spark, pairs)
-    large = [(side, dim) for side, dim in pairs if side.name not in small]
+    if hints is None:
+        hints = join_hints(spark, dims)
+    small = [(side, dim) for side, dim in dims if hints[side.name] == "broadcast"]
+    large = [(side, dim) for side, dim in dims if hints[side.name] != "broadcast"]
+    large.sort(key=lambda pair: len(pair[0].columns))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spreads = find_spread(fact, [side for side, _ in large], partitions)
-    for side, dim in sorted(large, key=lambda pair: len(pair[0].columns)):
-        fact = attach(fact, dim, side, spread=spreads[side.name], spread_by=spread_by)
-    for side, dim in pairs:
-        if side.name in small:
-            fact = attach(fact, dim, side, small=True)
+    for side, dim in large:
+        fact = attach(fact, side.project(dim), side, hints[side.name], spreads[side.name], spread_by)
+    for side, dim in small:
+        fact = attach(fact, side.project(dim), side, "broadcast")
     return fact
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.conform import Source, account_type, conform
 from ledgerloom.operators.quality import enforce
-from ledgerloom.operators.star import Side, star
+from ledgerloom.operators.star import Side, join_hints, star
 from ledgerloom.plans.rules import RULES
 
 Raw = Mapping[str, DataFrame]
@@ -154,8 +154,10 @@ def account(raw: Raw) -> DataFrame:
         F.col("KTOKS").alias("account_group"),
         account_type().alias("account_type"),
     )
-    mapped = star(master, [(ACCOUNT_LINE, raw[ACCOUNT_LINE.name])], spread_by=["account_name"])
-    lined = star(mapped, [(LINE, raw[LINE.name])], spread_by=["account_id"])
+    mapping, lines = [(side, raw[side.name]) for side in (ACCOUNT_LINE, LINE)]
+    hints = join_hints(master.sparkSession, [mapping, lines])
+    mapped = star(master, [mapping], ["account_name"], hints)
+    lined = star(mapped, [lines], ["account_id"], hints)
     return lined.select(
         *master.columns,
         "pnl_line_id",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.conform import account_type
 from ledgerloom.operators.quality import enforce
-from ledgerloom.operators.star import star
+from ledgerloom.operators.star import join_hints, star
 from ledgerloom.plans.dimensions import ACCOUNT_LINE, LINE, Raw
 from ledgerloom.plans.postings import FACT, JOURNAL, SIDES, SPREAD_BY, journal_lines
 from ledgerloom.plans.rules import RULES
@@ -73,14 +73,10 @@ def direct_sums_from_journal(raw: Raw, lenient: bool = False) -> DataFrame:
     each of them, as its postings would; the rows are therefore still to be added up.
     """
     lines = enforce(journal_lines(raw["acdoca"], lenient), RULES[FACT])
-    accounts = raw["ska1"].filter(account_type() == "P&L")
-    mapped = raw[ACCOUNT_LINE.name].filter(F.col("PNL_LINE_ID").isNotNull())
-    reported = star(
-        lines,
-        [(SIDES["ska1"].only().required(), accounts), (ACCOUNT_LINE.required(), mapped)],
-        SPREAD_BY,
-    )
-    sums = reported.groupBy(*KEYS, "pnl_line_id").agg(signed_amount())
+    accounts = [
+        (SIDES["ska1"].only().required(), raw["ska1"].filter(account_type() == "P&L")),
+        (ACCOUNT_LINE.required(), raw[ACCOUNT_LINE.name].filter(F.col("PNL_LINE_ID").isNotNull())),
+    ]
     names = [
         (LINE, raw[LINE.name]),
         (SIDES["t001"].only("company_name", "company_country"), raw["t001"]),
@@ -88,7 +84,10 @@ def direct_sums_from_journal(raw: Raw, lenient: bool = False) -> DataFrame:
         (SIDES["tspa"], raw["tspa"]),
         (SIDES["tvko"], raw["tvko"]),
     ]
-    return star(sums, names, ("fiscal_year", "fiscal_period")).select(*GROUP, *line_keys(), AMOUNT_EUR)
+    hints = join_hints(lines.sparkSession, [*accounts, *names])
+    sums = star(lines, accounts, SPREAD_BY, hints).groupBy(*KEYS, "pnl_line_id").agg(signed_amount())
+    named = star(sums, names, ("fiscal_year", "fiscal_period"), hints)
+    return named.select(*GROUP, *line_keys(), AMOUNT_EUR)
 
 
 def direct_lines_from_journal(raw: Raw) -> DataFrame:

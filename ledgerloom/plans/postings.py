@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.conform import AMOUNT, Source, account_type, conform
 from ledgerloom.operators.quality import enforce, report
-from ledgerloom.operators.star import Side, duplicated_sides, star
+from ledgerloom.operators.star import Side, duplicated_sides, join_hints, star
 from ledgerloom.plans.dimensions import ACCOUNT_LINE, CONFORMED_TS, LINE, Raw
 from ledgerloom.plans.rules import RULES
 from ledgerloom.sources.landing import INGESTION_TS, SOURCE_FILE
@@ -177,20 +177,28 @@ def journal_lines(acdoca: DataFrame, lenient: bool = False) -> DataFrame:
     return conform(acdoca, columns, lenient)
 
 
+def sides_of(raw: Raw, names: Collection[str] = tuple(SIDES)) -> list[tuple[Side, DataFrame]]:
+    return [(side, raw[name]) for name, side in SIDES.items() if name in names]
+
+
 def enrich(lines: DataFrame, raw: Raw, only: Collection[str] | None = None) -> DataFrame:
     """Journal lines with the columns of the other tables, or of ``only`` some of them.
 
     Leaving out tables whose columns are not needed saves their joins: Catalyst cannot, as
     it does not know that their keys are unique.
     """
-    names = list(SIDES) if only is None else [name for name in SIDES if name in only]
-    direct = [(SIDES[name], raw[name]) for name in names if name != LINE.name]
-    rows = star(lines, direct, SPREAD_BY)
-    if LINE.name in names:
-        rows = star(rows, [(LINE, raw[LINE.name])], SPREAD_BY)
+    names = tuple(SIDES) if only is None else only
+    sides = sides_of(raw, names)
+    hints = join_hints(lines.sparkSession, sides)
+    # P&L lines are found through the account, so they come after all the others.
+    for stage in (
+        [pair for pair in sides if pair[0] is not LINE],
+        [pair for pair in sides if pair[0] is LINE],
+    ):
+        lines = star(lines, stage, SPREAD_BY, hints)
     if "ska1" in names:
-        rows = rows.withColumn("account_type", F.coalesce("account_type", F.lit("OTHER")))
-    return rows
+        lines = lines.withColumn("account_type", F.coalesce("account_type", F.lit("OTHER")))
+    return lines
 
 
 def ordered(rows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -211,10 +219,6 @@ def postings(raw: Raw, only: Collection[str] | None = None, lenient: bool = Fals
     return rows.withColumn(CONFORMED_TS, F.current_timestamp())
 
 
-def sides_of(raw: Mapping[str, DataFrame], names: Collection[str] | None = None) -> list[tuple[Side, DataFrame]]:
-    return [(side, raw[name]) for name, side in SIDES.items() if names is None or name in names]
-
-
 def posting_report(raw: Raw) -> DataFrame:
     """Violations of the fact's rules.
 

@@ -74,7 +74,7 @@ def test_every_way_of_joining_gives_the_same_rows(spark, fact, dim, no_broadcast
     spread = find_spread(fact, [side], 30)[side.name]
     assert spread.hot and spread.missing > 1
     assert rows(attach(fact, projected, side)) == expected
-    assert rows(attach(fact, projected, side, small=True)) == expected
+    assert rows(attach(fact, projected, side, hint="broadcast")) == expected
     assert rows(attach(fact, projected, side, spread=spread, spread_by=["id"])) == expected
     assert rows(attach(fact, projected, side, spread=Spread({}, 5), spread_by=["id"])) == expected
     assert rows(star(fact, [(side, dim)], ["id"])) == expected
