@@ -96,13 +96,14 @@ def measured_bytes(frames: Mapping[str, DataFrame]) -> dict[str, int]:
     if not frames:
         return {}
 
-    def size(name: str, df: DataFrame) -> DataFrame:
+    def row_sizes(name: str, df: DataFrame) -> DataFrame:
         cells = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
-        row = reduce(add, cells, F.lit(ROW_BYTES + CELL_BYTES * len(cells)).cast("bigint"))
-        return df.agg(F.lit(name).alias("name"), F.coalesce(F.sum(row), F.lit(0)).alias("bytes"))
+        size = reduce(add, cells, F.lit(ROW_BYTES + CELL_BYTES * len(cells)).cast("bigint"))
+        return df.select(F.lit(name).alias("name"), size.alias("bytes"))
 
-    sizes = reduce(DataFrame.unionAll, [size(name, df) for name, df in frames.items()])
-    return {row["name"]: row["bytes"] for row in sizes.collect()}
+    rows = reduce(DataFrame.unionAll, [row_sizes(name, df) for name, df in frames.items()])
+    sizes = {row["name"]: row["bytes"] for row in rows.groupBy("name").agg(F.sum("bytes").alias("bytes")).collect()}
+    return {name: sizes.get(name, 0) for name in frames}
 
 
 def join_hints(spark: SparkSession, dims: Sequence[tuple[Side, DataFrame]]) -> dict[str, str | None]:
