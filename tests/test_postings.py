@@ -133,3 +133,11 @@ def test_small_tables_move_no_journal_rows(spark, sf_dir):
     plan = postings.postings(raw)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 13
     assert "SortMergeJoin" not in plan and "NestedLoop" not in plan
+
+
+def test_violations_and_divisions_on_the_test_tables(spark, sf_dir):
+    raw = RawTables(spark, sf_dir)
+    counts = {r["rule_name"]: r["violations"] for r in postings.posting_report(raw).collect()}
+    assert counts == {"document_key_not_null": 5, "valid_fiscal_year": 4362, "company_code_not_null": 12}
+    known = raw["acdoca"].join(raw["tspa"], "SPART", "left_semi")
+    assert known.count() == 4780
