@@ -23,6 +23,11 @@ from ledgerloom.sources.driver_tables import RawTables  # noqa: E402
 from ledgerloom.sources.scratch import scratch_folder  # noqa: E402
 from ledgerloom.streaming.append import append_new  # noqa: E402
 
+try:
+    from ledgerloom.llm import queries as llm  # noqa: E402
+except ImportError:  # The library works without this subpackage.
+    llm = None
+
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 HEADER = ("bkpf",)
@@ -231,8 +236,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pnl_waterfall": partial(over_mart, reports.waterfall),
         "pnl_channel_share": partial(over_mart, reports.channel_share),
         "pnl_filtered": partial(over_mart, filtered),
+        **(llm.queries() if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.statements()
+    return oracle_queries.statements() | (llm.oracle_sql() if llm else {})

@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
+SETTING = "spark.checkpoint.dir"
+
+
+class NoSharedFolder(RuntimeError):
+    """The session names no folder that all of its executors share."""
+
+
+@cache
+def _own_folder() -> str:
+    folder = tempfile.gettempdir() + f"/ledgerloom-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder below the session's ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where the session names none, as in tests.
+    Without that setting, a session whose tasks all run in the driver's own process sets one for
+    itself, dropped when the process ends. On a cluster, where no executor would see such a folder,
+    the job stops with NoSharedFolder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get(SETTING, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="ledgerloom-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise NoSharedFolder(f"set {SETTING} to a folder that all executors share")
+        root = _own_folder()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
