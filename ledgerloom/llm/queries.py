@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, simhash
+from ledgerloom.llm import bpe, langid, linededup, simhash
 from ledgerloom.llm.common import let_workers_import, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -24,10 +28,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op3_simhash, op5_bpe]
+    made = [op1_linededup, op3_simhash, op5_bpe, op8_langid]
     return {query.__name__: query for query in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_linededup": linededup.ORACLE}
