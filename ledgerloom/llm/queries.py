@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, langid, linededup, simhash
+from ledgerloom.llm import bpe, langid, linededup, simhash, warc
 from ledgerloom.llm.common import let_workers_import, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -17,6 +17,11 @@ def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -34,9 +39,9 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_linededup, op3_simhash, op5_bpe, op8_langid]
+    made = [op1_linededup, op2_warc, op3_simhash, op5_bpe, op8_langid]
     return {query.__name__: query for query in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_linededup": linededup.ORACLE}
+    return {"op1_linededup": linededup.ORACLE, "op2_warc": warc.ORACLE}
