@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, langid, linededup, simhash, warc
+from ledgerloom.llm import bpe, chat, langid, linededup, simhash, warc
 from ledgerloom.llm.common import let_workers_import, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -33,15 +33,21 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_conversations(turns.unionByName(chat.sample_attack(turns))))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_linededup, op2_warc, op3_simhash, op5_bpe, op8_langid]
+    made = [op1_linededup, op2_warc, op3_simhash, op5_bpe, op6_chat, op8_langid]
     return {query.__name__: query for query in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_linededup": linededup.ORACLE, "op2_warc": warc.ORACLE}
+    return {"op1_linededup": linededup.ORACLE, "op2_warc": warc.ORACLE, "op6_chat": chat.ORACLE}
