@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, chat, langid, linededup, simhash, warc
+from ledgerloom.llm import bpe, chat, decontaminate, langid, linededup, simhash, warc
 from ledgerloom.llm.common import let_workers_import, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -39,13 +39,18 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(chat.sample_attack(turns))))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_linededup, op2_warc, op3_simhash, op5_bpe, op6_chat, op8_langid]
+    made = [op1_linededup, op2_warc, op3_simhash, op5_bpe, op6_chat, op7_decontaminate, op8_langid]
     return {query.__name__: query for query in made}
 
 
