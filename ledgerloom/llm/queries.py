@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, chat, decontaminate, langid, linededup, simhash, warc
+from ledgerloom.llm import bpe, chat, decontaminate, langid, linededup, pii, simhash, warc
 from ledgerloom.llm.common import let_workers_import, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -49,8 +49,12 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_linededup, op2_warc, op3_simhash, op5_bpe, op6_chat, op7_decontaminate, op8_langid]
+    made = [op1_linededup, op2_warc, op3_simhash, op5_bpe, op6_chat, op7_decontaminate, op8_langid, op10_pii]
     return {query.__name__: query for query in made}
 
 
