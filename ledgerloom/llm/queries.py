@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, chat, decontaminate, langid, linededup, pii, simhash, warc
+from ledgerloom.llm import bpe, chat, decontaminate, fingerprint, langid, linededup, pii, simhash, warc
 from ledgerloom.llm.common import let_workers_import, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
     ranks = public_tokenizers.path(RANKS)
@@ -54,7 +59,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_linededup, op2_warc, op3_simhash, op5_bpe, op6_chat, op7_decontaminate, op8_langid, op10_pii]
+    made = [op1_linededup, op2_warc, op3_simhash, op4_fingerprint, op5_bpe, op6_chat, op7_decontaminate, op8_langid, op10_pii]
     return {query.__name__: query for query in made}
 
 
