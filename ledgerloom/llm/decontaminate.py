@@ -314,14 +314,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "item_id", "distance", similarity.alias("similarity"), "start", "end")
 
 
+def _clean(held):
+    @F.arrow_udf("boolean")
+    def clean(batch: pa.Array) -> pa.Array:
+        return pa.array([not held.value.find(text or "") for text in texts(batch)], pa.bool_())
+
+    return clean(F.col("text"))
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak no item."""
     for block in blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-
-        @F.arrow_udf("boolean")
-        def clean(batch: pa.Array, held=held) -> pa.Array:
-            return pa.array([not held.value.find(text or "") for text in texts(batch)], pa.bool_())
-
-        docs = docs.filter(clean(F.col("text")))
+        docs = docs.filter(_clean(docs.sparkSession.sparkContext.broadcast(block)))
     return docs

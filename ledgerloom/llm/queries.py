@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, chat, decontaminate, fingerprint, langid, linededup, pii, simhash, warc
+from ledgerloom.llm import bpe, chat, decontaminate, fingerprint, langid, linededup, pii, quality, simhash, warc
 from ledgerloom.llm.common import let_workers_import, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -54,13 +54,24 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_linededup, op2_warc, op3_simhash, op4_fingerprint, op5_bpe, op6_chat, op7_decontaminate, op8_langid, op10_pii]
-    return {query.__name__: query for query in made}
+    made = [op1_linededup, op2_warc, op3_simhash, op4_fingerprint, op5_bpe, op6_chat, op7_decontaminate, op8_langid, op9_quality, op10_pii]
+    return {query.__name__: query for query in made} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
