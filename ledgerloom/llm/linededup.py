@@ -29,22 +29,24 @@ MIN_TOKENS = 3
 MIN_DOCS = 3
 SIMILARITY = 0.8
 VARIABLE = "<*>"
-#: White space other than the space; all of it separates tokens.
-OTHER_WHITE = "\t\r\x0b\x0c"
+#: White space within a line; all of it separates tokens.
+WHITE = r"[ \t\r\x0b\x0c]"
+UNEVEN = r"  |[\t\r\x0b\x0c]"
 
 
 def masked(line: Column) -> Column:
     """The line's tokens joined by one space each, those with a digit as ``<*>``."""
-    plain = F.trim(F.regexp_replace(F.translate(line, OTHER_WHITE, " " * len(OTHER_WHITE)), " {2,}", " "))
+    plain = F.trim(F.when(line.rlike(UNEVEN), F.regexp_replace(line, f"{WHITE}+", " ")).otherwise(line))
     # A token is entered at its start only, and its parts give nothing back: linear in the line.
     variable = F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)
-    return F.when(plain.rlike("[0-9]"), variable).otherwise(plain)
+    return F.when(line.rlike("[0-9]"), variable).otherwise(plain)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for every line of enough tokens; ``text_hash`` tells rows of one doc_id apart."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select("doc_id", "text_hash", "pos", masked(F.col("line")).alias("masked"))
+    # Masked before they become rows, so that no later step does it again.
+    lines = F.transform(F.split("text", "\n"), masked)
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.posexplode(lines).alias("pos", "masked"))
     spaces = F.length("masked") - F.length(F.replace("masked", F.lit(" ")))
     rows = rows.withColumn("tokens", F.when(F.col("masked") == "", 0).otherwise(spaces + 1)).filter(F.col("tokens") >= MIN_TOKENS)
     leaf = F.xxhash64("tokens", F.substring_index("masked", " ", DEPTH))

@@ -17,8 +17,8 @@ entity, words that disclose REMOVE or more become spans of kind ``remove``, thos
 All of it is DataFrame code. Texts are read twice and never move; what is grouped and joined are
 mentions, words near them, and the document counts of these words. Counts are over all documents.
 
-Rows: a null text counts as empty. Rows that repeat a doc_id are documents of their own if their texts
-differ; equal rows are counted once and get equal results. A null doc_id is a value like any other.
+Rows: a null text counts as empty. Every row is a document, also where rows repeat a doc_id or all of
+another row; equal rows get equal results. A null doc_id is a value like any other.
 Columns other than doc_id and text are not read.
 """
 
@@ -111,41 +111,43 @@ def _words(text: Column, start: Column) -> Column:
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, entity, word, start, end``: words near each mention of an entity."""
-    spans = F.concat(*KINDS)
-    rows = found.filter(F.size(spans) > 0).select("doc_id", "text_hash", "text", spans.alias("spans"), F.explode(spans).alias("span"))
+    """``doc_id, text_hash, near`` of rows with base spans: ``entity, word, start, end`` of words near mentions."""
     # WINDOW words either way are looked for in so many characters that longer ones are no words to judge.
     room = 40 * WINDOW
-    start, end = F.col("span.start"), F.col("span.end")
-    left_at = F.greatest(start - room, F.lit(0))
-    left = _words(F.substr("text", left_at + 1, start - left_at), left_at)
-    right = _words(F.substr("text", end + 1, F.lit(room)), end)
-    near = F.concat(F.slice(F.reverse(left), 1, WINDOW), F.slice(right, 1, WINDOW))
-    outside = F.filter(near, lambda w: ~F.exists("spans", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
-    rows = rows.select("doc_id", "text_hash", F.col("span.value").alias("entity"), F.explode(outside).alias("near"))
-    return rows.select("doc_id", "text_hash", "entity", "near.word", "near.start", "near.end")
+    text, spans = F.col("text"), F.col("spans")
+
+    def around(span: Column) -> Column:
+        left_at = F.greatest(span["start"] - room, F.lit(0))
+        left = _words(F.substr(text, left_at + 1, span["start"] - left_at), left_at)
+        right = _words(F.substr(text, span["end"] + 1, F.lit(room)), span["end"])
+        words = F.concat(F.slice(F.reverse(left), 1, WINDOW), F.slice(right, 1, WINDOW))
+        outside = F.filter(words, lambda w: ~F.exists(spans, lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
+        return F.transform(outside, lambda w: F.struct(span["value"].alias("entity"), w["word"], w["start"], w["end"]))
+
+    rows = found.select("doc_id", "text_hash", "text", F.concat(*KINDS).alias("spans")).filter(F.size("spans") > 0)
+    return rows.select("doc_id", "text_hash", F.flatten(F.transform("spans", around)).alias("near"))
 
 
 def _document_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
     """``word, docs``: how many documents have each of ``words`` anywhere."""
     said = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), NO_WORD))
-    rows = docs.select("doc_id", "text").withColumn("hash", F.xxhash64("text"))
-    if words.count() <= BROADCAST_WORDS:
-        # Documents with none of the words end here; rows that repeat one are then counted once.
-        rows = rows.select("doc_id", "hash", F.explode(said).alias("word")).join(F.broadcast(words), "word", "left_semi")
-        return rows.groupBy("word", "doc_id", "hash").agg(F.lit(1)).groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
-    distinct = rows.groupBy("doc_id", "hash").agg(F.first("text").alias("text"))
-    counted = distinct.select(F.explode(said).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
-    return counted.join(words, "word", "left_semi")
+    rows = docs.select(F.explode(said).alias("word"))
+    few = words.count() <= BROADCAST_WORDS
+    if few:
+        rows = rows.join(F.broadcast(words), "word", "left_semi")
+    # Summed up where the documents are; a word moves once for each task.
+    counted = rows.groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
+    return counted if few else counted.join(words, "word", "left_semi")
 
 
 def disclosures(docs: DataFrame, near: DataFrame) -> DataFrame:
     """``entity, word, disclosure`` of the words that share MIN_SUPPORT documents with an entity or more."""
-    total = docs.select("doc_id", F.xxhash64("text")).distinct().count()
-    met = near.select("doc_id", "text_hash", "entity", "word").distinct()
-    both = met.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= MIN_SUPPORT)
-    both = stored(both, "pii-pairs")
-    entities = near.select("doc_id", "text_hash", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
+    total = docs.count()
+    pairs = F.array_distinct(F.transform("near", lambda w: F.struct(w["entity"].alias("entity"), w["word"].alias("word"))))
+    met = near.select(F.explode(pairs).alias("pair")).groupBy("pair.entity", "pair.word")
+    both = stored(met.agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= MIN_SUPPORT), "pii-pairs")
+    entities = near.select(F.explode(F.array_distinct(F.col("near")["entity"])).alias("entity"))
+    entities = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
     words = stored(_document_counts(docs, both.select("word").distinct()), "pii-words")
     rows = both.join(words, "word").join(entities, "entity")
     pmi = F.log2(F.lit(float(total)) * F.col("both") / (F.col("docs") * F.col("entity_docs")))
@@ -160,7 +162,8 @@ def find(docs: DataFrame) -> DataFrame:
     near = stored(mentions(found), "pii-mentions")
     risky = disclosures(docs, near).filter(F.col("disclosure") >= GENERALISE)
     kind = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    added = near.join(risky, ["entity", "word"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max(kind).alias("kind"))
+    words = near.select("doc_id", "text_hash", F.explode("near").alias("w")).select("doc_id", "text_hash", "w.*")
+    added = words.join(risky, ["entity", "word"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max(kind).alias("kind"))
     added = added.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("added")
     )
