@@ -31,12 +31,14 @@ SIMILARITY = 0.8
 VARIABLE = "<*>"
 #: White space within a line; all of it separates tokens.
 WHITE = r"[ \t\r\x0b\x0c]"
-UNEVEN = r"  |[\t\r\x0b\x0c]"
+OTHER_WHITE = r"[\t\r\x0b\x0c]"
+#: Leaves of several templates are broadcast only if counted as no more than this, 8 bytes each.
+BROADCAST_LEAVES = 1_000_000
 
 
 def masked(line: Column) -> Column:
     """The line's tokens joined by one space each, those with a digit as ``<*>``."""
-    plain = F.trim(F.when(line.rlike(UNEVEN), F.regexp_replace(line, f"{WHITE}+", " ")).otherwise(line))
+    plain = F.trim(F.when(F.contains(line, F.lit("  ")) | line.rlike(OTHER_WHITE), F.regexp_replace(line, f"{WHITE}+", " ")).otherwise(line))
     # A token is entered at its start only, and its parts give nothing back: linear in the line.
     variable = F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)
     return F.when(line.rlike("[0-9]"), variable).otherwise(plain)
@@ -57,7 +59,9 @@ def _general(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``leaf, line_id`` of the lines that belong to their leaf's general template."""
     distinct = lines.groupBy("leaf", "line_id").agg(F.lit(1).alias("_"))
     mixed = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("leaf")
-    texts = _lines(docs).select("leaf", "line_id", "masked").join(mixed, "leaf")
+    mixed = stored(mixed, "mixed-leaves")
+    few = mixed.count() <= BROADCAST_LEAVES
+    texts = _lines(docs).select("leaf", "line_id", "masked").join(F.broadcast(mixed) if few else mixed, "leaf")
     texts = stored(texts.groupBy("leaf", "line_id").agg(F.min("masked").alias("masked")), "leaves")
     tokens = texts.select("leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     common = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
