@@ -93,7 +93,9 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     rows = rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["_doc_id"]) & (rows["_hash"] == dropped["_text_hash"]), "left")
     all_lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), "_dropped")
-    text = F.array_join(F.transform(kept, lambda i: F.get(F.split("text", "\n"), i)), "\n")
+    # The lines are bound once; within the inner function they'd be split anew for each line.
+    left = F.transform(F.array(all_lines), lambda lines: F.transform(kept, lambda i: F.get(lines, i)))
+    text = F.array_join(F.get(left, F.lit(0)), "\n")
     return rows.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long"),
