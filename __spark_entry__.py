@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial, reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,6 @@ from ledgerloom.sources import landing  # noqa: E402
 from ledgerloom.sources.contracts import CONTRACTS, contract  # noqa: E402
 from ledgerloom.sources.driver_tables import RawTables  # noqa: E402
 from ledgerloom.sources.scratch import scratch_folder  # noqa: E402
-from ledgerloom.streaming.append import append_new  # noqa: E402
 
 try:
     from ledgerloom.llm import queries as llm  # noqa: E402
@@ -43,7 +44,17 @@ MART_SIDES = (*ACCOUNT_LINE, "t001", "tvko", "tvtw", "tspa")
 def raw_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_folder(spark, "roundtrip")
     path = landing.land(RawTables(spark, sf_dir)["acdoca"], "ACDOCA", root)
-    return landing.read_strict(spark, "ACDOCA", path, add_metadata=False)
+    return landing.read_extract(spark, "ACDOCA", path, lineage=False)
+
+
+def raw_text_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with blanks at their ends, quotes, separators and line breaks."""
+    awkward = "concat('  ', c_name, ' ', chr(9), '\"q\", ', chr(10), ' ', c_comment, '  ')"
+    cells = {**dict.fromkeys(contract("KNA1").fieldNames(), "CAST(NULL AS STRING)"), "KUNNR": "CAST(c_custkey AS STRING)", "NAME1": awkward}
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("c_comment", F.col("c_mktsegment"))
+    rows = rows.selectExpr(*[f"{value} AS {cell}" for cell, value in cells.items()])
+    path = landing.land(rows, "KNA1", scratch_folder(spark, "text"))
+    return landing.read_extract(spark, "KNA1", path, lineage=False, line_breaks=True).select("KUNNR", "NAME1")
 
 
 def raw_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +66,7 @@ def raw_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         cells = contract(source).fieldNames()
         filled = sum((F.count(c) for c in cells), F.lit(0))
         length = sum((F.coalesce(F.sum(F.length(c)), F.lit(0)) for c in cells), F.lit(0))
-        return landing.ingest(spark, source, root).agg(
+        return landing.read_extract(spark, source, landing.source_path(root, source)).agg(
             F.lit(source).alias("source"),
             F.count(F.lit(1)).alias("row_count"),
             filled.cast("bigint").alias("filled_cells"),
@@ -67,58 +78,114 @@ def raw_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_folder(spark, "lineage")
-    landing.land(RawTables(spark, sf_dir)["acdoca"], "ACDOCA", root)
-    return landing.ingest(spark, "ACDOCA", root).agg(
+    path = landing.land(RawTables(spark, sf_dir)["acdoca"], "ACDOCA", root)
+    return landing.read_extract(spark, "ACDOCA", path).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count(landing.INGESTION_TS).alias("rows_with_load_time"),
         F.count_if(F.col(landing.SOURCE_FILE).contains("/ACDOCA.csv/")).alias("rows_with_source_file"),
     )
 
 
-def raw_permissive_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def land_damaged(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """A journal extract some of whose rows have a cell too many."""
     cells = contract("ACDOCA").fieldNames()
     line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cells])
     damaged = F.expr("BUZEI = '3' AND RACCT LIKE '%700'")
     text = F.when(damaged, F.concat(line, F.lit(",surplus"))).otherwise(line)
-    path = f"{scratch_folder(spark, 'rescue')}/ACDOCA.csv"
+    path = landing.source_path(root, "ACDOCA")
     # One text column under the extract's header line; the separator occurs nowhere in it.
     extract = RawTables(spark, sf_dir)["acdoca"].select(text.alias(",".join(cells)))
     extract.write.option("header", True).option("sep", "\u0001").csv(path)
-    return landing.read_rescued(spark, "ACDOCA", path, landing.IngestOptions(add_metadata=False))
+    return path
+
+
+def raw_permissive_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = land_damaged(spark, sf_dir, scratch_folder(spark, "rescue"))
+    return landing.read_extract(spark, "ACDOCA", path, landing.Misfits.RESCUE, lineage=False)
 
 
 def raw_unregistered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch_folder(spark, "unregistered")
-    columns = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    source = spark.read.parquet(f"{sf_dir}/customer.parquet").select(*columns)
-    source.write.option("header", True).csv(landing.source_path(root, "CUSTOMERS"))
-    return landing.ingest(spark, "CUSTOMERS", root, landing.IngestOptions(add_metadata=False))
+    path = landing.source_path(scratch_folder(spark, "unregistered"), "CUSTOMERS")
+    source = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    source.write.option("header", True).csv(path)
+    return landing.read_extract(spark, "CUSTOMERS", path, lineage=False)
+
+
+def new_job(spark: SparkSession, label: str, **options) -> layers.Job:
+    """A job with folders and schemas of its own."""
+    root = scratch_folder(spark, label)
+    run = root.rsplit("-", 1)[1]
+    schemas = {layer: f"{name}_{run}" for layer, name in layers.SCHEMAS.items()}
+    for schema in schemas.values():
+        spark.sql(f"CREATE SCHEMA spark_catalog.{schema}")
+    return layers.Job(f"{root}/landed", f"{root}/tables", schemas=schemas, **options)
 
 
 def raw_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch_folder(spark, "append")
-    table = f"{root}/acdoca"
+    """A full load, then one of what has landed since."""
+    job = new_job(spark, "append", lineage=False)
     journal = RawTables(spark, sf_dir)["acdoca"]
-    late = F.col("MONAT") > "06"
-    for batch in (journal.filter(~late), journal.filter(late)):
-        landing.land(batch, "ACDOCA", f"{root}/landed", mode="append")
-        append_new(spark, "ACDOCA", f"{root}/landed", f"{root}/state", path=table, add_metadata=False)
-    return spark.read.schema(contract("ACDOCA")).parquet(table)
+    late = F.coalesce(F.col("MONAT") > "06", F.lit(False))
+    for append, batch in ((False, journal.filter(~late)), (True, journal.filter(late)), (True, journal.limit(0))):
+        landing.land(batch, "ACDOCA", job.landing, mode="append")
+        layers.refresh_raw(spark, job, ["ACDOCA"], append)
+    return layers.read_layer(spark, job, "raw", "acdoca")
 
 
-def layer_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = scratch_folder(spark, "layers")
-    run = root.rsplit("-", 1)[1]
-    names = layers.Names(
-        bronze_schema=f"bronze_{run}", silver_schema=f"silver_{run}", gold_schema=f"gold_{run}"
-    )
-    for schema in (names.bronze_schema, names.silver_schema, names.gold_schema):
-        spark.sql(f"CREATE SCHEMA {names.catalog}.{schema} LOCATION '{root}/{schema}'")
-    settings = layers.Settings(names=names, paths=layers.Paths(volumes=f"{root}/landed"))
+def landed_job(spark: SparkSession, sf_dir: str, label: str) -> layers.Job:
+    job = new_job(spark, label)
     for name, table in RawTables(spark, sf_dir).items():
-        landing.land(table, name.upper(), settings.paths.raw_root(names))
-    layers.refresh(spark, settings)
-    return layers.read_layer(spark, names, "gold", pnl.MART).drop(pnl.MART_TS)
+        landing.land(table, name.upper(), job.landing)
+    return job
+
+
+def layer_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job = landed_job(spark, sf_dir, "layers")
+    layers.refresh(spark, job)
+    return layers.read_layer(spark, job, "mart", pnl.MART).drop(pnl.MART_TS)
+
+
+def layer_refresh_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job = new_job(spark, "rescued", misfits=landing.Misfits.RESCUE, lineage=False)
+    land_damaged(spark, sf_dir, job.landing)
+    layers.refresh_raw(spark, job, ["ACDOCA"])
+    return layers.read_layer(spark, job, "raw", "acdoca")
+
+
+def refresh_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mart as the last complete refresh left it, after one that stopped at a malformed amount."""
+    job = landed_job(spark, sf_dir, "failure")
+    layers.refresh(spark, job)
+    broken = RawTables(spark, sf_dir)["acdoca"].withColumn("KSL", F.lit("12,x"))
+    landing.land(broken, "ACDOCA", job.landing, mode="append")
+    try:
+        layers.refresh(spark, job)
+    except PySparkException:
+        return layers.read_layer(spark, job, "mart", pnl.MART).drop(pnl.MART_TS)
+    raise AssertionError("a malformed amount was loaded")
+
+
+def names_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw table under a schema that the session's settings name."""
+    job = new_job(spark, "names", lineage=False)
+    for layer, schema in job.schemas.items():
+        spark.conf.set(f"ledgerloom.schema.{layer}", schema)
+    try:
+        job = replace(job, schemas=layers.schemas_of(spark))
+    finally:
+        for layer in job.schemas:
+            spark.conf.unset(f"ledgerloom.schema.{layer}")
+    landing.land(RawTables(spark, sf_dir)["kna1"], "KNA1", job.landing)
+    layers.refresh_raw(spark, job, ["KNA1"])
+    return spark.table(f"{job.schemas['raw']}.kna1")
+
+
+def table_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored dimension's rows with its table's comment."""
+    job = new_job(spark, "comment")
+    layers.save(dim("customer", spark, sf_dir), job, "conformed", "customer", "Dimension customer.")
+    comment = spark.catalog.getTable(job.table("conformed", "customer")).description
+    return layers.read_layer(spark, job, "conformed", "customer").withColumn("table_comment", F.lit(comment))
 
 
 # Conformed layer -----------------------------------------------------------------------
@@ -213,7 +280,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "raw_permissive_rescue": raw_permissive_rescue,
         "raw_unregistered": raw_unregistered,
         "raw_append": raw_append,
+        "raw_text_kept": raw_text_kept,
         "layer_refresh": layer_refresh,
+        "layer_refresh_rescued": layer_refresh_rescued,
+        "refresh_after_failure": refresh_after_failure,
+        "names_override": names_override,
+        "table_comment": table_comment,
         **{f"dim_{name}": partial(dim, name) for name in DIMENSION_NAMES},
         "postings_header": partial(posting, HEADER),
         "postings_account_line": partial(posting, ACCOUNT_LINE),

@@ -207,7 +207,8 @@ def attach(
 
     own = list(side.on)
     count = F.when(composite(own).isNull(), spread.missing).otherwise(pieces(own))
-    row = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in spread_by])
+    # Of the row's own columns alone, so that filters pass below the join.
+    row = F.xxhash64(*[F.col(c) for c in (*own, *spread_by)])
     left = fact.withColumn(piece, F.pmod(row, count).cast("int"))
     right = dim.withColumn(dim_piece, F.explode(F.sequence(F.lit(0), pieces(side.keys) - 1)))
     right = right.hint(hint) if hint else right

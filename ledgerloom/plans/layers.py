@@ -1,12 +1,20 @@
-"""The layered refresh: raw tables, conformed tables, mart, each saved under its own schema."""
+"""The layered refresh: raw tables, conformed tables, mart, each saved under its own schema.
+
+A saved table is a view of the files of one generation. A refresh writes a new generation and then lets
+the view show it, which is one step in the catalog: until it is done, and if it fails, readers have the
+last complete generation. Generations that no view shows any more stay until
+their folders are removed, as a reader may still be busy with them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
-from dataclasses import dataclass, field, replace
+import uuid
+from collections.abc import Collection, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.operators.quality import enforce, observe
 from ledgerloom.plans.dimensions import CONFORMED_TS, DIMENSION_NAMES, dimension_rows
@@ -14,146 +22,139 @@ from ledgerloom.plans.pnl import MART, MART_TS, direct_lines, mart_rows
 from ledgerloom.plans.postings import FACT, posting_rows
 from ledgerloom.plans.rules import RULES
 from ledgerloom.sources.contracts import CONTRACTS, table_name
-from ledgerloom.sources.landing import IngestOptions, ingest
-from ledgerloom.streaming.append import append_new
-
-
-@dataclass(frozen=True)
-class Names:
-    """Three-part table names, one schema per layer."""
-
-    catalog: str = "spark_catalog"
-    bronze_schema: str = "bronze"
-    silver_schema: str = "silver"
-    gold_schema: str = "gold"
-
-    def bronze(self, table: str) -> str:
-        return f"{self.catalog}.{self.bronze_schema}.{table}"
-
-    def silver(self, table: str) -> str:
-        return f"{self.catalog}.{self.silver_schema}.{table}"
+from ledgerloom.sources.landing import Misfits
+from ledgerloom.streaming.append import landed_files, load_landed
 
-    def gold(self, table: str) -> str:
-        return f"{self.catalog}.{self.gold_schema}.{table}"
+#: The schema of each layer where the session's settings name no other.
+SCHEMAS = {"raw": "bronze", "conformed": "silver", "mart": "gold"}
+COUNTS = "rule_counts"
 
-    def override(self, **names: str | None) -> Names:
-        """A copy with other names; an empty value keeps the present one."""
-        return replace(self, **{key: value for key, value in names.items() if value})
 
-    @classmethod
-    def from_session(cls, spark: SparkSession) -> Names:
-        """Names given as session settings ``catalog``, ``bronze_schema`` and so on."""
-        return cls().override(**{key: spark.conf.get(key, None) for key in cls.__annotations__})
+@dataclass(frozen=True)
+class Job:
+    """One place's tables: where extracts land, where generations are stored, and how they are loaded.
 
+    ``landing`` and ``storage`` are folders that all executors reach; nothing stands in for them.
+    """
 
-@dataclass(frozen=True)
-class Paths:
-    """Where extracts land and where incremental loads keep their state."""
+    landing: str
+    storage: str
+    catalog: str = "spark_catalog"
+    schemas: Mapping[str, str] = field(default_factory=lambda: dict(SCHEMAS))
+    misfits: Misfits = Misfits.STOP
+    lineage: bool = True
+    #: Values that don't convert become NULL and show in the rule counts, instead of stopping the refresh.
+    lenient: bool = False
+    partition_fact_by: Sequence[str] = ()
 
-    volumes: str = "/Volumes"
-    checkpoint_root: str | None = None
+    def table(self, layer: str, name: str) -> str:
+        return f"{self.catalog}.{self.schemas[layer]}.{name}"
 
-    def raw_root(self, names: Names) -> str:
-        return f"{self.volumes}/{names.catalog}/{names.bronze_schema}/raw_data"
+    def folder(self, layer: str, name: str) -> str:
+        return f"{self.storage.rstrip('/')}/{self.schemas[layer]}/{name}"
 
-    def checkpoints(self, spark: SparkSession, names: Names) -> str:
-        """The given folder, else one below the session's ``spark.checkpoint.dir``."""
-        root = self.checkpoint_root or spark.conf.get("spark.checkpoint.dir")
-        return f"{root}/{names.catalog}.{names.bronze_schema}"
 
+def schemas_of(spark: SparkSession) -> dict[str, str]:
+    """Each layer's schema: the session setting ``ledgerloom.schema.<layer>``, where there is one."""
+    return {layer: spark.conf.get(f"ledgerloom.schema.{layer}", "") or name for layer, name in SCHEMAS.items()}
 
-@dataclass(frozen=True)
-class Settings:
-    """Everything a refresh needs to know."""
 
-    names: Names = field(default_factory=Names)
-    paths: Paths = field(default_factory=Paths)
-    ingest: IngestOptions = field(default_factory=IngestOptions)
-    environment: str = "dev"
-    partition_fact_by: Sequence[str] = ()
+def read_layer(spark: SparkSession, job: Job, layer: str, name: str) -> DataFrame:
+    """A saved table; its name reaches SQL as a parameter."""
+    return spark.sql("SELECT * FROM IDENTIFIER(:name)", args={"name": job.table(layer, name)})
 
 
-def read_layer(spark: SparkSession, names: Names, layer: str, table: str) -> DataFrame:
-    """A saved table by its layer; the name reaches SQL as a parameter."""
-    full = getattr(names, layer)(table)
-    return spark.sql("SELECT * FROM IDENTIFIER(:name)", args={"name": full})
+def raw_tables(spark: SparkSession, job: Job) -> dict[str, DataFrame]:
+    return {table_name(s): read_layer(spark, job, "raw", table_name(s)) for s in CONTRACTS}
 
 
-def raw_tables(spark: SparkSession, names: Names) -> dict[str, DataFrame]:
-    return {table_name(s): read_layer(spark, names, "bronze", table_name(s)) for s in CONTRACTS}
+def _show(spark: SparkSession, name: str, folder: str, schema: StructType, comment: str) -> None:
+    columns = ", ".join(f"`{c}`" for c in schema.fieldNames())
+    spark.sql(f"CREATE OR REPLACE VIEW {name} COMMENT '{comment}' AS SELECT {columns} FROM parquet.`{folder}`")
 
 
-def save(df: DataFrame, name: str, comment: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace a table with the frame's rows."""
-    writer = df.write.mode("overwrite").format("parquet")
+def save(df: DataFrame, job: Job, layer: str, name: str, comment: str, partition_by: Sequence[str] = ()) -> None:
+    """Write a new generation of a table and show it."""
+    folder = f"{job.folder(layer, name)}/{uuid.uuid4().hex}"
+    writer = df.write
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(name)
-    df.sparkSession.sql(f"COMMENT ON TABLE {name} IS '{comment}'")
+        # Rows of a value meet, large values in several files; otherwise every task writes a file for each value.
+        writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
+    writer.parquet(folder)
+    _show(df.sparkSession, job.table(layer, name), folder, df.schema, comment)
+
 
+def refresh_raw(
+    spark: SparkSession, job: Job, sources: Collection[str] = tuple(CONTRACTS), append: bool = False
+) -> None:
+    """Load sources into their raw tables: all landed files, or with ``append`` those not loaded so far.
 
-def refresh_raw(spark: SparkSession, settings: Settings, sources: Collection[str] = tuple(CONTRACTS)) -> None:
-    """Load every registered source into its raw table."""
-    names, root = settings.names, settings.paths.raw_root(settings.names)
+    What a generation has loaded is kept beside it. So appending goes on from whatever generation is shown,
+    also one that a full load began, and a full load begins a new one.
+    """
     for source in sources:
-        table = table_name(source)
-        if settings.ingest.mode == "append":
-            append_new(
-                spark,
-                source,
-                root,
-                settings.paths.checkpoints(spark, names),
-                table=names.bronze(table),
-                add_metadata=settings.ingest.add_metadata,
-            )
-            continue
-        save(
-            ingest(spark, source, root, settings.ingest),
-            names.bronze(table),
-            f"Raw extract of {source}.",
-        )
+        name = table_name(source)
+        full, root = job.table("raw", name), job.folder("raw", name)
+        goes_on = append and spark.catalog.tableExists(full)
+        generation = spark.catalog.getTable(full).description.rsplit(" ", 1)[1] if goes_on else uuid.uuid4().hex
+        rows = landed_files(spark, source, job.landing, job.misfits, job.lineage)
+        # Where nothing has landed yet, readers find the columns.
+        empty = f"{root}/{generation}/_batch=-1"
+        spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(empty)
+        load_landed(rows, f"{root}/{generation}", f"{root}/state-{generation}")
+        _show(spark, full, f"{root}/{generation}", rows.schema, f"Raw extract of {source}, generation {generation}")
 
 
 def refresh_model(
-    rows: DataFrame, name: str, table: str, stamp: str, comment: str, partition_by: Sequence[str] = ()
+    rows: DataFrame, job: Job, layer: str, table: str, stamp: str, comment: str, partition_by: Sequence[str] = ()
 ) -> dict[str, int]:
     """Save a model and count its rule violations in the same pass over its rows."""
-    counted, observation = observe(rows, RULES[table], f"{name} rules")
+    counted, observation = observe(rows, RULES[table], f"{job.table(layer, table)} rules")
     kept = enforce(counted, RULES[table]).withColumn(stamp, F.current_timestamp())
-    save(kept, name, comment, partition_by=partition_by)
+    save(kept, job, layer, table, comment, partition_by)
     return observation.get
 
 
-def refresh_conformed(spark: SparkSession, settings: Settings) -> dict[str, dict[str, int]]:
+def refresh_conformed(spark: SparkSession, job: Job) -> dict[str, dict[str, int]]:
     """Save the dimensions and the fact; returns rows and violations per table."""
-    names = settings.names
-    raw = raw_tables(spark, names)
+    raw = raw_tables(spark, job)
     counts = {
         table: refresh_model(
-            dimension_rows(table, raw), names.silver(table), table, CONFORMED_TS, f"Dimension {table}."
+            dimension_rows(table, raw, lenient=job.lenient), job, "conformed", table, CONFORMED_TS, f"Dimension {table}."
         )
         for table in DIMENSION_NAMES
     }
     counts[FACT] = refresh_model(
-        posting_rows(raw),
-        names.silver(FACT),
+        posting_rows(raw, lenient=job.lenient),
+        job,
+        "conformed",
         FACT,
         CONFORMED_TS,
         "Journal lines with document header and dimensions.",
-        settings.partition_fact_by,
+        job.partition_fact_by,
     )
     return counts
 
 
-def refresh_mart(spark: SparkSession, settings: Settings) -> dict[str, dict[str, int]]:
+def refresh_mart(spark: SparkSession, job: Job) -> dict[str, dict[str, int]]:
     """Save the P&L mart out of the saved fact."""
-    fact = read_layer(spark, settings.names, "silver", FACT)
+    fact = read_layer(spark, job, "conformed", FACT)
     rows = mart_rows(direct_lines(fact))
     comment = "P&L by company, period, version, channel, division and sales organisation."
-    return {MART: refresh_model(rows, settings.names.gold(MART), MART, MART_TS, comment)}
+    return {MART: refresh_model(rows, job, "mart", MART, MART_TS, comment)}
+
 
+def save_counts(spark: SparkSession, job: Job, counts: Mapping[str, Mapping[str, int]]) -> None:
+    """Keep a refresh's rows and violations: a row for each table and rule."""
+    rows = [(table, rule, n) for table, rules in counts.items() for rule, n in rules.items()]
+    kept = spark.createDataFrame(rows, "table string, rule string, violations bigint")
+    kept = kept.withColumn("refreshed", F.current_timestamp())
+    save(kept, job, "mart", COUNTS, "Rows and rule violations of the last refresh.")
 
-def refresh(spark: SparkSession, settings: Settings) -> dict[str, dict[str, int]]:
-    """Raw, then conformed, then mart."""
-    refresh_raw(spark, settings)
-    return {**refresh_conformed(spark, settings), **refresh_mart(spark, settings)}
+
+def refresh(spark: SparkSession, job: Job, append: bool = False) -> dict[str, dict[str, int]]:
+    """Raw, then conformed, then mart; what the rules counted is stored, too."""
+    refresh_raw(spark, job, append=append)
+    counts = {**refresh_conformed(spark, job), **refresh_mart(spark, job)}
+    save_counts(spark, job, counts)
+    return counts

@@ -133,16 +133,14 @@ def subtotal_lines() -> Column:
 def mart_rows(direct: DataFrame) -> DataFrame:
     """Direct lines and subtotals, before the mart's rules are applied.
 
-    One aggregation over two grouping sets yields the rows per line and the rows per
-    reporting group; the latter then become the four subtotals. The input is read once,
-    whichever lines are asked for afterwards.
+    A reporting group gathers its own lines, of which there are as many as the statement has, and the sums
+    its subtotals are made of; then all become rows. The input is read once, and filters on the
+    group's columns pass down to it.
     """
-    both = direct.groupingSets([[*GROUP, *LINE_COLUMNS], [*GROUP]], *GROUP, *LINE_COLUMNS).agg(
-        F.grouping("pnl_line_id").alias("is_group"), F.sum(AMOUNT_EUR).alias(AMOUNT_EUR), *part_sums()
-    )
-    own_line = F.array(line_struct(*[F.col(c) for c in (*LINE_COLUMNS, AMOUNT_EUR)]))
-    rows = F.when(F.col("is_group") == 0, own_line).otherwise(subtotal_lines())
-    return both.select(*GROUP, F.inline(rows))
+    lines = direct.groupBy(*GROUP, *LINE_COLUMNS).agg(F.sum(AMOUNT_EUR).alias(AMOUNT_EUR))
+    own_line = line_struct(*[F.col(c) for c in (*LINE_COLUMNS, AMOUNT_EUR)])
+    groups = lines.groupBy(*GROUP).agg(F.collect_list(own_line).alias("own_lines"), *part_sums())
+    return groups.select(*GROUP, F.inline(F.concat("own_lines", subtotal_lines())))
 
 
 def finished(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from enum import Enum
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -13,31 +13,34 @@ from ledgerloom.sources.contracts import CONTRACTS, contract
 
 INGESTION_TS = "_ingestion_ts"
 SOURCE_FILE = "_source_file"
+RESCUED = "_rescued_data"
 
 
-@dataclass(frozen=True)
-class IngestOptions:
-    """How the raw layer is loaded; ``append`` loads only files not seen before."""
+class Misfits(Enum):
+    """What becomes of rows that don't fit their contract."""
 
-    mode: str = "overwrite"
-    infer_schema: bool = False
-    rescued_column: str = "_rescued_data"
-    add_metadata: bool = True
+    STOP = "stop the load"
+    RESCUE = "stay, with their text in the column _rescued_data"
 
 
-def strict(reader: DataFrameReader | DataStreamReader, schema: StructType):
-    """Set a reader up to abort on any row or header that does not fit ``schema``.
+def shaped(reader: DataFrameReader | DataStreamReader, schema: StructType, misfits: Misfits, line_breaks: bool = False):
+    """Set a reader up for extracts with the header and columns of ``schema``.
 
-    ``enforceSchema=False`` compares header names, and ``columnPruning=False`` makes Spark
-    parse whole rows, so that a bad row also stops a count or a one-column select.
+    Another header, or another order of its names, always stops the load (``enforceSchema=False``).
+    Whole rows are parsed (``columnPruning=False``), so that a misfit shows also in a count or a
+    one-column select. Cells may hold line breaks only if asked for: a file is then read by one task.
     """
+    if misfits is Misfits.RESCUE:
+        schema = StructType([*schema.fields]).add(RESCUED, StringType(), True)
+        reader = reader.option("columnNameOfCorruptRecord", RESCUED)
     return (
         reader.format("csv")
         .schema(schema)
         .option("header", True)
-        .option("mode", "FAILFAST")
+        .option("mode", "PERMISSIVE" if misfits is Misfits.RESCUE else "FAILFAST")
         .option("enforceSchema", False)
         .option("columnPruning", False)
+        .option("multiLine", line_breaks)
     )
 
 
@@ -48,36 +51,26 @@ def with_lineage(df: DataFrame) -> DataFrame:
     )
 
 
-def read_strict(spark: SparkSession, source: str, path: str, add_metadata: bool = True) -> DataFrame:
-    """Load a registered source; anything that breaks its contract is an error."""
-    df = strict(spark.read, contract(source)).load(path)
-    return with_lineage(df) if add_metadata else df
-
-
-def read_rescued(
-    spark: SparkSession, source: str, path: str, options: IngestOptions = IngestOptions()
-) -> DataFrame:
-    """Load a registered source and keep rows that do not fit, with their text in the rescue column."""
-    rescued = options.rescued_column
-    schema = StructType([*contract(source).fields]).add(rescued, StringType(), True)
-    df = (
-        spark.read.format("csv")
-        .schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", rescued)
-        .option("columnPruning", False)
-        .load(path)
-    )
-    return with_lineage(df) if options.add_metadata else df
-
-
-def read_unregistered(
-    spark: SparkSession, path: str, options: IngestOptions = IngestOptions()
+def shape_of(spark: SparkSession, source: str, path: str, infer_types: bool = False) -> StructType:
+    """The contract of a registered source, else the columns of the first header found: text, or inferred."""
+    if source.upper() in CONTRACTS:
+        return contract(source)
+    return spark.read.csv(path, header=True, inferSchema=infer_types).schema
+
+
+def read_extract(
+    spark: SparkSession,
+    source: str,
+    path: str,
+    misfits: Misfits = Misfits.STOP,
+    lineage: bool = True,
+    line_breaks: bool = False,
+    infer_types: bool = False,
 ) -> DataFrame:
-    """Load a source that has no contract: columns named by its header, all strings."""
-    df = spark.read.csv(path, header=True, inferSchema=options.infer_schema, mode="PERMISSIVE")
-    return with_lineage(df) if options.add_metadata else df
+    """Load a source; one without a contract has all its files held to the first header."""
+    shape = shape_of(spark, source, path, infer_types)
+    df = shaped(spark.read, shape, misfits, line_breaks).load(path)
+    return with_lineage(df) if lineage else df
 
 
 def source_path(landing_root: str, source: str) -> str:
@@ -85,18 +78,10 @@ def source_path(landing_root: str, source: str) -> str:
     return f"{landing_root.rstrip('/')}/{source}.csv"
 
 
-def ingest(
-    spark: SparkSession, source: str, landing_root: str, options: IngestOptions = IngestOptions()
-) -> DataFrame:
-    """One raw table, by contract where the source has one."""
-    path = source_path(landing_root, source)
-    if source.upper() in CONTRACTS:
-        return read_strict(spark, source, path, options.add_metadata)
-    return read_unregistered(spark, path, options)
-
-
 def land(df: DataFrame, source: str, landing_root: str, mode: str = "errorifexists") -> str:
-    """Write a frame as an extract of ``source``; empty cells read back as NULL."""
+    """Write a frame as an extract of ``source``, blanks kept; empty cells read back as NULL."""
     path = source_path(landing_root, source)
-    df.select(*contract(source).fieldNames()).write.mode(mode).option("header", True).csv(path)
+    writer = df.select(*contract(source).fieldNames()).write.mode(mode).option("header", True)
+    # The writer's default trims cells.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path

@@ -1,41 +1,35 @@
-"""Incremental load: each run takes the files that landed since the last one, once."""
+"""Loading landed files once each, into a generation of a stored table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.sources.contracts import contract, table_name
-from ledgerloom.sources.landing import source_path, strict, with_lineage
+from ledgerloom.sources.landing import Misfits, shape_of, shaped, source_path, with_lineage
 
+#: Every load's rows lie in a folder of their own; the name is no column of the table.
+BATCH = "_batch"
 
-def landed_files(spark: SparkSession, source: str, landing_root: str, add_metadata: bool = True) -> DataFrame:
-    """The extract folder of a source as a stream, under the same contract as a full load."""
-    rows = strict(spark.readStream, contract(source)).load(source_path(landing_root, source))
-    return with_lineage(rows) if add_metadata else rows
 
+def landed_files(
+    spark: SparkSession, source: str, landing_root: str, misfits: Misfits = Misfits.STOP, lineage: bool = True
+) -> DataFrame:
+    """A source's file, or the files of its folder, as a stream under the same rules as a direct read."""
+    path = source_path(landing_root, source)
+    shape = shape_of(spark, source, path)
+    # As a pattern the path may be that of a single file, too.
+    rows = shaped(spark.readStream, shape, misfits).load(f"{path[:-1]}[v]")
+    return with_lineage(rows) if lineage else rows
 
-def append_new(
-    spark: SparkSession,
-    source: str,
-    landing_root: str,
-    checkpoint_root: str,
-    table: str | None = None,
-    path: str | None = None,
-    add_metadata: bool = True,
-) -> None:
-    """Append unseen files to a table, or to a parquet folder, and stop.
 
-    The checkpoint records which files are done, so that a failed run can simply be repeated.
+def load_landed(rows: DataFrame, folder: str, state: str) -> None:
+    """Write the files that ``state`` hasn't seen below ``folder``, and stop.
+
+    Every batch has a folder that a repeated attempt writes anew, so a failed run can simply be repeated
+    and no file is loaded twice. Readers see a batch once all of it is written.
     """
-    writer = (
-        landed_files(spark, source, landing_root, add_metadata)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", f"{checkpoint_root.rstrip('/')}/{table_name(source)}")
-        .trigger(availableNow=True)
-    )
-    if table is None:
-        query = writer.option("path", path).start()
-    else:
-        query = writer.toTable(table, **({"path": path} if path else {}))
-    query.awaitTermination()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{BATCH}={number}")
+
+    query = rows.writeStream.foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True)
+    query.start().awaitTermination()

@@ -239,10 +239,18 @@ BODIES: dict[str, str] = {
     "raw_permissive_rescue": f"""
         SELECT *, if({_DAMAGED}, {_JOURNAL_TEXT} || ',surplus', NULL) AS _rescued_data FROM acdoca""",
     "raw_unregistered": """
-        SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment
-        FROM customer""",
+        SELECT COLUMNS(*)::VARCHAR FROM customer""",
     "raw_append": "SELECT * FROM acdoca",
+    "raw_text_kept": """
+        SELECT c_custkey::VARCHAR AS KUNNR,
+            '  ' || c_name || ' ' || chr(9) || '"q", ' || chr(10) || ' ' || c_mktsegment || '  ' AS NAME1
+        FROM customer""",
     "layer_refresh": "SELECT * FROM mart",
+    "layer_refresh_rescued": f"""
+        SELECT *, if({_DAMAGED}, {_JOURNAL_TEXT} || ',surplus', NULL) AS _rescued_data FROM acdoca""",
+    "refresh_after_failure": "SELECT * FROM mart",
+    "names_override": "SELECT * FROM kna1",
+    "table_comment": "SELECT *, 'Dimension customer.' AS table_comment FROM dim_customer",
     **{
         f"dim_{name}": f"SELECT * FROM {'dim_pnl_line_' if name == 'pnl_line' else 'dim_' + name}"
         for name in DIMENSIONS

@@ -1,11 +1,9 @@
 import pytest
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from ledgerloom.sources import landing
 from ledgerloom.sources.contracts import contract
-from ledgerloom.streaming.append import append_new
 
 
 def write(path, text):
@@ -16,17 +14,17 @@ def write(path, text):
 
 def test_text_survives(spark, tmp_path):
     path = write(tmp_path / "TSPA.csv", 'SPART,VTEXT\r\n01,España\r\n"",Zoë\r\n,x\r\n\r\n')
-    rows = landing.read_strict(spark, "TSPA", path, add_metadata=False).collect()
+    rows = landing.read_extract(spark, "TSPA", path, lineage=False).collect()
     assert [tuple(r) for r in rows] == [("01", "España"), (None, "Zoë"), (None, "x")]
 
 
 def test_lineage(spark, tmp_path):
     path = write(tmp_path / "TSPA.csv", "SPART,VTEXT\n01,a\n")
-    row = landing.ingest(spark, "TSPA", str(tmp_path)).first()
+    row = landing.read_extract(spark, "TSPA", path).first()
     assert row["_source_file"].endswith("/TSPA.csv") and row["_ingestion_ts"] is not None
-    plain = landing.ingest(spark, "TSPA", str(tmp_path), landing.IngestOptions(add_metadata=False))
+    plain = landing.read_extract(spark, "TSPA", path, lineage=False)
     assert plain.columns == ["SPART", "VTEXT"]
-    assert landing.read_strict(spark, "tspa", path).columns[:2] == ["SPART", "VTEXT"]
+    assert landing.read_extract(spark, "tspa", path).columns[:2] == ["SPART", "VTEXT"]
 
 
 @pytest.mark.parametrize("body", ["01\n", "01,a,b\n"], ids=["short", "long"])
@@ -38,48 +36,53 @@ def test_lineage(spark, tmp_path):
 def test_misfit_rows_stop_the_load(spark, tmp_path, body, action):
     path = write(tmp_path / "TSPA.csv", "SPART,VTEXT\n" + body)
     with pytest.raises((PySparkException, Py4JError)):
-        action(landing.read_strict(spark, "TSPA", path))
+        action(landing.read_extract(spark, "TSPA", path))
 
 
 @pytest.mark.parametrize("header", ["VTEXT,SPART", "SPART", "SPART,OTHER"])
 def test_misfit_headers_stop_the_load(spark, tmp_path, header):
     path = write(tmp_path / "TSPA.csv", f"{header}\n01,a\n")
     with pytest.raises((PySparkException, Py4JError)):
-        landing.read_strict(spark, "TSPA", path).collect()
+        landing.read_extract(spark, "TSPA", path).collect()
 
 
 def test_rescue_keeps_the_text_of_misfit_rows(spark, tmp_path):
     path = write(tmp_path / "TSPA.csv", "SPART,VTEXT\n01,a\n02,b,c\n03\n")
-    rows = landing.read_rescued(spark, "TSPA", path, landing.IngestOptions(add_metadata=False)).collect()
+    rows = landing.read_extract(spark, "TSPA", path, landing.Misfits.RESCUE, lineage=False).collect()
     assert [tuple(r) for r in rows] == [("01", "a", None), ("02", "b", "02,b,c"), ("03", None, "03")]
 
 
+@pytest.mark.parametrize("misfits", landing.Misfits)
+def test_a_header_in_another_order_stops_the_load(spark, tmp_path, misfits):
+    path = write(tmp_path / "TSPA.csv", "VTEXT,SPART\nname one,01\n")
+    with pytest.raises((PySparkException, Py4JError)):
+        landing.read_extract(spark, "TSPA", path, misfits).collect()
+
+
 def test_unregistered_sources_are_read_as_text(spark, tmp_path):
-    write(tmp_path / "EXTRA.csv", "id,when\n007,2024-01-01\n")
-    df = landing.ingest(spark, "EXTRA", str(tmp_path))
+    path = write(tmp_path / "EXTRA.csv", "id,when\n007,2024-01-01\n")
+    df = landing.read_extract(spark, "EXTRA", path)
     assert df.dtypes[:2] == [("id", "string"), ("when", "string")]
     assert df.first()["id"] == "007"
 
 
-def test_append_takes_every_file_once(spark, tmp_path):
-    landed, table = str(tmp_path / "landed"), str(tmp_path / "table")
-    for batch, code in enumerate(["01", "02"]):
-        write(tmp_path / "landed" / "TSPA.csv" / f"part-{batch}.csv", f"SPART,VTEXT\n{code},x\n")
-        for _ in range(2):
-            append_new(spark, "TSPA", landed, str(tmp_path / "state"), path=table)
-        seen = spark.read.parquet(table)
-        assert sorted(r["SPART"] for r in seen.collect()) == ["01", "02"][: batch + 1]
-    assert seen.filter(F.col("_source_file").isNull()).isEmpty()
+@pytest.mark.parametrize("second", ["a,b\n1,2,3\n", "b,a\n9,8\n"], ids=["surplus cell", "swapped header"])
+def test_unregistered_sources_lose_nothing(spark, tmp_path, second):
+    write(tmp_path / "EXTRA.csv" / "part-0.csv", "a,b\n1,2\n")
+    write(tmp_path / "EXTRA.csv" / "part-1.csv", second)
+    with pytest.raises((PySparkException, Py4JError)):
+        landing.read_extract(spark, "EXTRA", str(tmp_path / "EXTRA.csv")).collect()
 
 
-def test_append_enforces_the_contract(spark, tmp_path):
-    write(tmp_path / "landed" / "TSPA.csv" / "part-0.csv", "SPART,VTEXT\n01,x,y\n")
-    with pytest.raises((PySparkException, Py4JError)):
-        append_new(spark, "TSPA", str(tmp_path / "landed"), str(tmp_path / "state"), path=str(tmp_path / "t"))
+@pytest.mark.parametrize("text", ["  Div ' A  ", 'a "quoted" one', "two\nlines", "a,b", "back\\slash", "tab\t"])
+def test_landed_text_comes_back_as_it_was(spark, tmp_path, text):
+    path = landing.land(spark.createDataFrame([("01", text)], contract("TSPA")), "TSPA", str(tmp_path))
+    row = landing.read_extract(spark, "TSPA", path, lineage=False, line_breaks=True).first()
+    assert tuple(row) == ("01", text)
 
 
 def test_land_and_read_back(spark, tmp_path):
     rows = [("01", None), (None, "b")]
     df = spark.createDataFrame(rows, contract("TSPA"))
     path = landing.land(df, "TSPA", str(tmp_path))
-    assert {tuple(r) for r in landing.read_strict(spark, "TSPA", path, False).collect()} == set(rows)
+    assert {tuple(r) for r in landing.read_extract(spark, "TSPA", path, lineage=False).collect()} == set(rows)

@@ -1,103 +1,126 @@
-import dataclasses
+from dataclasses import replace
 
 import pytest
+from pyspark.errors import PySparkException
 
 from ledger import ledger, line
 from ledgerloom.plans import layers, pnl
 from ledgerloom.sources import landing
-from ledgerloom.sources.landing import IngestOptions
-
-
-def test_names():
-    names = layers.Names(catalog="cat", silver_schema="me_silver")
-    assert names.bronze("acdoca") == "cat.bronze.acdoca"
-    assert names.silver("company") == "cat.me_silver.company"
-    assert names.gold("profit_and_loss") == "cat.gold.profit_and_loss"
-    with pytest.raises(dataclasses.FrozenInstanceError):
-        names.catalog = "other"
-
-
-def test_override_is_pure():
-    names = layers.Names(catalog="cat")
-    changed = names.override(bronze_schema="b", gold_schema="", silver_schema=None)
-    assert names.bronze_schema == "bronze"
-    assert dataclasses.astuple(changed) == ("cat", "b", "silver", "gold")
-    assert dataclasses.astuple(names.override(bronze_schema="b", silver_schema="s", gold_schema="g"))[1:] == (
-        "b", "s", "g",
-    )
-
-
-def test_names_come_from_the_session(spark):
-    spark.conf.set("bronze_schema", "me_bronze")
-    try:
-        names = layers.Names.from_session(spark)
-    finally:
-        spark.conf.unset("bronze_schema")
-    assert names == layers.Names(bronze_schema="me_bronze")
-
-
-def test_defaults():
-    settings = layers.Settings(names=layers.Names(catalog="cat"))
-    assert settings.paths.raw_root(settings.names) == "/Volumes/cat/bronze/raw_data"
-    assert settings.ingest.mode == "overwrite" and settings.ingest.infer_schema is False
-    assert settings.environment == "dev"
 
 
 @pytest.fixture
-def settings(spark, tmp_path):
+def job(spark, tmp_path):
     run = tmp_path.name.replace("-", "_")
-    names = layers.Names(bronze_schema=f"b_{run}", silver_schema=f"s_{run}", gold_schema=f"g_{run}")
-    for schema in (names.bronze_schema, names.silver_schema, names.gold_schema):
-        spark.sql(f"CREATE SCHEMA {schema} LOCATION '{tmp_path}/{schema}'")
-    yield layers.Settings(names=names, paths=layers.Paths(f"{tmp_path}/volumes", f"{tmp_path}/state"))
-    for schema in (names.bronze_schema, names.silver_schema, names.gold_schema):
+    schemas = {layer: f"{name}_{run}" for layer, name in layers.SCHEMAS.items()}
+    for schema in schemas.values():
+        spark.sql(f"CREATE SCHEMA {schema}")
+    yield layers.Job(f"{tmp_path}/landed", f"{tmp_path}/tables", schemas=schemas)
+    for schema in schemas.values():
         spark.sql(f"DROP SCHEMA {schema} CASCADE")
 
 
-def land_all(raw, settings, mode="errorifexists"):
+def land_all(raw, job, mode="errorifexists"):
     for name, df in raw.items():
-        landing.land(df, name.upper(), settings.paths.raw_root(settings.names), mode)
+        landing.land(df, name.upper(), job.landing, mode)
+
 
+def lines_of(spark, job):
+    return sorted(r["BUZEI"] for r in layers.read_layer(spark, job, "raw", "acdoca").collect())
 
-def test_refresh(spark, settings):
-    land_all(ledger(spark, [line(), line(BELNR=None), line(RBUKRS=None, GJAHR="1999")]), settings)
-    counts = layers.refresh(spark, settings)
+
+def test_schemas_are_taken_from_the_session(spark):
+    spark.conf.set("ledgerloom.schema.raw", "landed_here")
+    try:
+        assert layers.schemas_of(spark) == {**layers.SCHEMAS, "raw": "landed_here"}
+    finally:
+        spark.conf.unset("ledgerloom.schema.raw")
+
+
+def test_refresh(spark, job):
+    land_all(ledger(spark, [line(), line(BELNR=None), line(RBUKRS=None, GJAHR="1999")]), job)
+    counts = layers.refresh(spark, job)
     assert counts["financial_postings"] == {
         "rows": 3, "document_key_not_null": 1, "valid_fiscal_year": 1, "company_code_not_null": 1,
     }
     assert counts["profit_and_loss"]["company_code_not_null"] == 5
     assert counts["pnl_line"] == {"rows": 15, "pnl_line_id_not_null": 0, "valid_line_type": 15}
-    names = settings.names
-    fact = layers.read_layer(spark, names, "silver", "financial_postings")
+    fact = layers.read_layer(spark, job, "conformed", "financial_postings")
     assert len(fact.columns) == 74 and fact.count() == 2
-    mart = spark.table(names.gold("profit_and_loss"))
+    mart = spark.table(job.table("mart", pnl.MART))
     assert mart.columns[-1] == pnl.MART_TS and mart.count() == 5
-    tables = {t.name for t in spark.catalog.listTables(names.bronze_schema)}
-    assert len(tables) == 15
-    described = spark.sql(f"DESCRIBE EXTENDED {names.gold('profit_and_loss')}").collect()
-    assert any(r["col_name"] == "Comment" and r["data_type"].startswith("P&L by") for r in described)
-    # A second run replaces what the first one left.
-    layers.refresh(spark, settings)
-    assert spark.table(names.gold("profit_and_loss")).count() == 5
-
-
-def test_incremental_raw_layer(spark, settings):
-    settings = dataclasses.replace(settings, ingest=IngestOptions(mode="append"))
-    for rows in ([line()], [line(BUZEI="2"), line(BUZEI="3")]):
-        land_all({"acdoca": ledger(spark, rows)["acdoca"]}, settings, mode="append")
-        layers.refresh_raw(spark, settings, ["ACDOCA"])
-    layers.refresh_raw(spark, settings, ["ACDOCA"])
-    raw = spark.table(settings.names.bronze("acdoca"))
-    assert sorted(r["BUZEI"] for r in raw.collect()) == ["1", "2", "3"]
-
-
-def test_mart_refresh_reads_only_what_it_needs(spark, settings):
-    land_all(ledger(spark, [line()]), settings)
-    layers.refresh_raw(spark, settings)
-    layers.refresh_conformed(spark, dataclasses.replace(settings, partition_fact_by=["fiscal_year"]))
-    fact = layers.read_layer(spark, settings.names, "silver", "financial_postings")
+    stored = layers.read_layer(spark, job, "mart", layers.COUNTS)
+    assert stored.filter("table = 'financial_postings' AND rule = 'rows'").first()["violations"] == 3
+    assert spark.catalog.getTable(job.table("mart", pnl.MART)).description.startswith("P&L by")
+    layers.refresh(spark, job)  # replaces what the first one left
+    assert spark.table(job.table("mart", pnl.MART)).count() == 5
+
+
+def test_a_failed_refresh_keeps_the_last_tables(spark, job):
+    land_all(ledger(spark, [line()]), job)
+    layers.refresh(spark, job)
+    landing.land(ledger(spark, [line(KSL="12,x")])["acdoca"], "ACDOCA", job.landing, mode="append")
+    with pytest.raises(PySparkException):
+        layers.refresh(spark, job)
+    assert layers.read_layer(spark, job, "mart", pnl.MART).count() == 5
+    assert layers.read_layer(spark, job, "conformed", "financial_postings").count() == 1
+    # A lenient one takes the malformed amount as missing.
+    assert layers.refresh(spark, replace(job, lenient=True))["financial_postings"]["rows"] == 2
+
+
+def test_full_and_appending_loads_take_turns(spark, job):
+    journal = lambda *numbers: ledger(spark, [line(BUZEI=n) for n in numbers])["acdoca"]
+    landed = []
+    for number, append in (("1", False), ("2", True), ("3", False), ("4", True), (None, True)):
+        if number:
+            landing.land(journal(number), "ACDOCA", job.landing, mode="append")
+            landed.append(number)
+        layers.refresh_raw(spark, job, ["ACDOCA"], append)
+        assert lines_of(spark, job) == landed
+
+
+def test_a_single_file_is_appended(spark, job, tmp_path):
+    for source in ("TSPA", "TVTW"):
+        (tmp_path / "landed").mkdir(exist_ok=True)
+        name = landing.contract(source).fieldNames()
+        (tmp_path / "landed" / f"{source}.csv").write_text(",".join(name) + "\n01,x\n")
+        layers.refresh_raw(spark, job, [source], append=True)
+        layers.refresh_raw(spark, job, [source], append=True)
+        assert layers.read_layer(spark, job, "raw", source.lower()).count() == 1
+
+
+def test_misfits_can_be_rescued_in_a_refresh(spark, job, tmp_path):
+    (tmp_path / "landed").mkdir()
+    (tmp_path / "landed" / "TSPA.csv").write_text("SPART,VTEXT\n01,a\n02,b,c\n")
+    with pytest.raises(PySparkException):
+        layers.refresh_raw(spark, job, ["TSPA"])
+    layers.refresh_raw(spark, replace(job, misfits=landing.Misfits.RESCUE, lineage=False), ["TSPA"])
+    rows = {tuple(r) for r in layers.read_layer(spark, job, "raw", "tspa").collect()}
+    assert rows == {("01", "a", None), ("02", "b", "02,b,c")}
+
+
+def test_mart_refresh_reads_only_what_it_needs(spark, job):
+    land_all(ledger(spark, [line()]), job)
+    layers.refresh_raw(spark, job)
+    layers.refresh_conformed(spark, replace(job, partition_fact_by=["fiscal_year"]))
+    fact = layers.read_layer(spark, job, "conformed", "financial_postings")
     plan = pnl.profit_and_loss(fact)._jdf.queryExecution().executedPlan().toString()
     scans = [text for text in plan.splitlines() if "FileScan" in text]
     assert len(scans) == 1
     assert "EqualTo(account_type,P&L)" in scans[0] and "IsNotNull(pnl_line_id)" in scans[0]
     assert "customer_name" not in scans[0] and "document_header_text" not in scans[0]
+
+
+def test_report_filters_reach_the_stored_fact(spark, job):
+    land_all(ledger(spark, [line()]), job)
+    layers.refresh_raw(spark, job)
+    layers.refresh_conformed(spark, job)
+    fact = layers.read_layer(spark, job, "conformed", "financial_postings")
+    rows = pnl.profit_and_loss(fact).filter("fiscal_year = '2024' AND company_code = 'C1'")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    try:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [text for text in plan.splitlines() if "FileScan" in text]
+    assert len(scans) == 1 and "Expand" not in plan
+    assert "EqualTo(fiscal_year,2024)" in scans[0] and "EqualTo(company_code,C1)" in scans[0]
