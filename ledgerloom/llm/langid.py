@@ -36,7 +36,7 @@ HASH_BITS = 20
 CALIBRATION_ROWS = 20_000
 #: Characters beyond which a longer text doesn't make the score surer.
 SURE_CHARS = 60
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 CACHE_BITS = 18
 SPACE, SYMBOLS = 32, 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -174,7 +174,8 @@ class Scorer:
             rows = self.rows[at]
         full = np.flatnonzero(sizes)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
-        means[full] = np.add.reduceat(rows, starts, axis=0, dtype=np.float64) / sizes[full, None]
+        for column in range(rows.shape[1]):
+            means[full, column] = np.add.reduceat(rows[:, column], starts, dtype=np.float64) / sizes[full]
         return sizes, means
 
     def predict(self, batch: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
