@@ -14,7 +14,7 @@ further above the language's median than 99.9 % of them at its length, with some
 
 Rows: a text that is null or has no letter gets ``und`` with score 0 and is rejected, as is every
 text if no row has a language. Rows without a doc_id are not learned from. Repeated rows are learned
-from as often as they occur. Columns other than doc_id, text and lang are not read.
+from as often as they occur. Long texts are counted and scored in blocks. Columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ HASH_BITS = 20
 CALIBRATION_ROWS = 20_000
 #: Characters beyond which a longer text doesn't make the score surer.
 SURE_CHARS = 60
-BATCH_BYTES = 1 << 20
+#: Bytes of texts that are taken from a batch at a time, and 4-grams that are held at a time, about.
+BATCH_BYTES, BLOCK_CHARS = 1 << 20, 1 << 18
 CACHE_BITS = 18
 SPACE, SYMBOLS = 32, 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -54,39 +55,72 @@ def _letters() -> np.ndarray:
     return made
 
 
-def grams(text: str) -> np.ndarray:
-    """The 4-grams of a text as numbers of four 16-bit characters; none if it has no letter."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    high = codes >= SYMBOLS
-    symbols = _letters()[np.where(high, SPACE, codes)]
-    if high.any():
+def gram_blocks(text: str) -> Iterator[np.ndarray]:
+    """The 4-grams of a text as numbers of four 16-bit characters, a block of the text at a time; none if it has no letter."""
+    line, inside = np.full(ORDER - 1, SPACE, np.uint64), False
+    seen = False
+    for start in range(0, len(text), BLOCK_CHARS):
+        codes = np.frombuffer(text[start : start + BLOCK_CHARS].encode("utf-32-le", "surrogatepass"), np.uint32)
+        high = codes >= SYMBOLS
+        symbols = _letters()[np.where(high, SPACE, codes)]
         # Letters outside the basic plane are folded into its private area.
         for at in np.flatnonzero(high):
             if chr(codes[at]).isalpha():
                 symbols[at] = 0xE000 + int(codes[at]) % 0x1900
-    letters = symbols != SPACE
-    if not letters.any():
-        return np.empty(0, np.uint64)
-    keep = letters.copy()
-    keep[1:] |= letters[:-1]  # one space after a letter
-    edge = np.full(ORDER - 1, SPACE, np.uint64)
-    line = np.concatenate([edge, symbols[keep], edge[:1]])
-    made = np.zeros(len(line) - ORDER + 1, np.uint64)
+        letters = symbols != SPACE
+        seen = seen or bool(letters.any())
+        keep = letters.copy()
+        keep[1:] |= letters[:-1]  # one space after a letter
+        keep[0] |= inside
+        inside = letters[-1]
+        line = np.concatenate([line[1 - ORDER :], symbols[keep]])
+        yield _joined(line)
+    if seen:
+        yield _joined(np.append(line[1 - ORDER :], np.uint64(SPACE)))
+
+
+def _joined(line: np.ndarray) -> np.ndarray:
+    size = len(line) - ORDER + 1
+    made = np.zeros(size, np.uint64)
     for k in range(ORDER):
-        made = (made << np.uint64(16)) | line[k : len(line) - ORDER + 1 + k]
+        made = (made << np.uint64(16)) | line[k : size + k]
     return made
 
 
+def grams(text: str) -> np.ndarray:
+    """All 4-grams of a text."""
+    return np.concatenate([np.empty(0, np.uint64), *gram_blocks(text)])
+
+
+def _pieces(batch: list[str]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """The blocks of all texts, some BLOCK_CHARS 4-grams together, with the place of each block's text."""
+    owners, blocks, held = [], [], 0
+    for owner, text in enumerate(batch):
+        for block in gram_blocks(text):
+            if not len(block):
+                continue
+            if held + len(block) > BLOCK_CHARS and blocks:
+                yield owners, blocks
+                owners, blocks, held = [], [], 0
+            owners.append(owner)
+            blocks.append(block)
+            held += len(block)
+    if blocks:
+        yield owners, blocks
+
+
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", BATCH_BYTES):
-            of: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(texts(batch.column("lang")), texts(batch.column("text")), strict=True):
-                of.setdefault(lang, []).append(grams(text or ""))
-            for lang, made in of.items():
-                keys, counts = np.unique(np.concatenate(made), return_counts=True)
-                columns = [pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
+            langs = batch.column("lang").to_pylist()
+            for owners, blocks in _pieces([x or "" for x in texts(batch.column("text"))]):
+                of: dict[str, list[np.ndarray]] = {}
+                for owner, block in zip(owners, blocks, strict=True):
+                    of.setdefault(langs[owner], []).append(block)
+                for lang, made in of.items():
+                    keys, counts = np.unique(np.concatenate(made), return_counts=True)
+                    columns = [pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
 
 
 def _slot(gram: np.ndarray) -> np.ndarray:
@@ -152,31 +186,31 @@ class Scorer:
 
     def entropies(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per text the number of its 4-grams, and the mean of their bits in each language."""
-        made = [grams(text) for text in batch]
-        sizes = np.array([len(x) for x in made])
-        means = np.zeros((len(batch), len(self.model.languages)))
-        if not sizes.sum():
-            return sizes, means
-        wanted = np.concatenate(made)
+        sizes = np.zeros(len(batch), np.int64)
+        sums = np.zeros((len(batch), len(self.model.languages)))
+        for owners, blocks in _pieces(batch):
+            lengths = np.array([len(x) for x in blocks])
+            rows = self._bits(np.concatenate(blocks))
+            starts = np.cumsum(lengths) - lengths
+            np.add.at(sizes, owners, lengths)
+            for column in range(rows.shape[1]):
+                np.add.at(sums[:, column], owners, np.add.reduceat(rows[:, column], starts, dtype=np.float64))
+        return sizes, sums / np.maximum(sizes, 1)[:, None]
+
+    def _bits(self, wanted: np.ndarray) -> np.ndarray:
         at = (wanted * MIX) >> np.uint64(64 - CACHE_BITS)
+        rows = self.rows[at]
         missed = self.keys[at] != wanted
         if missed.any():
             new, back = np.unique(wanted[missed], return_inverse=True)
             found = self.model.bits(new)
-            places = (new * MIX) >> np.uint64(64 - CACHE_BITS)
-            rows = self.rows[at]
             rows[missed] = found[back]
+            places = (new * MIX) >> np.uint64(64 - CACHE_BITS)
             _, last = np.unique(places[::-1], return_index=True)  # one gram for each place
             last = len(places) - 1 - last
             self.keys[places[last]] = new[last]
             self.rows[places[last]] = found[last]
-        else:
-            rows = self.rows[at]
-        full = np.flatnonzero(sizes)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
-        for column in range(rows.shape[1]):
-            means[full, column] = np.add.reduceat(rows[:, column], starts, dtype=np.float64) / sizes[full]
-        return sizes, means
+        return rows
 
     def predict(self, batch: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, rejection, number of 4-grams and cross-entropy of each text."""

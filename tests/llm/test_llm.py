@@ -289,6 +289,20 @@ def test_language_id_awkward_rows(docs):
     assert langid.only_identified(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7])
+def test_language_blocks_change_nothing(monkeypatch, size):
+    random.seed(size)
+    made = ["".join(random.choices("ab C1 .é\n\U00010400漢", k=random.randrange(40))) for _ in range(500)]
+    whole = [langid.grams(x).tolist() for x in made]
+    monkeypatch.setattr(langid, "BLOCK_CHARS", size)
+    assert [langid.grams(x).tolist() for x in made] == whole
+    together = {}
+    for owners, blocks in langid._pieces(made):
+        for owner, block in zip(owners, blocks, strict=True):
+            together.setdefault(owner, []).extend(block.tolist())
+    assert together == {i: x for i, x in enumerate(whole) if x}
+
+
 def test_kneser_ney_sums_to_one(spark):
     model = langid.train(spark.createDataFrame([("en", "abab abba baab abc"), ("de", "xyx")], "lang string, text string"))
     column = model.languages.index("en")
