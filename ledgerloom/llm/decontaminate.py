@@ -317,7 +317,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _clean(held):
     @F.arrow_udf("boolean")
     def clean(batch: pa.Array) -> pa.Array:
-        return pa.array([not held.value.find(text or "") for text in texts(batch)], pa.bool_())
+        return pa.array([not held.value.find(text.as_py() or "") for text in batch], pa.bool_())
 
     return clean(F.col("text"))
 
