@@ -84,7 +84,8 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines dropped from ``text``, and with ``n_lines`` and ``n_dropped``."""
     lines = stored(parsed(docs), "templates")
     recurring = lines.groupBy("template").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"))
-    recurring = recurring.filter(F.col("docs") >= MIN_DOCS).select("template", "first")
+    # Stored, so that the join deals lines anew and adaptive execution can split those of a hot template.
+    recurring = stored(recurring.filter(F.col("docs") >= MIN_DOCS).select("template", "first"), "recurring")
     later = lines.join(recurring, "template").filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     dropped = later.groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).agg(
         F.collect_set("pos").alias("_dropped")
