@@ -31,7 +31,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,8 @@ BLOCK_CHARS = 4 << 20
 BATCH_BYTES = 8 << 20
 WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words of items are numbered below this from 1 on; a word that no item has is a hash from here on.
+STRANGE = 1 << 32
 GRAM_BITS = 22
 GRAMS = (2, 3)
 
@@ -65,6 +67,11 @@ def samples_for(recall: float, agree: float, steps: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - agree**steps))
 
 
+def _strange(word: str) -> int:
+    """A number for a word that no item has, so that walks move on from it as from any other."""
+    return STRANGE | crc32(word.encode("utf-8", "surrogatepass"))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x * MIX
     return (x ^ (x >> np.uint64(29))) * MIX
@@ -78,7 +85,7 @@ def walk(words: np.ndarray, seed: int, steps: int) -> np.ndarray:
     last = at + width
     made = np.empty((steps, rows), words.dtype)
     # A step's random function: the high bit of the word times an odd number, plus another number.
-    times, plus = np.random.default_rng(seed).integers(0, 1 << 63, (2, steps), np.uint64)
+    times, plus = np.random.default_rng(seed).integers(0, 1 << 64, (2, steps), np.uint64)
     times |= np.uint64(1)
     for step in range(steps):
         now = made[step] = flat[at]
@@ -116,14 +123,14 @@ class Index:
         if len(said) < MIN_WORDS - edits_allowed(MIN_WORDS):
             return []
         of = self.vocabulary
-        ids = np.fromiter(map(of.get, said, repeat(0)), np.uint64, len(said))
+        ids = np.fromiter((of.get(w) or _strange(w) for w in said), np.uint64, len(said))
         hashes = _grams(ids)
         known = [np.concatenate([[0], np.cumsum(seen[h])]) for h, seen in zip(hashes, self.grams, strict=True)]
         near: dict[int, list[int]] = {}
         for group in self.classes:
             if any(before[-1] < least for before, least in zip(known, group.least, strict=True)):
                 continue
-            passes = ids > 0
+            passes = ids < STRANGE
             for n, before, least in zip(GRAMS, known, group.least, strict=True):
                 starts = np.minimum(np.arange(len(ids)), len(before) - 1)
                 ends = np.minimum(starts + group.reach - n + 1, len(before) - 1)
@@ -215,11 +222,11 @@ def _grams(ids: np.ndarray) -> list[np.ndarray]:
 
     A shared hash only lets more windows through.
     """
-    found, made, full = [], _mixed(ids), ids > 0
+    found, made, full = [], _mixed(ids), ids < STRANGE
     for _ in GRAMS:  # each is one word longer than the one before
         size = max(0, len(made) - 1)
         later = len(ids) - size
-        made, full = _mixed(made[:size] ^ ids[later:]), full[:size] & (ids[later:] > 0)
+        made, full = _mixed(made[:size] ^ ids[later:]), full[:size] & (ids[later:] < STRANGE)
         found.append(np.where(full, (made >> np.uint64(64 - GRAM_BITS)) | np.uint64(1), np.uint64(0)).astype(np.int64))
     return found
 
