@@ -7,7 +7,7 @@ from the item.
 The CGK embedding walks along a sequence and, at every step, writes down the word it stands on and moves
 on or not by a random bit that depends on step and word. Two walks over sequences a few edits apart fall
 into step again soon, so edit distance becomes Hamming distance. Windows of an item's size, one at each
-word, are embedded; bits of the embedding, here single steps, are sampled a few at a time, and a window
+word and some ahead of the first, are embedded; bits of the embedding, here single steps, are sampled a few at a time, and a window
 that agrees with an item in all the steps of some sample is a candidate. ``samples_for`` gives the number of
 samples for a target recall. Candidates are then verified exactly, by the edit distance between the item
 and any passage around the window.
@@ -102,6 +102,8 @@ class SizeClass:
     #: How many of each of GRAMS a window of ``reach`` words has at least.
     least: list[int]
     reach: int
+    #: So many words before the text windows start, for passages at its start that lost their first words.
+    lead: int = 0
     samples: list[np.ndarray] = field(default_factory=list)
     keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
@@ -130,12 +132,12 @@ class Index:
         for group in self.classes:
             if any(before[-1] < least for before, least in zip(known, group.least, strict=True)):
                 continue
-            passes = ids < STRANGE
+            all_starts = np.arange(-group.lead, len(ids))
+            passes = np.ones(len(all_starts), bool)
             for n, before, least in zip(GRAMS, known, group.least, strict=True):
-                starts = np.minimum(np.arange(len(ids)), len(before) - 1)
-                ends = np.minimum(starts + group.reach - n + 1, len(before) - 1)
+                starts, ends = (np.clip(x, 0, len(before) - 1) for x in (all_starts, all_starts + group.reach - n + 1))
                 passes &= before[ends] - before[starts] >= least
-            starts = np.flatnonzero(passes)
+            starts = all_starts[passes]
             for at in range(0, len(starts), 4096):
                 for item, found in self._candidates(group, ids, starts[at : at + 4096]):
                     near.setdefault(item, []).extend(found)
@@ -152,8 +154,9 @@ class Index:
 
     def _candidates(self, group: SizeClass, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, list[int]]]:
         """Items, and the starts of windows that agree with them in some sample."""
-        padded = np.concatenate([ids, np.zeros(group.words, ids.dtype)])
-        windows = padded[starts[:, None] + np.arange(group.words)]
+        ahead = np.arange(group.lead, dtype=ids.dtype) + np.uint64(STRANGE)
+        padded = np.concatenate([ahead, ids, np.zeros(group.words, ids.dtype)])
+        windows = padded[starts[:, None] + group.lead + np.arange(group.words)]
         agree = np.zeros((len(group.items), len(starts)), bool)
         for seed, (steps, table) in enumerate(zip(group.samples, group.keys, strict=True)):
             made = walk(windows, seed, 2 * group.words)
@@ -260,7 +263,8 @@ def index(items: list[tuple[int | None, str | None]]) -> Index:
             least = [max(0, size - n + 1 - n * edits_allowed(size)) for n in GRAMS]
             classes.append(SizeClass([], size, least, 0))
         classes[-1].items.append(item)
-        classes[-1].reach = size + edits_allowed(size)
+        classes[-1].lead = edits_allowed(size)
+        classes[-1].reach = size + classes[-1].lead
     for group in classes:
         _sample(group, words)
     return Index(ids, vocabulary, words, grams, classes)
