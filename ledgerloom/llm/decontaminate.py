@@ -31,6 +31,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -67,9 +68,11 @@ def samples_for(recall: float, agree: float, steps: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - agree**steps))
 
 
-def _strange(word: str) -> int:
-    """A number for a word that no item has, so that walks move on from it as from any other."""
-    return STRANGE | crc32(word.encode("utf-8", "surrogatepass"))
+def _told_apart(ids: np.ndarray, said: list[str]) -> np.ndarray:
+    """``ids`` with a number for each word that no item has, so that walks move on from it as from any other."""
+    told, strange = ids.copy(), np.flatnonzero(ids == 0)
+    told[strange] = [STRANGE | crc32(said[k].encode("utf-8", "surrogatepass")) for k in strange.tolist()]
+    return told
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -115,6 +118,8 @@ class Index:
     item_ids: list[int | None]
     vocabulary: dict[str, int]
     words: list[np.ndarray]
+    #: For each item the hashes of its pairs.
+    pairs: list[np.ndarray]
     #: For each of GRAMS, which hashes some item has.
     grams: list[np.ndarray]
     classes: list[SizeClass]
@@ -125,10 +130,11 @@ class Index:
         if len(said) < MIN_WORDS - edits_allowed(MIN_WORDS):
             return []
         of = self.vocabulary
-        ids = np.fromiter((of.get(w) or _strange(w) for w in said), np.uint64, len(said))
+        ids = np.fromiter(map(of.get, said, repeat(0)), np.uint64, len(said))
         hashes = _grams(ids)
         known = [np.concatenate([[0], np.cumsum(seen[h])]) for h, seen in zip(hashes, self.grams, strict=True)]
         near: dict[int, list[int]] = {}
+        told = None
         for group in self.classes:
             if any(before[-1] < least for before, least in zip(known, group.least, strict=True)):
                 continue
@@ -138,12 +144,14 @@ class Index:
                 starts, ends = (np.clip(x, 0, len(before) - 1) for x in (all_starts, all_starts + group.reach - n + 1))
                 passes &= before[ends] - before[starts] >= least
             starts = all_starts[passes]
+            if len(starts) and told is None:  # few texts get here
+                told = _told_apart(ids, said)
             for at in range(0, len(starts), 4096):
-                for item, found in self._candidates(group, ids, starts[at : at + 4096]):
+                for item, found in self._candidates(group, told, starts[at : at + 4096]):
                     near.setdefault(item, []).extend(found)
         if not near:
             return []
-        hits = [(item, *best) for item, starts in sorted(near.items()) if (best := self._verified(ids, hashes[0], item, starts))]
+        hits = [(item, *best) for item, starts in sorted(near.items()) if (best := self._verified(told, hashes[0], item, starts))]
         if not hits:
             return []
         places = _places(text, len(said))
@@ -175,7 +183,7 @@ class Index:
     def _verified(self, ids: np.ndarray, pairs: np.ndarray, item: int, starts: list[int]) -> tuple[int, int, int] | None:
         """Distance, first and last word of the passage nearest to the item around the windows, if near enough."""
         wanted, most = self.words[item], edits_allowed(len(self.words[item]))
-        own, least = _grams(wanted)[0], len(wanted) - 1 - 2 * most
+        own, least = self.pairs[item], len(wanted) - 1 - 2 * most
         best = None
         starts = sorted(set(starts))
         reach = len(wanted) + 2 * most
@@ -225,11 +233,11 @@ def _grams(ids: np.ndarray) -> list[np.ndarray]:
 
     A shared hash only lets more windows through.
     """
-    found, made, full = [], _mixed(ids), ids < STRANGE
+    found, made, full = [], _mixed(ids), ids > 0
     for _ in GRAMS:  # each is one word longer than the one before
         size = max(0, len(made) - 1)
         later = len(ids) - size
-        made, full = _mixed(made[:size] ^ ids[later:]), full[:size] & (ids[later:] < STRANGE)
+        made, full = _mixed(made[:size] ^ ids[later:]), full[:size] & (ids[later:] > 0)
         found.append(np.where(full, (made >> np.uint64(64 - GRAM_BITS)) | np.uint64(1), np.uint64(0)).astype(np.int64))
     return found
 
@@ -252,22 +260,27 @@ def index(items: list[tuple[int | None, str | None]]) -> Index:
             ids.append(item_id)
             words.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in said], np.uint64))
     grams = [np.zeros(1 << GRAM_BITS, np.int8) for _ in GRAMS]
+    pairs = []
     for w in words:
-        for hashes, seen in zip(_grams(w), grams, strict=True):
+        made = _grams(w)
+        pairs.append(made[0])
+        for hashes, seen in zip(made, grams, strict=True):
             seen[hashes] = 1
     classes: list[SizeClass] = []
     for item in sorted(range(len(words)), key=lambda i: len(words[i])):
         size = len(words[item])
+        # The bounds fall where a size allows one edit more, so each item of a class may lower them;
+        # the largest sets the reach of its windows.
+        least = [max(0, size - n + 1 - n * edits_allowed(size)) for n in GRAMS]
         if not classes or size > SIZES * classes[-1].words:
-            # The smallest item of a class sets its bounds, the largest the reach of its windows.
-            least = [max(0, size - n + 1 - n * edits_allowed(size)) for n in GRAMS]
             classes.append(SizeClass([], size, least, 0))
+        classes[-1].least = [min(pair) for pair in zip(classes[-1].least, least, strict=True)]
         classes[-1].items.append(item)
         classes[-1].lead = edits_allowed(size)
         classes[-1].reach = size + classes[-1].lead
     for group in classes:
         _sample(group, words)
-    return Index(ids, vocabulary, words, grams, classes)
+    return Index(ids, vocabulary, words, pairs, grams, classes)
 
 
 def _sample(group: SizeClass, words: list[np.ndarray]) -> None:

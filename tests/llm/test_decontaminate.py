@@ -57,3 +57,8 @@ def lost(words, edits):
 @pytest.mark.parametrize("around", [0, 30])
 def test_passages_may_have_lost_their_first_words(size, edit, around):
     assert recall(size, edit, around) >= 0.95
+
+
+@pytest.mark.parametrize(("smaller", "size"), [(19, 20), (24, 26), (29, 30), (39, 41), (49, 51)])
+def test_a_smaller_item_makes_no_bound_stricter(smaller, size):
+    assert recall(size, spread, others=[smaller]) >= 0.95
