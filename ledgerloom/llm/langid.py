@@ -9,8 +9,10 @@ their counts, and of its contexts with their totals; a lookup is a binary search
 to ``HASH_BITS`` bits, which bounds a model at 2^HASH_BITS entries per order and language however
 large the corpus is; grams that share a hash share their counts.
 
-Rejection is calibrated on rows of the training set: a text is rejected if its cross-entropy lies
-further above the language's median than 99.9 % of them at its length, with some room to spare.
+Rejection is calibrated on all rows of the training set: a text is rejected if its cross-entropy lies
+further above the language's median than 99.9 % of them at its length, with some room to spare. Fewer than
+FEW_ROWS rows of a language don't show that: the wider of its own limits and of those of all languages
+together hold for it, and the higher of both medians.
 
 Rows: a text that is null or has no letter gets ``und`` with score 0 and is rejected, as is every
 text if no row has a language. Rows without a doc_id are not learned from. Repeated rows are learned
@@ -32,8 +34,8 @@ from ledgerloom.llm.common import slices, stored, texts
 
 ORDER = 4
 HASH_BITS = 20
-#: Rows that the rejection limits are calibrated on, about.
-CALIBRATION_ROWS = 20_000
+#: Rows of a language from which on its rejection limits are its own alone.
+FEW_ROWS = 1000
 #: Characters beyond which a longer text doesn't make the score surer.
 SURE_CHARS = 60
 #: Bytes of texts that are taken from a batch at a time, and 4-grams that are held at a time, about.
@@ -302,13 +304,23 @@ def calibrate(rows: DataFrame, model: Model) -> None:
     scored = stored(scored.filter("lang = lang_pred").select("lang", "chars", "entropy"), "entropies")
     medians = scored.groupBy("lang").agg(F.percentile_approx("entropy", 0.5, 10_000).alias("median"))
     off = scored.join(F.broadcast(medians), "lang").withColumn("off", F.expr("entropy - median"))
-    limits = off.groupBy("lang", "median").agg(
+    limits = [
         F.percentile_approx(F.expr("if(chars >= 500, off, NULL)"), 0.999, 10_000).alias("far"),
         F.percentile_approx(F.expr("off * sqrt(chars)"), 0.999, 10_000).alias("by_length"),
-    )
-    for row in limits.collect():  # one row per language
-        far = max(row["far"] or 0.0, 0.1)
-        model.limits[row["lang"]] = (row["median"], 1.5 * far, 1.5 * max(row["by_length"], 0.0))
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("chars") >= 500).alias("n_long"),
+    ]
+    together = off.agg(F.percentile_approx("entropy", 0.5, 10_000).alias("median"), *limits).first()
+    if not together["n"]:
+        return
+    own = {row["lang"]: row for row in off.groupBy("lang", "median").agg(*limits).collect()}  # one row per language
+    for language in model.languages:
+        row = own.get(language, together)
+        few, few_long = row["n"] < FEW_ROWS, row["n_long"] < FEW_ROWS
+        median = max(row["median"], together["median"]) if few else row["median"]
+        far = max(row["far"] or 0.0, (together["far"] or 0.0) if few_long else 0.0, 0.1)
+        by_length = max(row["by_length"], together["by_length"] if few else 0.0, 0.0)
+        model.limits[language] = (median, 1.5 * far, 1.5 * by_length)
 
 
 def learns(docs: DataFrame) -> Column:
@@ -319,10 +331,8 @@ def learns(docs: DataFrame) -> Column:
 def fit(docs: DataFrame) -> Model:
     """A model with its rejection limits, from the rows of ``docs`` that may be learned from."""
     rows = docs.filter(learns(docs) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    total = rows.count()
     model = train(rows)
-    step = max(1, total // CALIBRATION_ROWS)
-    calibrate(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0), model)
+    calibrate(rows, model)
     return model
 
 
