@@ -7,9 +7,11 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.sources.scratch import scratch_folder
 
+WHITE = b" \t\n\r\x0b\x0c"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -38,6 +40,22 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def word_blocks(text: bytes, most_bytes: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words between ASCII white space of a UTF-8 text, A-Z in lower case, about ``most_bytes`` of text at a time."""
+    start = 0
+    while start < len(text):
+        end = start + most_bytes
+        while end < len(text) and text[end] not in WHITE:
+            end += 1
+        yield text[start:end].lower().split()
+        start = end
+
+
+def small(rows: DataFrame, most_rows: int) -> DataFrame:
+    """``rows``, marked for broadcasting if counted as ``most_rows`` at most; else joins shuffle them. Results are alike."""
+    return F.broadcast(rows) if rows.count() <= most_rows else rows
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` with about ``most_bytes`` of ``column`` at most, or one row."""
     sizes = (x or 0 for x in _lengths(batch.column(column)))
