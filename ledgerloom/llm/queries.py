@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, chat, decontaminate, fingerprint, jaccard, langid, linededup, pii, quality, simhash, warc
+from ledgerloom.llm import bpe, chat, collocations, crosstoken, decontaminate, fingerprint, jaccard, langid, linededup, pii, quality, simhash, warc
 from ledgerloom.llm.common import let_workers_import, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -63,6 +63,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_crosstoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return crosstoken.report(table(spark, sf_dir, "documents"), *paths)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
@@ -76,9 +87,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [op1_linededup, op2_warc, op3_simhash, op4_fingerprint, op5_bpe, op6_chat, op7_decontaminate, op8_langid, op9_quality, op10_pii]
-    made += [op13_jaccard]
+    made += [op11_crosstoken, op12_collocations, op13_jaccard]
     return {query.__name__: query for query in made} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_linededup": linededup.ORACLE, "op2_warc": warc.ORACLE, "op6_chat": chat.ORACLE, "op13_jaccard": jaccard.ORACLE}
+    return {"op1_linededup": linededup.ORACLE, "op2_warc": warc.ORACLE, "op6_chat": chat.ORACLE, "op12_collocations": collocations.ORACLE, "op13_jaccard": jaccard.ORACLE}
