@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +42,13 @@ SIMILARITY = 90
 #: A band of sizes ends where this times its start is reached.
 BAND = 1.25
 #: Parts with so many set bits at most are joined with other sketches, where a sketch has few parts, so many times.
-LIGHT, FEW_PARTS, SKETCHES = 2, 64, 4
+LIGHT, FEW_PARTS, SKETCHES = 1, 64, 4
 #: Bits of the sketch that candidates are held against, in longs.
 LONGS = 8
-#: Rows of ids that are broadcast at most (8 bytes each).
-BROADCAST_ROWS = 1 << 20
+#: Rows of ids, and of keys with an id, that are broadcast at most.
+BROADCAST_ROWS, BROADCAST_KEYS = 1 << 20, 1 << 19
+#: Sets of a key meet each other once there are so many meetings for each of them at most, or other leaders help little.
+MEETINGS = 64
 WORDS_KEPT = 32 << 20
 K1, K2, K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -203,31 +206,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(near.filter(reached).select("a", "b"), "jaccard-links")
 
 
-def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b``: links between distinct sets ``id``, as many as their components need."""
+def connected(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, root`` of the sets with links; the root is the smallest id of a component."""
     index = sets.select("id", F.explode("keys").alias("key"))
     met = index.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n"))
     met = stored(met.filter("a <> b"), "jaccard-keys")
-    crowded = met.filter("n > 2").select("key", F.col("a").alias("leader"))
+    crowded = small(met.filter("n > 2").select("key", F.col("a").alias("leader")), BROADCAST_KEYS)
     members = stored(index.join(crowded, "key"), "jaccard-members")
     pairs = met.filter("n = 2").select("a", "b")
     pairs = pairs.unionByName(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")))
     found = _verified(pairs.distinct(), sets, docs)
     members = members.select("key", "id")
-    for turn in range(1, 64):
-        mixed, rows, apart = _mixed_keys(members, found)
+    for turn in count(1):
+        roots = components(found)
+        mixed, rows, apart = _mixed_keys(members, roots)
         if not apart:
-            return found
-        if apart <= 4 * rows:
+            return roots
+        if apart <= MEETINGS * rows or turn > 1 and apart > 0.75 * before:
             break
         # Many pairs to go: another leader for each key connects more before the rest meets.
+        before = apart
         order = F.struct(F.xxhash64(F.col("id"), F.lit(turn)), F.col("id"), F.col("part"))
         lead = mixed.groupBy("key").agg(F.min(order).alias("lead")).select("key", F.col("lead.id").alias("a"), F.col("lead.part").alias("own"))
         pairs = mixed.join(lead, "key").filter("part <> own").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        more = _verified(pairs.distinct(), sets, docs)
-        if more.isEmpty():
-            break
-        found = found.unionByName(more)
+        found = found.unionByName(_verified(pairs.distinct(), sets, docs))
         members = mixed.select("key", "id")
     one, two = (
         mixed.join(sets.select("id", "n", "sketch"), "id").select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "part", "n", "sketch")])
@@ -235,12 +237,12 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     )
     pairs = one.join(two, "key").filter("part_a < part_b").filter(_near("n_a", "n_b", "sketch_a", "sketch_b"))
     pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
-    return found.unionByName(_verified(pairs.distinct(), sets, docs))
+    more = _verified(pairs.distinct(), sets, docs)
+    return roots if more.isEmpty() else components(found.unionByName(more))
 
 
-def _mixed_keys(members: DataFrame, found: DataFrame) -> tuple[DataFrame, int, int]:
+def _mixed_keys(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int, int]:
     """Members of the keys that hold several components, with their component ``part``; their number, and that of pairs to go."""
-    roots = components(found)
     labelled = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("part"))
     labelled = stored(labelled, "jaccard-parts")
     sizes = labelled.groupBy("key", "part").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key")
@@ -259,7 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("first"), F.max("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys")
     )
     sets = stored(sets.withColumn("id", F.monotonically_increasing_id()), "jaccard-sets")
-    roots = components(links(sets, docs))
+    roots = connected(sets, docs)
     rooted = sets.select("hi", "lo", "id", "first").join(roots, sets["id"] == roots["node"], "left")
     rooted = rooted.select("hi", "lo", "first", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
