@@ -1,7 +1,7 @@
 """Benchmark decontamination: passages within a small edit distance of a benchmark item.
 
-Texts are sequences of words (letters and digits, lower case); an edit inserts, deletes or replaces
-one. A document leaks an item if some passage of it is at most ``floor((1 - SIMILARITY) * words)`` edits
+Texts are sequences of words (letters and digits, lower case; in scripts without spaces, characters); an
+edit inserts, deletes or replaces one. A document leaks an item if some passage of it is at most ``floor((1 - SIMILARITY) * words)`` edits
 from the item.
 
 The CGK embedding walks along a sequence and, at every step, writes down the word it stands on and moves
@@ -12,15 +12,15 @@ that agrees with an item in all the steps of some sample is a candidate. ``sampl
 samples for a target recall. Candidates are then verified exactly, by the edit distance between the item
 and any passage around the window.
 
-Most windows needn't be embedded: k edits leave at least ``words - 1 - 2k`` of an item's pairs of
-neighbouring words as they were, and ``words - 2 - 3k`` of its triples, so a window with fewer pairs or
-triples that any item has can't be near one. Those bounds are exact; they lose no passage.
+Most windows needn't be embedded: k edits leave at least ``words - k`` of an item's words, ``words - 1 - 2k`` of
+its pairs of neighbouring words and ``words - 2 - 3k`` of its triples as they were, so a window with fewer words,
+pairs or triples that any item has can't be near one. Those bounds are exact; they lose no passage.
 
 Items are taken in blocks of BLOCK_CHARS, whatever their number, so that what every task holds is
 bounded; documents are read once for each block, and never move.
 
-Rows: null and empty texts leak nothing. Items without text or of fewer than MIN_WORDS words are no
-passage that could be told from chance and are left out. Equal items are found each. Rows that repeat a
+Rows: null and empty texts leak nothing. Items of fewer than MIN_WORDS words are left out
+unless ``least_words`` asks for them; items of fewer than five allow no edit and are found where they stand word by word. Equal items are found each. Rows that repeat a
 doc_id are searched each. Columns other than doc_id and text, and item_id and text, are not read.
 """
 
@@ -31,7 +31,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import repeat
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import slices, texts
 
 SIMILARITY = 0.8
-MIN_WORDS = 5
+#: Items of fewer words are no passage that could be told from chance, unless asked for.
+MIN_WORDS = 4
 RECALL = 0.99
 #: Steps in a sample, walks with random bits of their own, and the least share of steps in which the
 #: walks of a passage and its item agree at the largest distance allowed, on average.
@@ -50,8 +51,14 @@ STEPS, WALKS, AGREE = 2, 3, 0.3
 #: Items whose sizes differ by less than this factor share windows.
 SIZES = 1.25
 BLOCK_CHARS = 4 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+#: The blocks of scripts that put no spaces between words (Thai to Tibetan, Burmese, Khmer, kana, Han).
+SIGNS = r"\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED = re.compile(f"[{SIGNS}]")
 WORD = re.compile(r"[^\W_]+")
+SIGN_OR_WORD = re.compile(rf"[{SIGNS}]|[^\W_{SIGNS}]+")
+#: ``item_id, distance, words, start, end``.
+Hit = tuple[int | None, int, int, int, int]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words of items are numbered below this from 1 on; a word that no item has is a hash from here on.
 STRANGE = 1 << 32
@@ -102,7 +109,7 @@ class SizeClass:
 
     items: list[int]
     words: int
-    #: How many of each of GRAMS a window of ``reach`` words has at least.
+    #: How many words that some item has, and how many of each of GRAMS, a window of ``reach`` words has at least.
     least: list[int]
     reach: int
     #: So many words before the text windows start, for passages at its start that lost their first words.
@@ -119,68 +126,90 @@ class Index:
     vocabulary: dict[str, int]
     words: list[np.ndarray]
     #: For each item the hashes of its pairs.
-    pairs: list[np.ndarray]
+    pairs: list[list[int]]
     #: For each of GRAMS, which hashes some item has.
     grams: list[np.ndarray]
     classes: list[SizeClass]
 
-    def find(self, text: str) -> list[tuple[int | None, int, int, int, int]]:
-        """``item_id, distance, words, start, end`` of the best passage for each leaked item, in code points."""
-        said = WORD.findall(text.lower()) if text else []
-        if len(said) < MIN_WORDS - edits_allowed(MIN_WORDS):
-            return []
+    def find(self, text: str) -> list[Hit]:
+        """The hits of one text."""
+        return self.find_all([text])[0]
+
+    def find_all(self, batch: list[str]) -> list[list[Hit]]:
+        """``item_id, distance, words, start, end`` of the best passage for each leaked item of each text, in code points.
+
+        All texts lie in one array of words, with room around each for the windows that reach beyond it.
+        """
+        said = [words_of(text) for text in batch]
+        lead = max((group.lead for group in self.classes), default=0)
+        room = lead + max((group.reach for group in self.classes), default=0)
+        sizes = np.array([len(words) for words in said], np.int64)
+        ends = np.cumsum(sizes + room)
+        origins = ends - sizes - room + lead
+        ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
         of = self.vocabulary
-        ids = np.fromiter(map(of.get, said, repeat(0)), np.uint64, len(said))
+        flat = np.fromiter(map(of.get, chain.from_iterable(said), repeat(0)), np.uint64, int(sizes.sum()))
+        ids[np.arange(len(flat)) + np.repeat(origins - np.cumsum(sizes) + sizes, sizes)] = flat
         hashes = _grams(ids)
-        known = [np.concatenate([[0], np.cumsum(seen[h])]) for h, seen in zip(hashes, self.grams, strict=True)]
-        near: dict[int, list[int]] = {}
-        told = None
+        told = ids.copy()
+        told_apart: set[int] = set()
+        known = [np.cumsum(seen, dtype=np.int32) for seen in (ids > 0, *(seen[h] for h, seen in zip(hashes, self.grams, strict=True)))]
+        known = [np.concatenate([np.zeros(1, np.int32), before]) for before in known]
+        near: dict[tuple[int, int], list[int]] = {}
         for group in self.classes:
-            if any(before[-1] < least for before, least in zip(known, group.least, strict=True)):
-                continue
-            all_starts = np.arange(-group.lead, len(ids))
-            passes = np.ones(len(all_starts), bool)
-            for n, before, least in zip(GRAMS, known, group.least, strict=True):
-                starts, ends = (np.clip(x, 0, len(before) - 1) for x in (all_starts, all_starts + group.reach - n + 1))
-                passes &= before[ends] - before[starts] >= least
-            starts = all_starts[passes]
-            if len(starts) and told is None:  # few texts get here
-                told = _told_apart(ids, said)
+            # As many windows as start anywhere and end within the array; the room makes that all there are.
+            passes = np.ones(max(0, len(ids) - group.reach + 1), bool)
+            for n, before, least in zip((1, *GRAMS), known, group.least, strict=True):
+                wide = group.reach - n + 1
+                if wide > 0 and len(passes):
+                    passes &= before[wide : wide + len(passes)] - before[: len(passes)] >= least
+            starts = np.flatnonzero(passes)
+            owners = np.searchsorted(ends, starts, side="right")
+            inside = starts >= origins[owners] - group.lead
+            starts, owners = starts[inside], owners[inside]
+            for owner in set(np.unique(owners).tolist()) - told_apart:  # few texts get here
+                first, last = origins[owner], origins[owner] + sizes[owner]
+                told[first:last] = _told_apart(ids[first:last], said[owner])
+                told[first - lead : first] = np.arange(lead, dtype=np.uint64) + np.uint64(STRANGE)
+                told_apart.add(owner)
             for at in range(0, len(starts), 4096):
-                for item, found in self._candidates(group, told, starts[at : at + 4096]):
-                    near.setdefault(item, []).extend(found)
-        if not near:
-            return []
-        hits = [(item, *best) for item, starts in sorted(near.items()) if (best := self._verified(told, hashes[0], item, starts))]
-        if not hits:
-            return []
-        places = _places(text, len(said))
-        return [
-            (self.item_ids[item], distance, len(self.words[item]), places[first][0], places[last - 1][1])
-            for item, distance, first, last in hits
-        ]
-
-    def _candidates(self, group: SizeClass, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-        """Items, and the starts of windows that agree with them in some sample."""
-        ahead = np.arange(group.lead, dtype=ids.dtype) + np.uint64(STRANGE)
-        padded = np.concatenate([ahead, ids, np.zeros(group.words, ids.dtype)])
-        windows = padded[starts[:, None] + group.lead + np.arange(group.words)]
-        agree = np.zeros((len(group.items), len(starts)), bool)
+                members, rows = self._candidates(group, told, starts[at : at + 4096])
+                for member, row in zip(members.tolist(), (rows + at).tolist(), strict=True):
+                    owner = int(owners[row])
+                    near.setdefault((owner, group.items[member]), []).append(int(starts[row] - origins[owner]))
+        found: list[list[Hit]] = [[] for _ in batch]
+        places: dict[int, list[tuple[int, int]]] = {}
+        last_owner, pairs = -1, []
+        for (owner, item), windows in sorted(near.items()):
+            own = slice(origins[owner], origins[owner] + sizes[owner])
+            if owner != last_owner:
+                last_owner, pairs = owner, hashes[0][own].tolist()
+            best = self._verified(told[own], pairs, item, windows)
+            if best:
+                distance, first, last = best
+                at = places.get(owner) or places.setdefault(owner, _places(batch[owner]))
+                found[owner].append((self.item_ids[item], distance, len(self.words[item]), at[first][0], at[last - 1][1]))
+        return found
+
+    def _candidates(self, group: SizeClass, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members of the class, and the numbers of the windows that agree with them in some sample."""
+        windows = ids[starts[:, None] + np.arange(group.words)]
+        met = []
         for seed, (steps, table) in enumerate(zip(group.samples, group.keys, strict=True)):
             made = walk(windows, seed, 2 * group.words)
             for keys, (wanted, members) in zip(_keys(made, steps), table, strict=True):
                 first = np.searchsorted(wanted, keys)
                 many = np.searchsorted(wanted, keys, side="right") - first
                 rows = np.flatnonzero(many)
-                while len(rows):  # the next of the items with this key
-                    agree[members[first[rows]], rows] = True
-                    first[rows] += 1
-                    many[rows] -= 1
-                    rows = rows[many[rows] > 0]
-        for member in np.flatnonzero(agree.any(axis=1)):
-            yield group.items[member], starts[agree[member]].tolist()
-
-    def _verified(self, ids: np.ndarray, pairs: np.ndarray, item: int, starts: list[int]) -> tuple[int, int, int] | None:
+                if len(rows):
+                    many = many[rows]
+                    # The places of every member with the key, window after window.
+                    within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    met.append(members[np.repeat(first[rows], many) + within] * len(starts) + np.repeat(rows, many))
+        pairs = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+        return np.divmod(pairs, len(starts))
+
+    def _verified(self, ids: np.ndarray, pairs: list[int], item: int, starts: list[int]) -> tuple[int, int, int] | None:
         """Distance, first and last word of the passage nearest to the item around the windows, if near enough."""
         wanted, most = self.words[item], edits_allowed(len(self.words[item]))
         own, least = self.pairs[item], len(wanted) - 1 - 2 * most
@@ -192,7 +221,7 @@ class Index:
             while starts and starts[0] <= last + reach:
                 last = starts.pop(0)
             low = max(0, first - 2 * most)
-            if np.isin(own, pairs[low : last + reach]).sum() < least:
+            if sum(map(set(pairs[low : last + reach]).__contains__, own)) < least:
                 continue
             found = nearest_passage(wanted, ids[low : last + reach])
             if found[0] <= most and (best is None or found[0] < best[0]):
@@ -219,13 +248,20 @@ def nearest_passage(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]
     return int(ends[end]), end - int(len(back) - 1 - back[::-1].argmin()), end
 
 
-def _places(text: str, words: int) -> list[tuple[int, int]]:
+def words_of(text: str) -> list[str]:
+    """Words in lower case; each character of a script without spaces is one."""
+    low = text.lower()
+    return (WORD if UNSPACED.search(low) is None else SIGN_OR_WORD).findall(low)
+
+
+def _places(text: str) -> list[tuple[int, int]]:
     """Where each word stands in ``text``; lower case is as long as the text but for rare characters."""
     low = text.lower()
+    found = SIGN_OR_WORD.finditer(low)
     if len(low) == len(text):
-        return [m.span() for m in WORD.finditer(low)]
+        return [m.span() for m in found]
     origin = [i for i, c in enumerate(text) for _ in c.lower()]
-    return [(origin[m.start()], origin[m.end() - 1] + 1) for m in WORD.finditer(low)]
+    return [(origin[m.start()], origin[m.end() - 1] + 1) for m in found]
 
 
 def _grams(ids: np.ndarray) -> list[np.ndarray]:
@@ -250,20 +286,20 @@ def _keys(embedded: np.ndarray, samples: np.ndarray) -> Iterator[np.ndarray]:
         yield key
 
 
-def index(items: list[tuple[int | None, str | None]]) -> Index:
-    """An index of a block of items."""
+def index(items: list[tuple[int | None, str | None]], least_words: int = MIN_WORDS) -> Index:
+    """An index of a block of items, without those of fewer than ``least_words`` words."""
     vocabulary: dict[str, int] = {}
     ids, words = [], []
     for item_id, text in items:
-        said = WORD.findall((text or "").lower())
-        if len(said) >= MIN_WORDS:
+        said = words_of(text or "")
+        if len(said) >= max(1, least_words):
             ids.append(item_id)
             words.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in said], np.uint64))
     grams = [np.zeros(1 << GRAM_BITS, np.int8) for _ in GRAMS]
     pairs = []
     for w in words:
         made = _grams(w)
-        pairs.append(made[0])
+        pairs.append(made[0].tolist())
         for hashes, seen in zip(made, grams, strict=True):
             seen[hashes] = 1
     classes: list[SizeClass] = []
@@ -271,7 +307,7 @@ def index(items: list[tuple[int | None, str | None]]) -> Index:
         size = len(words[item])
         # The bounds fall where a size allows one edit more, so each item of a class may lower them;
         # the largest sets the reach of its windows.
-        least = [max(0, size - n + 1 - n * edits_allowed(size)) for n in GRAMS]
+        least = [max(0, size - n + 1 - n * edits_allowed(size)) for n in (1, *GRAMS)]
         if not classes or size > SIZES * classes[-1].words:
             classes.append(SizeClass([], size, least, 0))
         classes[-1].least = [min(pair) for pair in zip(classes[-1].least, least, strict=True)]
@@ -297,22 +333,22 @@ def _sample(group: SizeClass, words: list[np.ndarray]) -> None:
         group.keys.append([(np.sort(k), np.argsort(k, kind="stable")) for k in _keys(made, steps)])
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Index]:
+def blocks(benchmark: DataFrame, least_words: int = MIN_WORDS) -> Iterator[Index]:
     """Indexes of the benchmark's items, BLOCK_CHARS at a time; one item at least."""
     block, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         if block and size + len(row["text"] or "") > BLOCK_CHARS:
-            yield index(block)
+            yield index(block, least_words)
             block, size = [], 0
         block.append((row["item_id"], row["text"]))
         size += len(row["text"] or "")
-    yield index(block)
+    yield index(block, least_words)
 
 
 HIT = [("item_id", pa.int64()), ("distance", pa.int32()), ("words", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, item_id, distance, similarity, start, end``: the best passage of every leaked item in every row."""
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long"), "text")
@@ -322,17 +358,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole, "text", BATCH_BYTES):
-                    found = [
-                        (doc_id, *hit)
-                        for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)
-                        for hit in held.value.find(text or "")
-                    ]
+                    hits = held.value.find_all([text or "" for text in texts(batch.column(1))])
+                    found = [(doc_id, *hit) for doc_id, own in zip(batch.column(0).to_pylist(), hits, strict=True) for hit in own]
                     columns = [pa.array([f[k] for f in found], t) for k, (_, t) in enumerate([("doc_id", pa.int64()), *HIT])]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(n for n, _ in HIT)])
 
         return run
 
-    made = [rows.mapInArrow(search(context.broadcast(block)), schema) for block in blocks(benchmark)]
+    made = [rows.mapInArrow(search(context.broadcast(block)), schema) for block in blocks(benchmark, least_words)]
     found = reduce(DataFrame.unionByName, made)
     similarity = 1 - F.col("distance") / F.col("words")
     return found.select("doc_id", "item_id", "distance", similarity.alias("similarity"), "start", "end")
@@ -341,13 +374,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _clean(held):
     @F.arrow_udf("boolean")
     def clean(batch: pa.Array) -> pa.Array:
-        return pa.array([not held.value.find(text.as_py() or "") for text in batch], pa.bool_())
+        made = []
+        for part in slices(pa.RecordBatch.from_arrays([batch], ["text"]), "text", BATCH_BYTES):
+            made += [not hits for hits in held.value.find_all([text or "" for text in texts(part.column("text"))])]
+        return pa.array(made, pa.bool_())
 
     return clean(F.col("text"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` that leak no item."""
-    for block in blocks(benchmark):
+    for block in blocks(benchmark, least_words):
         docs = docs.filter(_clean(docs.sparkSession.sparkContext.broadcast(block)))
     return docs
