@@ -19,6 +19,7 @@ no document of the component has one. Other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import raw_texts, stored
+from ledgerloom.llm.common import raw_texts, small, stored
 from ledgerloom.llm.graph import components
 
 MOST_BITS = 2
@@ -36,6 +37,10 @@ SHINGLE = 3
 SEED = 42
 #: Bytes of a text that are split into words at a time.
 BLOCK = 1 << 20
+#: Rows of ids that are broadcast at most.
+BROADCAST_ROWS = 1 << 19
+#: Fingerprints of a partition of the index, each of which becomes as many rows as there are choices of positions.
+INDEXED = 1 << 14
 WHITE = b" \t\n\r\x0b\x0c"
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -83,6 +88,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
 
+def _hashed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = np.array([fingerprint(x) for x in raw_texts(batch.column(2))], np.uint64)
+        columns = [batch.column(0), batch.column(1), pa.array(made.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp`` (the fingerprint's bits as a long) of every row."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
@@ -129,11 +141,23 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """``a, b``: links between distinct fingerprints ``fp``, as many as components need."""
     keys = F.array(*[F.struct(F.lit(i).alias("six"), F.expr(f"fp & {m}L").alias("bytes")) for i, m in enumerate(_masks())])
-    index = fps.select("fp", F.explode(keys).alias("key")).groupBy("key.six", "key.bytes")
+    # An index row for each choice: dealt out first, as the fingerprints themselves are few bytes.
+    dealt = fps.repartition(fps.count() // INDEXED + 1, "fp")
+    index = dealt.select("fp", F.explode(keys).alias("key")).groupBy("key.six", "key.bytes")
     postings = index.agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     return postings.select("fps").mapInArrow(_verified, "a long, b long").distinct()
 
 
+def _classes(made: DataFrame) -> DataFrame:
+    """``fp, root, component_id`` of every distinct fingerprint of ``doc_id, fp``; the root is the component's own number."""
+    distinct = stored(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    roots = components(links(distinct))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left")
+    rooted = rooted.select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs``.
 
@@ -141,22 +165,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest doc_id.
     """
     made = stored(fingerprints(docs), "simhash")
-    distinct = stored(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(distinct))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left")
-    rooted = rooted.select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = rooted.join(least, "root").select("fp", "component_id")
     fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return made.join(ids, "fp").select("doc_id", fingerprint.alias("fingerprint"), "component_id")
+    return made.join(_classes(made), "fp").select("doc_id", fingerprint.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the smallest doc_id.
+    """``docs`` with one row of each group of near copies: that of the smallest doc_id, and of its rows the one of least text hash.
 
-    Of rows that repeat this doc_id any one stays. Rows without a doc_id all stay.
+    Groups are told apart by their fingerprints, so rows of several groups that share a doc_id all have their
+    group's row kept. Of rows equal in doc_id and text the first by all of their columns stays. Rows without a doc_id all stay.
     """
     named = docs.filter("doc_id IS NOT NULL")
-    kept = near_duplicates(named).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = named.join(kept, named["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.filter("doc_id IS NULL"))
+    name = uuid.uuid4().hex
+    own = {f"_doc_{name}": F.col("doc_id").cast("long"), f"_text_{name}": F.xxhash64("text")}
+    rows = named.select(*[c.alias(k) for k, c in own.items()], "text").mapInArrow(_hashed_fingerprints, "doc_id long, text_hash long, fp long")
+    made = stored(rows, "simhash")
+    copies = made.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    order = F.struct("doc_id", "text_hash", "rows")
+    kept = copies.join(_classes(made), "fp").groupBy("root").agg(F.min(order).alias("kept"))
+    kept = stored(kept.select(*[F.col(f"kept.{c}").alias(k) for c, k in zip(("doc_id", "text_hash"), own, strict=True)], "kept.rows"), "simhash-kept")
+    keyed = named.withColumns(own)
+
+    def of(which: str) -> DataFrame:
+        return keyed.join(small(kept.filter(which).select(*own), BROADCAST_ROWS), list(own), "left_semi")
+
+    single = of("rows = 1").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = of("rows > 1").groupBy(*own).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return single.unionByName(repeated).unionByName(docs.filter("doc_id IS NULL"))
