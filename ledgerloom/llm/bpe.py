@@ -2,7 +2,7 @@
 
 Texts arrive in Arrow batches. Each is split by the vocabulary's pattern; pieces are encoded by the
 library once per worker as long as they stay in its table of known pieces, which is emptied when it
-holds PIECES of them (that changes speed only). The library works on characters that stand for
+has grown to KNOWN_BYTES (that changes speed only). The library works on characters that stand for
 bytes, so decoding turns every id back into its characters' bytes, joins them, and only then decodes
 UTF-8: characters that are split between ids come together again.
 
@@ -28,11 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import slices, texts
+from ledgerloom.llm.common import slices, texts, tidied
 
-#: Pieces that a worker remembers at most, and characters of those that it remembers.
-PIECES, PIECE_CHARS = 1_000_000, 64
-BATCH_BYTES = 8 << 20
+#: Bytes of memory, about, of the pieces that a worker remembers, and characters of those that it remembers.
+KNOWN_BYTES, PIECE_CHARS = 40 << 20, 64
+#: What a remembered piece takes besides its characters and ids.
+ENTRY_BYTES = 200
+BATCH_BYTES = 2 << 20
 
 
 def byte_characters() -> list[str]:
@@ -85,21 +87,26 @@ class Codec:
         self.digits_of = {rank: str(rank) for rank in ranks.values()}
         #: Pieces with their ids, as the bytes of an int32 array.
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of ``pieces``; the short ones are remembered."""
         new = list(pieces)
         made = self.library.encode_batch_fast(new, add_special_tokens=False)
         found = {piece: np.array(x.ids, np.int32).tobytes() for piece, x in zip(new, made, strict=True)}
-        if len(self.known) + len(found) > PIECES:
-            self.known = {}
-        self.known.update((p, i) for p, i in found.items() if len(p) <= PIECE_CHARS)
+        short = {p: i for p, i in found.items() if len(p) <= PIECE_CHARS}
+        size = sum(ENTRY_BYTES + len(p) + len(i) for p, i in short.items())
+        if self.known_bytes + size > KNOWN_BYTES:
+            self.known, self.known_bytes = {}, 0
+        if size <= KNOWN_BYTES:
+            self.known.update(short)
+            self.known_bytes += size
         return found
 
     def encode(self, batch: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         split = [self.find(text) for text in batch]
-        known = self.known
+        known = self.known  # also if the table is begun anew meanwhile
         missing = {piece for pieces in split for piece in pieces if piece not in known}
         ids_of = _Both(known, self._learn(missing)) if missing else known
         for pieces in split:
@@ -142,6 +149,7 @@ def codec(ranks_path: str, pattern: str) -> Codec:
 
 
 def _mapped(make: Callable[[Codec, list[str]], list[pa.Array]], names: list[str], path: str, pattern: str):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for whole in batches:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import functools
 import os
-from collections.abc import Iterable, Iterator
+import shutil
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +19,12 @@ from ledgerloom.sources.scratch import scratch_folder
 
 WHITE = b" \t\n\r\x0b\x0c"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+PACKAGE = "ledgerloom"
+#: The most bytes of a batch that goes to a Python worker, where the session doesn't say.
+BATCH_SETTING, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+#: Applications whose executors were sent the package.
+_shipped: set[str] = set()
+_held: list[Broadcast] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +39,53 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
 
 
 def let_workers_import(spark: SparkSession) -> None:
-    """Python workers of this session find the package also where it isn't installed."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    """Python workers of this session find the package also where it isn't installed, and get batches they can hold.
+
+    A cluster's executors are sent the package. The bound on a batch's bytes is left alone where the session has its own.
+    """
+    context = spark.sparkContext
+    context.environment.setdefault("PYTHONPATH", ROOT)
+    if not context.master.startswith("local[") and context.master != "local" and context.applicationId not in _shipped:
+        context.addPyFile(_package())
+        _shipped.add(context.applicationId)
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(ARROW_BYTES))
+
+
+def shared(spark: SparkSession, value):
+    """``value`` broadcast, until :func:`release` is called."""
+    held = spark.sparkContext.broadcast(value)
+    _held.append(held)
+    return held
+
+
+def release() -> None:
+    """Executors drop what was broadcast so far. What is still needed is sent again."""
+    while _held:
+        _held.pop().unpersist()
+
+
+def _package() -> str:
+    """A zip file of the package's modules, in a folder of the driver's own."""
+    folder = tempfile.mkdtemp(prefix="ledgerloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return shutil.make_archive(f"{folder}/ledgerloom", "zip", ROOT, PACKAGE)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that hands free memory back when its task ends, as workers live on for other tasks."""
+
+    @functools.wraps(run)
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:  # glibc
+                trim(0)
+
+    return tidy
 
 
 def texts(column: pa.Array) -> list[str | None]:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import slices, texts
+from ledgerloom.llm.common import shared, slices, texts, tidied
 
 SIMILARITY = 0.8
 #: Items of fewer words are no passage that could be told from chance, unless asked for.
@@ -350,11 +350,11 @@ HIT = [("item_id", pa.int64()), ("distance", pa.int32()), ("words", pa.int32()),
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, item_id, distance, similarity, start, end``: the best passage of every leaked item in every row."""
-    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, item_id long, distance int, words int, start int, end int"
 
     def search(held):
+        @tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole, "text", BATCH_BYTES):
@@ -365,7 +365,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = MIN_WORDS) -
 
         return run
 
-    made = [rows.mapInArrow(search(context.broadcast(block)), schema) for block in blocks(benchmark, least_words)]
+    made = [rows.mapInArrow(search(shared(docs.sparkSession, block)), schema) for block in blocks(benchmark, least_words)]
     found = reduce(DataFrame.unionByName, made)
     similarity = 1 - F.col("distance") / F.col("words")
     return found.select("doc_id", "item_id", "distance", similarity.alias("similarity"), "start", "end")
@@ -373,11 +373,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = MIN_WORDS) -
 
 def _clean(held):
     @F.arrow_udf("boolean")
-    def clean(batch: pa.Array) -> pa.Array:
-        made = []
-        for part in slices(pa.RecordBatch.from_arrays([batch], ["text"]), "text", BATCH_BYTES):
-            made += [not hits for hits in held.value.find_all([text or "" for text in texts(part.column("text"))])]
-        return pa.array(made, pa.bool_())
+    @tidied
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            made = []
+            for part in slices(pa.RecordBatch.from_arrays([batch], ["text"]), "text", BATCH_BYTES):
+                made += [not hits for hits in held.value.find_all([text or "" for text in texts(part.column("text"))])]
+            yield pa.array(made, pa.bool_())
 
     return clean(F.col("text"))
 
@@ -385,5 +387,5 @@ def _clean(held):
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` that leak no item."""
     for block in blocks(benchmark, least_words):
-        docs = docs.filter(_clean(docs.sparkSession.sparkContext.broadcast(block)))
+        docs = docs.filter(_clean(shared(docs.sparkSession, block)))
     return docs

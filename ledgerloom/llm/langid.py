@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import slices, stored, texts
+from ledgerloom.llm.common import shared, slices, stored, texts, tidied
 
 ORDER = 4
 HASH_BITS = 20
@@ -111,6 +111,7 @@ def _pieces(batch: list[str]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
         yield owners, blocks
 
 
+@tidied
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", BATCH_BYTES):
@@ -274,6 +275,7 @@ def _order(parts: dict, language: str, n: int) -> Order:
 
 
 def _predictions(model: Model):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for whole in batches:
@@ -300,7 +302,7 @@ def predict(rows: DataFrame, model) -> DataFrame:
 def calibrate(rows: DataFrame, model: Model) -> None:
     """Sets the rejection limits: a median, and how far above it a text may lie in any case and by its length."""
     spark = rows.sparkSession
-    scored = predict(rows.select("lang", "text"), spark.sparkContext.broadcast(model))
+    scored = predict(rows.select("lang", "text"), shared(spark, model))
     scored = stored(scored.filter("lang = lang_pred").select("lang", "chars", "entropy"), "entropies")
     medians = scored.groupBy("lang").agg(F.percentile_approx("entropy", 0.5, 10_000).alias("median"))
     off = scored.join(F.broadcast(medians), "lang").withColumn("off", F.expr("entropy - median"))
@@ -338,16 +340,17 @@ def fit(docs: DataFrame) -> Model:
 
 def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected`` of every row of ``docs``."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    model = shared(docs.sparkSession, fit(docs))
     rows = docs.select(F.col("doc_id").cast("long"), (~learns(docs)).alias("held_out"), "text")
     return predict(rows, model).drop("chars", "entropy")
 
 
 def only_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language isn't rejected."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    model = shared(docs.sparkSession, fit(docs))
 
     @F.arrow_udf("boolean")
+    @tidied
     def accepted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model.value)
         for batch in batches:

@@ -390,3 +390,43 @@ def test_pipeline(spark, sf_dir):
     assert 0.7 * docs.count() < len(got) < docs.count()
     prints = [simhash_brute(t) for t in texts.values()]
     assert len(set(groups_brute(set(prints)).values())) >= 0.99 * len(texts)
+
+
+def test_one_of_each_keeps_groups_that_share_a_doc_id(spark):
+    a, b = "the quick brown fox jumps over the lazy dog " * 5, "completely other words stand in this text here " * 5
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "x"), (2, b, "x"), (2, b, "w"), (3, "alone in the third one of them all", "v"), (3, "alone in the third one of them all", "u")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for _ in range(2):
+        got = sorted((r.doc_id, r.text, r.source) for r in simhash.one_of_each(frame).collect())
+        assert got == sorted([(1, a, "x"), (1, b, "x"), (3, "alone in the third one of them all", "u")])
+
+
+def test_short_items_and_scripts_without_spaces_are_found(spark):
+    items = [(1, "漢字仮名交じり文"), (2, "one two three four"), (3, "one two"), (4, "漢字仮名交じ")]
+    index = decontaminate.index(items)
+    assert [(h[0], h[1], h[3], h[4]) for h in index.find("これは漢字仮名交じり文です one two three four")] == [(1, 0, 3, 11), (2, 0, 14, 32), (4, 0, 3, 9)]
+    assert [h[:2] for h in index.find("漢字仮字交じり文 one two three")] == [(1, 1), (4, 1)]
+    assert [h[0] for h in decontaminate.index(items, 1).find("one two three")] == [3]
+
+
+def test_leaks_are_those_of_every_passage(spark):
+    random.seed(8)
+    say = lambda n: random.choices("abcdefghijklmnopqrstuvwxyz", k=n)
+    items = [(k, say(random.choice([4, 9, 12, 15]))) for k in range(12)]
+    texts = []
+    for k in range(60):
+        own = list(items[k % 12][1])
+        for _ in range(random.randint(0, 3)):
+            at = random.randrange(len(own) + 1)
+            own[at : at + random.randint(0, 1)] = say(random.randint(0, 1))
+        texts.append(say(random.randint(0, 12)) + own + say(random.randint(0, 12)))
+
+    def brute(item, words):
+        return decontaminate.nearest_passage(np.array(list(map(ord, item))), np.array(list(map(ord, words))))[0]
+
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(
+        spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"),
+        spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()}
+    wanted = {(d, i): n for d, t in enumerate(texts) for i, w in items if (n := brute(w, t)) <= decontaminate.edits_allowed(len(w))}
+    assert set(got) <= set(wanted) and all(got[k] == wanted[k] for k in got)
+    assert len(got) >= 0.97 * len(wanted) > 40
