@@ -6,36 +6,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import bpe, decontaminate, langid, linededup, simhash
-from ledgerloom.llm.common import let_workers_import, stored, table
+from ledgerloom.llm.common import let_workers_import, release, stored, table
 from ledgerloom.llm.queries import RANKS
 
 
+def _begin(spark: SparkSession) -> None:
+    """Workers can import the operators; what earlier stages sent to the executors goes, as their rows are stored by now."""
+    release()
+    let_workers_import(spark)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters, or unlike any language learned, go."""
-    let_workers_import(spark)
+    _begin(spark)
     return langid.only_identified(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from all documents but their first, and so do documents that lose every line."""
+    _begin(spark)
     return linededup.without_recurring(docs)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    let_workers_import(spark)
+    _begin(spark)
     return simhash.one_of_each(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    let_workers_import(spark)
+    _begin(spark)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, as encoded and decoded again."""
-    let_workers_import(spark)
+    _begin(spark)
     return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
