@@ -20,6 +20,7 @@ their own. Other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -27,6 +28,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,53 +37,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bpe import byte_characters
-from ledgerloom.llm.common import slices, small, stored, texts
+from ledgerloom.llm.common import slices, small, stored, texts, tidied
 
 #: A chunk ends with so many documents, or with the document that brings it to so many links.
 CHUNK_DOCS, CHUNK_LINKS = 2048, 1_500_000
 BITMAP = CHUNK_DOCS // 8
 BATCH_BYTES = 2 << 20
 #: Bytes of units, about, that a worker remembers.
-UNITS_KEPT = 48 << 20
+UNITS_KEPT = 120 << 20
 #: Rows of pairs that are broadcast at most.
 BROADCAST_ROWS = 1 << 18
 SPACE = "\u2581"
 #: A single space between characters that neither tokenizer takes for white space.
 SOLID = r"[^\s\u2581\u180e\u200b-\u200d\u2060\ufeff]"
 CUT = re.compile(f"(?<={SOLID}) (?={SOLID})")
+#: Fixed value: how byte-level vocabularies with a regular expression of their own split texts.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SIGN = re.compile(r"<0x([0-9A-F]{2})>")
 #: Tokens of both, groups, the groups as text, and the linked pairs as int64 ``a << 32 | b``.
 Aligned = tuple[int, int, int, str, bytes]
 NOTHING: Aligned = (0, 0, 0, "", b"")
 
 
-def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> Aligned:
-    """The groups and links of two lists of tokens over the same bytes; a token is named where it ends."""
-    said_a, said_b, groups, links = [], [], [], []
-    i = j = 0
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
-    while i < len(a):
-        own, other = a[i], b[j]
-        links.append(own << 32 | other)
-        if end_a <= end_b:
-            said_a.append(str(own))
-            i += 1
-        if end_b <= end_a:
-            said_b.append(str(other))
-            j += 1
-        if end_a == end_b:
-            groups.append(",".join(said_a) + "|" + ",".join(said_b))
-            said_a, said_b = [], []
-            if i < len(a):
-                end_a += size_a[a[i]]
-                end_b += size_b[b[j]]
-        elif end_a < end_b:
-            end_a += size_a[a[i]]
-        else:
-            end_b += size_b[b[j]]
-    return len(a), len(b), len(groups), ";".join(groups), np.array(links, np.int64).tobytes()
-
-
 class Pairing:
     """Two tokenizers, and what is remembered of their units."""
 
@@ -102,37 +79,90 @@ class Pairing:
         self.bytes_b = [
             bytes([int(SIGN.fullmatch(p)[1], 16)]) if self.b.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(pieces)
         ]
-        self.size_a, self.size_b = ([len(x) for x in table] for table in (self.bytes_a, self.bytes_b))
+        self.said = [(_said(table, ","), _said(table, end)) for table, end in ((self.bytes_a, "|"), (self.bytes_b, ";"))]
+        self.sizes = [np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b)]
         #: Whether encoding a unit doesn't depend on the units around it.
         parts = json.loads(self.a.to_str())
         plain = parts["normalizer"] is None and parts["pre_tokenizer"]["type"] == "ByteLevel"
+        self.quick = _ranked(parts, shown, back) if plain and parts["pre_tokenizer"]["use_regex"] else None
         self.by_unit = plain and not any(re.search(f"{SOLID}{SPACE}", p) for p in pieces)
+        #: Units met lately, and those met before them.
         self.known: dict[str, Aligned | None] = {}
+        self.former: dict[str, Aligned | None] = {}
         self.held = 0
 
-    def _encoded(self, units: list[str]) -> Iterator[Aligned | None]:
+    def _encoded(self, units: list[str]) -> list[Aligned | None]:
         """Each unit aligned, without its space; nothing where the tokens' bytes aren't those of the unit."""
-        made_a = self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
+        wanted = [b" " + unit.encode() for unit in units]
+        made_a = self._encoded_by_a([" " + u for u in units])
         made_b = self.b.encode(units, num_threads=1)
-        for unit, made, b in zip(units, made_a, made_b, strict=True):
-            a, wanted = made.ids, b" " + unit.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == wanted == b"".join(map(self.bytes_b.__getitem__, b))
-            yield align(a, b, self.size_a, self.size_b) if same else None
-
-    def aligned(self, batch: list[str]) -> Iterator[Aligned]:
+        of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        same = [b"".join(map(of_a, a)) == x == b"".join(map(of_b, b)) for x, a, b in zip(wanted, made_a, made_b, strict=True)]
+        if all(same):
+            return self._align(made_a, made_b)
+        fit = iter(self._align(*([x for x, ok in zip(made, same, strict=True) if ok] for made in (made_a, made_b))))
+        return [next(fit) if ok else None for ok in same]
+
+    def _encoded_by_a(self, texts: list[str]) -> list[list[int]]:
+        """Ids of A; those of ASCII texts from the ranks, where A is such a vocabulary, as that is several times faster."""
+        if self.quick is None:
+            return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        others = iter(self.a.encode_batch_fast([x for x in texts if not x.isascii()], add_special_tokens=False))
+        return [self.quick(x) if x.isascii() else next(others).ids for x in texts]
+
+    def _align(self, made_a: list[list[int]], made_b: list[list[int]]) -> list[Aligned]:
+        """The groups and links of every unit, whose tokens of both kinds have the same bytes.
+
+        All units lie one after the other, so that their tokens' ends count on from unit to unit.
+        """
+        counts = [np.fromiter(map(len, made), np.int64, len(made)) for made in (made_a, made_b)]
+        ids = [np.fromiter(chain.from_iterable(made), np.int64, int(n.sum())) for made, n in zip((made_a, made_b), counts, strict=True)]
+        ends = [np.cumsum(sizes[own]) for sizes, own in zip(self.sizes, ids, strict=True)]
+        # Between two neighbouring ends there is one token of each kind: a link.
+        marks = np.union1d(*ends)
+        which = [np.searchsorted(own, marks) for own in ends]
+        links = (ids[0][which[0]] << 32 | ids[1][which[1]]).tobytes()
+        lasts = [np.cumsum(n) for n in counts]
+        link_ends = (8 * np.searchsorted(marks, ends[0][lasts[0] - 1], side="right")).tolist() if len(marks) else []
+        closing = [np.isin(own, other, assume_unique=True) for own, other in (ends, ends[::-1])]
+        group = [np.cumsum(closes) - closes for closes in closing]
+        said = np.concatenate([np.where(closes, end[own], comma[own]) for closes, own, (comma, end) in zip(closing, ids, self.said, strict=True)])
+        said = said[np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")].tolist()
+        n_groups = np.diff(np.concatenate([[0], np.cumsum(closing[0])[lasts[0] - 1]])).tolist() if len(marks) else []
+        made, token, link = [], 0, 0
+        for n_a, n_b, groups, link_end in zip(counts[0].tolist(), counts[1].tolist(), n_groups, link_ends, strict=True):
+            made.append((n_a, n_b, groups, "".join(said[token : token + n_a + n_b])[:-1], links[link:link_end]))
+            token, link = token + n_a + n_b, link_end
+        return made
+
+    def _learn(self, units: set[str]) -> None:
+        """Have all ``units`` among the known ones."""
+        if self.held > UNITS_KEPT // 2:
+            self.known, self.former, self.held = {}, self.known, 0
+        missing = []
+        for unit in units:
+            if unit not in self.known:
+                if unit in self.former:
+                    self._keep(unit, self.former[unit])
+                else:
+                    missing.append(unit)
+        if missing:
+            for unit, made in zip(missing, self._encoded(missing), strict=True):
+                self._keep(unit, made)
+
+    def _keep(self, unit: str, made: Aligned | None) -> None:
+        self.known[unit] = made
+        self.held += 300 + len(unit) + (len(made[3]) + len(made[4]) if made else 0)
+
+    def aligned(self, batch: list[str | None]) -> Iterator[Aligned]:
         """Each text aligned."""
         split = [(CUT.split(text) if self.by_unit else [text]) if text else [] for text in batch]
-        if self.held > UNITS_KEPT:
-            self.known, self.held = {}, 0
-        missing = list({unit for units in split for unit in units if unit not in self.known})
-        for unit, made in zip(missing, self._encoded(missing), strict=True):
-            self.known[unit] = made
-            self.held += 300 + len(unit) + (len(made[3]) + len(made[4]) if made else 0)
+        self._learn(set(chain.from_iterable(split)))
         for text, units in zip(batch, split, strict=True):
-            parts = [self.known[unit] for unit in units]
+            parts = list(map(self.known.__getitem__, units))
             if None in parts:
                 # Bytes that one unit lacks might be another's; the whole text decides.
-                made = next(self._encoded([text])) or NOTHING
+                made = self._encoded([text])[0] or NOTHING
             elif parts:
                 n_a, n_b, n_groups, groups, links = zip(*parts, strict=True)
                 made = (sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links))
@@ -141,6 +171,26 @@ class Pairing:
             yield made
 
 
+def _ranked(parts: dict, shown: dict[str, int], back: dict[str, bytes]) -> Callable[[str], list[int]] | None:
+    """An encoder by ranks that gives the ids of A on ASCII; none if A's ids don't follow the order of its merges."""
+    merges = [m if isinstance(m, list) else m.split(" ") for m in parts["model"]["merges"]]
+    made = [shown.get("".join(merge), -1) for merge in merges]
+    tokens = {token: own for token, own in shown.items() if all(c in back for c in token)}
+    if any(x < 0 for x in made) or made != sorted(set(made)) or len(merges) + 256 > len(tokens):
+        return None
+    import tiktoken
+
+    ranks = {b"".join(map(back.__getitem__, token)): own for token, own in tokens.items()}
+    for token in parts["added_tokens"]:
+        ranks.pop(token["content"].encode(), None)
+    return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def _said(table: list[bytes], end: str) -> np.ndarray:
+    """Each id as text, with what follows it."""
+    return np.array([f"{own}{end}" for own in range(len(table))], object)
+
+
 @lru_cache(maxsize=1)
 def pairing(a_path: str, b_path: str) -> Pairing:
     return Pairing(a_path, b_path)
@@ -233,8 +283,10 @@ def _lists_of(chunk: int, links: list[bytes]) -> Iterator[pa.RecordBatch]:
 
 
 def _indexed(a_path: str, b_path: str, keep_groups: bool) -> Callable:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pairing(a_path, b_path)
+        gc.disable()  # what is remembered has no cycles, and looking for some takes a fifth of the time
         chunk = TaskContext.get().partitionId() << 32
         links: list[bytes] = []
         held = 0
@@ -253,6 +305,7 @@ def _indexed(a_path: str, b_path: str, keep_groups: bool) -> Callable:
                 yield _record({n: list(x) for (n, _), x in zip(FIELDS[:N_DOC], zip(*rows, strict=True), strict=True)})
         if links:
             yield from _lists_of(chunk, links)
+        gc.enable()
 
     return run
 
