@@ -197,9 +197,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     # The n-grams of the few texts that take part are made again; those of all texts are never stored.
     texts = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["first"]), "left_semi")
     run, schema = _sets(with_ngrams=True)
-    made = texts.mapInArrow(run, schema).join(wanted.select("id", "hi", "lo"), ["hi", "lo"])
-    made = stored(made.groupBy("id").agg(F.any_value("ngrams").alias("ngrams")), "jaccard-ngrams")
-    for x in "ab":
+    made = texts.mapInArrow(run, schema).join(small(wanted.select("id", "hi", "lo"), BROADCAST_KEYS), ["hi", "lo"])
+    # Dealt by id once, for both joins; of a crowd and its leader the crowd's n-grams move on, once.
+    made = made.groupBy("id").agg(F.any_value("ngrams").alias("ngrams"))
+    for x in "ba":
         near = near.join(made.select(F.col("id").alias(x), F.col("ngrams").alias(f"ngrams_{x}")), x)
     shared = F.size(F.array_intersect("ngrams_a", "ngrams_b"))
     reached = 100 * shared >= SIMILARITY * (F.col("n_a") + F.col("n_b") - shared)
