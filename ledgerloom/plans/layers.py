@@ -1,33 +1,37 @@
 """The layered refresh: raw tables, conformed tables, mart, each saved under its own schema.
 
-A saved table is a view of the files of one generation. A refresh writes a new generation and then lets
-the view show it, which is one step in the catalog: until it is done, and if it fails, readers have the
-last complete generation. Generations that no view shows any more stay until
-their folders are removed, as a reader may still be busy with them.
+A saved table is a view of the files of one generation. A refresh writes new generations of all layers, or further
+batches of the raw ones, and then publishes them together by one record of the job's log: until then, and if the
+refresh fails, readers have the last complete one. Loads are in the log as well, each with its files. Generations
+that no table shows any more stay until :func:`clean` removes them, as a reader may still be busy with them.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Collection, Mapping, Sequence
-from dataclasses import dataclass, field
+from contextlib import AbstractContextManager
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ledgerloom.operators.quality import enforce, observe
 from ledgerloom.plans.dimensions import CONFORMED_TS, DIMENSION_NAMES, dimension_rows
 from ledgerloom.plans.pnl import MART, MART_TS, direct_lines, mart_rows
 from ledgerloom.plans.postings import FACT, posting_rows
 from ledgerloom.plans.rules import RULES
+from ledgerloom.plans.runs import BATCH, Run, State, published, publications, running, states_of
+from ledgerloom.sources.commits import CommitLog, Record
 from ledgerloom.sources.contracts import CONTRACTS, table_name
 from ledgerloom.sources.landing import Misfits
-from ledgerloom.streaming.append import landed_files, load_landed
+from ledgerloom.streaming.append import LOAD_COLUMNS, landed_files, load_landed
 
 #: The schema of each layer where the session's settings name no other.
 SCHEMAS = {"raw": "bronze", "conformed": "silver", "mart": "gold"}
 COUNTS = "rule_counts"
+HISTORY = "rule_history"
 
 
 @dataclass(frozen=True)
@@ -46,6 +50,8 @@ class Job:
     #: Values that don't convert become NULL and show in the rule counts, instead of stopping the refresh.
     lenient: bool = False
     partition_fact_by: Sequence[str] = ()
+    #: Seconds after which a run that didn't end no longer keeps others out.
+    stale_after: float = 24 * 3600.0
 
     def table(self, layer: str, name: str) -> str:
         return f"{self.catalog}.{self.schemas[layer]}.{name}"
@@ -64,67 +70,122 @@ def read_layer(spark: SparkSession, job: Job, layer: str, name: str) -> DataFram
     return spark.sql("SELECT * FROM IDENTIFIER(:name)", args={"name": job.table(layer, name)})
 
 
-def raw_tables(spark: SparkSession, job: Job) -> dict[str, DataFrame]:
-    return {table_name(s): read_layer(spark, job, "raw", table_name(s)) for s in CONTRACTS}
+def log_of(spark: SparkSession, job: Job) -> CommitLog:
+    return CommitLog(spark, f"{job.storage.rstrip('/')}/_log")
 
 
-def _show(spark: SparkSession, name: str, folder: str, schema: StructType, comment: str) -> None:
-    columns = ", ".join(f"`{c}`" for c in schema.fieldNames())
-    spark.sql(f"CREATE OR REPLACE VIEW {name} COMMENT '{comment}' AS SELECT {columns} FROM parquet.`{folder}`")
+def begun(spark: SparkSession, job: Job) -> AbstractContextManager[Run]:
+    """A run of the job; only one at a time."""
+    return running(spark, log_of(spark, job), lambda table: job.table(*table.split(".", 1)), job.stale_after)
 
 
-def save(df: DataFrame, job: Job, layer: str, name: str, comment: str, partition_by: Sequence[str] = ()) -> None:
-    """Write a new generation of a table and show it."""
+def read_snapshot(spark: SparkSession, job: Job, layer: str, name: str, run: str | None = None) -> DataFrame:
+    """A table as last published, or as ``run`` did; all tables of one run belong together."""
+    return spark.sql(published(log_of(spark, job), run)[f"{layer}.{name}"].select())
+
+
+def set_comment(spark: SparkSession, job: Job, layer: str, name: str, comment: str) -> None:
+    """Give a saved table another comment. It is a view, so ``COMMENT ON TABLE`` doesn't take it."""
+    with begun(spark, job) as run:
+        run.staged[f"{layer}.{name}"] = replace(run.state(f"{layer}.{name}"), comment=comment)
+
+
+def raw_tables(run: Run) -> dict[str, DataFrame]:
+    return {table_name(s): run.read(f"raw.{table_name(s)}") for s in CONTRACTS}
+
+
+def stage(run: Run, df: DataFrame, job: Job, layer: str, name: str, comment: str, partition_by: Sequence[str] = ()) -> None:
+    """Write a new generation of a table, to be published with the run."""
     folder = f"{job.folder(layer, name)}/{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         # Rows of a value meet, large values in several files; otherwise every task writes a file for each value.
         writer = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
     writer.parquet(folder)
-    _show(df.sparkSession, job.table(layer, name), folder, df.schema, comment)
+    run.staged[f"{layer}.{name}"] = State(folder, tuple(df.columns), comment)
 
 
-def refresh_raw(
-    spark: SparkSession, job: Job, sources: Collection[str] = tuple(CONTRACTS), append: bool = False
-) -> None:
+def save(df: DataFrame, job: Job, layer: str, name: str, comment: str, partition_by: Sequence[str] = ()) -> None:
+    """Write a new generation of a table and show it."""
+    with begun(df.sparkSession, job) as run:
+        stage(run, df, job, layer, name, comment, partition_by)
+
+
+def stage_raw(run: Run, job: Job, sources: Collection[str], append: bool) -> None:
     """Load sources into their raw tables: all landed files, or with ``append`` those not loaded so far.
 
-    What a generation has loaded is kept beside it. So appending goes on from whatever generation is shown,
-    also one that a full load began, and a full load begins a new one.
+    Every load is noted with its generation, batch, rows and files as soon as it is written. Appending goes on from
+    whatever generation is published, also one that a full load began, and a full load begins a new one.
     """
     for source in sources:
         name = table_name(source)
-        full, root = job.table("raw", name), job.folder("raw", name)
-        goes_on = append and spark.catalog.tableExists(full)
-        generation = spark.catalog.getTable(full).description.rsplit(" ", 1)[1] if goes_on else uuid.uuid4().hex
-        rows = landed_files(spark, source, job.landing, job.misfits, job.lineage)
+        root, last = job.folder("raw", name), run.state(f"raw.{name}")
+        folder = last.folder if append and last else f"{root}/{uuid.uuid4().hex}"
+        generation = folder.rsplit("/", 1)[1]
+        rows = landed_files(run.spark, source, job.landing, job.misfits, job.lineage)
+        columns = [c for c in rows.columns if c not in LOAD_COLUMNS]
         # Where nothing has landed yet, readers find the columns.
-        empty = f"{root}/{generation}/_batch=-1"
-        spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(empty)
-        load_landed(rows, f"{root}/{generation}", f"{root}/state-{generation}")
-        _show(spark, full, f"{root}/{generation}", rows.schema, f"Raw extract of {source}, generation {generation}")
+        run.spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{folder}/{BATCH}=-1")
+
+        def note(batch: int, n: int, files: list[dict], table: str = name, generation: str = generation) -> None:
+            run.note("load", table=table, generation=generation, batch=batch, rows=n, files=files)
+
+        load_landed(rows, folder, f"{root}/state-{generation}", note)
+        batches = max((r["batch"] for r in loads(run.log, name) if r["generation"] == generation), default=-1)
+        retracted = last.retracted if last and last.folder == folder else ()
+        run.staged[f"raw.{name}"] = State(folder, tuple(columns), f"Raw extract of {source}.", batches, retracted)
+
+
+def loads(log: CommitLog, table: str) -> list[Record]:
+    """The loads of a raw table: ``generation, batch, rows, files``; of a load that was repeated, the last."""
+    found = {(r["generation"], r["batch"]): r for r in log.records() if r["event"] == "load" and r["table"] == table}
+    return list(found.values())
+
+
+def refresh_raw(
+    spark: SparkSession, job: Job, sources: Collection[str] = tuple(CONTRACTS), append: bool = False
+) -> None:
+    """Load sources and show their raw tables."""
+    with begun(spark, job) as run:
+        stage_raw(run, job, sources, append)
+
+
+def retract(spark: SparkSession, job: Job, source: str, file: str) -> int:
+    """Take the load with a landed file whose path ends in ``file`` out of its raw table; returns its batch.
+
+    Its other files go as well. What is to replace them lands under other names and is appended.
+    """
+    name = table_name(source)
+    with begun(spark, job) as run:
+        state = run.state(f"raw.{name}")
+        own = [r for r in loads(run.log, name) if state and r["generation"] == state.folder.rsplit("/", 1)[1]]
+        batch = next((r["batch"] for r in own if any(f["file"].endswith(file) for f in r["files"])), None)
+        if batch is None:
+            raise KeyError(f"no load of {source} has a file {file}")
+        run.staged[f"raw.{name}"] = replace(state, retracted=tuple(sorted({*state.retracted, batch})))
+        return batch
 
 
 def refresh_model(
-    rows: DataFrame, job: Job, layer: str, table: str, stamp: str, comment: str, partition_by: Sequence[str] = ()
+    run: Run, rows: DataFrame, job: Job, layer: str, table: str, stamp: str, comment: str, partition_by: Sequence[str] = ()
 ) -> dict[str, int]:
     """Save a model and count its rule violations in the same pass over its rows."""
     counted, observation = observe(rows, RULES[table], f"{job.table(layer, table)} rules")
     kept = enforce(counted, RULES[table]).withColumn(stamp, F.current_timestamp())
-    save(kept, job, layer, table, comment, partition_by)
+    stage(run, kept, job, layer, table, comment, partition_by)
     return observation.get
 
 
-def refresh_conformed(spark: SparkSession, job: Job) -> dict[str, dict[str, int]]:
-    """Save the dimensions and the fact; returns rows and violations per table."""
-    raw = raw_tables(spark, job)
+def stage_conformed(run: Run, job: Job) -> dict[str, dict[str, int]]:
+    raw = raw_tables(run)
     counts = {
         table: refresh_model(
-            dimension_rows(table, raw, lenient=job.lenient), job, "conformed", table, CONFORMED_TS, f"Dimension {table}."
+            run, dimension_rows(table, raw, lenient=job.lenient), job, "conformed", table, CONFORMED_TS, f"Dimension {table}."
         )
         for table in DIMENSION_NAMES
     }
     counts[FACT] = refresh_model(
+        run,
         posting_rows(raw, lenient=job.lenient),
         job,
         "conformed",
@@ -136,25 +197,60 @@ def refresh_conformed(spark: SparkSession, job: Job) -> dict[str, dict[str, int]
     return counts
 
 
+def refresh_conformed(spark: SparkSession, job: Job) -> dict[str, dict[str, int]]:
+    """Save the dimensions and the fact; returns rows and violations per table."""
+    with begun(spark, job) as run:
+        return stage_conformed(run, job)
+
+
+def stage_mart(run: Run, job: Job, rows: DataFrame | None = None) -> dict[str, dict[str, int]]:
+    if rows is None:
+        rows = mart_rows(direct_lines(run.read(f"conformed.{FACT}")))
+    comment = "P&L by company, period, version, channel, division and sales organisation."
+    return {MART: refresh_model(run, rows, job, "mart", MART, MART_TS, comment)}
+
+
 def refresh_mart(spark: SparkSession, job: Job) -> dict[str, dict[str, int]]:
     """Save the P&L mart out of the saved fact."""
-    fact = read_layer(spark, job, "conformed", FACT)
-    rows = mart_rows(direct_lines(fact))
-    comment = "P&L by company, period, version, channel, division and sales organisation."
-    return {MART: refresh_model(rows, job, "mart", MART, MART_TS, comment)}
+    with begun(spark, job) as run:
+        return stage_mart(run, job)
 
 
-def save_counts(spark: SparkSession, job: Job, counts: Mapping[str, Mapping[str, int]]) -> None:
-    """Keep a refresh's rows and violations: a row for each table and rule."""
+def stage_counts(run: Run, job: Job, counts: Mapping[str, Mapping[str, int]]) -> None:
+    """A refresh's rows and violations, a row for each table and rule, after those of the refreshes before."""
     rows = [(table, rule, n) for table, rules in counts.items() for rule, n in rules.items()]
-    kept = spark.createDataFrame(rows, "table string, rule string, violations bigint")
-    kept = kept.withColumn("refreshed", F.current_timestamp())
-    save(kept, job, "mart", COUNTS, "Rows and rule violations of the last refresh.")
+    kept = run.spark.createDataFrame(rows, "table string, rule string, violations bigint")
+    kept = kept.withColumns({"refreshed": F.current_timestamp(), "run": F.lit(run.name)})
+    stage(run, kept, job, "mart", COUNTS, "Rows and rule violations of the last refresh.")
+    last = run.state(f"mart.{HISTORY}")
+    folder = last.folder if last else f"{job.folder('mart', HISTORY)}/{uuid.uuid4().hex}"
+    number = last.batches + 1 if last else 0
+    kept.write.mode("overwrite").parquet(f"{folder}/{BATCH}={number}")
+    run.staged[f"mart.{HISTORY}"] = State(folder, tuple(kept.columns), "Rows and rule violations of all refreshes.", number)
 
 
 def refresh(spark: SparkSession, job: Job, append: bool = False) -> dict[str, dict[str, int]]:
-    """Raw, then conformed, then mart; what the rules counted is stored, too."""
-    refresh_raw(spark, job, append=append)
-    counts = {**refresh_conformed(spark, job), **refresh_mart(spark, job)}
-    save_counts(spark, job, counts)
+    """Raw, then conformed, then mart, published together; what the rules counted is stored, too."""
+    with begun(spark, job) as run:
+        stage_raw(run, job, tuple(CONTRACTS), append)
+        counts = {**stage_conformed(run, job), **stage_mart(run, job)}
+        stage_counts(run, job, counts)
     return counts
+
+
+def clean(spark: SparkSession, job: Job, keep: int = 2, older_than: float = 24 * 3600.0) -> list[str]:
+    """Remove what no table of the last ``keep`` publications shows and that is ``older_than`` seconds old.
+
+    Returns the folders removed: generations, with the state of their loads. Nothing else in the storage is touched.
+    """
+    removed = []
+    with begun(spark, job) as run:
+        shown = {s.folder for record in publications(run.log)[-keep:] for s in states_of(record).values()}
+        known = {table for record in publications(run.log) for table in record["tables"]}
+        for table in sorted(known):
+            root = job.folder(*table.split(".", 1))
+            for name, changed in run.log.folders(root).items():
+                if f"{root}/{name.removeprefix('state-')}" not in shown and time.time() - changed >= older_than:
+                    run.log.remove(f"{root}/{name}")
+                    removed.append(f"{root}/{name}")
+    return removed

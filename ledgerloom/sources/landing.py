@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from enum import Enum
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 from pyspark.sql.types import StringType, StructType
@@ -44,11 +44,10 @@ def shaped(reader: DataFrameReader | DataStreamReader, schema: StructType, misfi
     )
 
 
-def with_lineage(df: DataFrame) -> DataFrame:
-    """Append load time and originating file."""
-    return df.withColumns(
-        {INGESTION_TS: F.current_timestamp(), SOURCE_FILE: F.col("_metadata.file_path")}
-    )
+def with_lineage(df: DataFrame, file: Column | None = None) -> DataFrame:
+    """Append load time and originating file, which is ``file`` where a frame has no metadata any more."""
+    file = F.col("_metadata.file_path") if file is None else file
+    return df.withColumns({INGESTION_TS: F.current_timestamp(), SOURCE_FILE: file})
 
 
 def shape_of(spark: SparkSession, source: str, path: str, infer_types: bool = False) -> StructType:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.plans.runs import BATCH
 from ledgerloom.sources.landing import Misfits, shape_of, shaped, source_path, with_lineage
 
-#: Every load's rows lie in a folder of their own; the name is no column of the table.
-BATCH = "_batch"
+#: The file that a row came from and its size, which stay in a batch's files and are no columns of the table.
+LOAD_COLUMNS = ("_load_file", "_load_bytes")
+
+#: Told of every batch written: its number, its rows, and its files as ``file, bytes, rows``.
+Note = Callable[[int, int, list[dict]], None]
 
 
 def landed_files(
@@ -18,18 +25,25 @@ def landed_files(
     shape = shape_of(spark, source, path)
     # As a pattern the path may be that of a single file, too.
     rows = shaped(spark.readStream, shape, misfits).load(f"{path[:-1]}[v]")
-    return with_lineage(rows) if lineage else rows
+    file, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    rows = rows.select("*", file.alias(LOAD_COLUMNS[0]), size.alias(LOAD_COLUMNS[1]))
+    return with_lineage(rows, F.col(LOAD_COLUMNS[0])) if lineage else rows
 
 
-def load_landed(rows: DataFrame, folder: str, state: str) -> None:
+def load_landed(rows: DataFrame, folder: str, state: str, note: Note) -> None:
     """Write the files that ``state`` hasn't seen below ``folder``, and stop.
 
     Every batch has a folder that a repeated attempt writes anew, so a failed run can simply be repeated
-    and no file is loaded twice. Readers see a batch once all of it is written.
+    and no file is loaded twice. Files without rows aren't noted.
     """
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/{BATCH}={number}")
+        path = f"{folder}/{BATCH}={number}"
+        batch.write.mode("overwrite").parquet(path)
+        file, size = LOAD_COLUMNS
+        written = batch.sparkSession.read.schema(batch.schema).parquet(path).groupBy(file, size).count().orderBy(file)
+        files = [{"file": r[file], "bytes": r[size], "rows": r["count"]} for r in written.collect()]  # one row per file
+        note(number, sum(f["rows"] for f in files), files)
 
     query = rows.writeStream.foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True)
     query.start().awaitTermination()
