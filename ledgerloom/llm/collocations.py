@@ -4,15 +4,16 @@ A phrase is a run of up to LONGEST words within a piece of text. A sample of one
 phrases are mined level by level at a lowered threshold. One pass over all documents then counts, exactly,
 every word, the proposed phrases and their negative border, that is every phrase whose own parts (without its
 last word, without its first) were proposed. A phrase of the border that turns out frequent is a failure of the
-sample: phrases that go on from it may be frequent and weren't counted. Further passes count what lies between
-the phrases now known and what was counted before, until a pass finds nothing that could go on.
+sample: phrases that hold it may be frequent and weren't counted. An expansion pass counts all phrases that hold a
+failure. Any frequent phrase that the first pass left out holds a smallest part that wasn't proposed; that part's own parts
+were, so it was counted and is a failure, and the expansion has counted the phrase. So one expansion closes the search.
 
-What was proposed reaches the workers as a bitmap of hashes for each number of words, of at most MOST_BITS
+What was proposed, or failed, reaches the workers as a bitmap of hashes for each number of words, of at most MOST_BITS
 bits however many phrases there are. A hash shared by chance only has a phrase counted that needn't be. Which
 pass counts a phrase follows from the bitmaps alone, so each phrase is counted by one pass, in whole.
 
-Workers count a slice of text at a time and give out sums; the words themselves, not their hashes, are the
-keys that sums are added up by. Nothing is gathered by language or phrase in one task.
+Workers count a slice of text at a time and give out sums, by language and by the 64-bit hashes of a phrase's words;
+frequent phrases get their words back from the table of frequent words. Nothing is gathered by language or phrase in one task.
 
 Rows: a null text counts as empty, a null language as ``und``. Rows that repeat a doc_id count each. Texts are
 taken whole; long ones are cut at the ends of pieces, which no phrase crosses. A table without texts, or
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import raw_texts, stored
+from ledgerloom.llm.common import raw_texts, stored, tidied
 
 LONGEST = 4
 FREQUENT = 30
@@ -44,16 +45,16 @@ SCALE = 2_000_000
 REPORTED = 2000
 #: Bits of a bitmap for each phrase, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 27
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Ends of pieces, as bytes. The mark stands for them; it is in no UTF-8 text.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 MARK = b"\xff"
 TO_MARK = bytes.maketrans(ENDS, MARK * len(ENDS))
 END = re.compile(rb"[.,;:!?\x0a-\x0d]")
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-COUNTED = "lang string, words int, phrase string, n long"
+COUNTED = "lang string, words int, key binary, n long"
 
-#: For each number of words but the longest, the bits of the phrases that are gone on from.
+#: For each number of words but the longest, the bits of some phrases.
 Bitmaps = dict[int, np.ndarray]
 
 
@@ -108,10 +109,13 @@ def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def count_slice(lang: str, texts: list[bytes], sizes: list[int], now: Bitmaps, before: list[Bitmaps]) -> Iterator[tuple[int, list[bytes | None], np.ndarray]]:
-    """``words, phrases, counts`` for each number of words in ``sizes``; 0 stands for all words together.
+def count_slice(
+    lang: str, texts: list[bytes], sizes: list[int], proposed: Bitmaps, failed: Bitmaps
+) -> Iterator[tuple[int, list[bytes] | np.ndarray, np.ndarray]]:
+    """``words, keys, counts`` for each number of words in ``sizes``; a phrase's key is the hashes of its words.
 
-    Phrases of several words count if both their parts are in ``now`` and not both in one of ``before``.
+    Keys of words are the words themselves, and 0 stands for all words together. Phrases of several words
+    count if both their parts are in ``proposed``; in an expansion those others that hold a phrase of ``failed``.
     """
     said = _words(texts)
     numbers: dict[bytes, int] = defaultdict(count().__next__)
@@ -120,25 +124,26 @@ def count_slice(lang: str, texts: list[bytes], sizes: list[int], now: Bitmaps, b
     vocabulary = list(numbers)
     if 1 in sizes:
         times = np.bincount(ids, minlength=len(vocabulary))
-        yield 0, [None], times[1:].sum(keepdims=True)
+        yield 0, [b""], times[1:].sum(keepdims=True)
         yield 1, vocabulary[1:], times[1:]
     if max(sizes) < 2:
         return
-    hashes = np.array([_word_hash(lang, w) for w in vocabulary], np.uint64)[ids]
-    whole = ids > 0
+    own = np.array([_word_hash(lang, w) for w in vocabulary], np.uint64)
+    hashes, whole = own[ids], ids > 0
+    holds = np.zeros(len(ids), bool)
     for size in range(2, max(sizes) + 1):
         # Parts start here and one word on.
         part = size - 1
-        here = whole & _has(now[part], hashes)
+        here = whole & _has(proposed[part], hashes)
         wanted = here[:-1] & here[1:]
-        for earlier in before:
-            known = whole & _has(earlier[part], hashes)
-            wanted &= ~(known[:-1] & known[1:])
+        if failed:
+            holds |= _has(failed[part], hashes)
+            holds = holds[:-1] | holds[1:]
+            wanted = ~wanted & holds & whole[:-1] & whole[1:]
         if size in sizes:
             at = np.flatnonzero(wanted)
             firsts, counts = _distinct(ids, at, size)
-            starts = at[firsts].tolist()
-            yield size, [b" ".join(said[s : s + size]) for s in starts], counts
+            yield size, own[ids[at[firsts][:, None] + np.arange(size)]], counts
         whole = whole[:-1] & whole[1:]
         hashes = _joined(hashes[:-1], hashes[1:])
 
@@ -156,87 +161,111 @@ def _distinct(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, n
     return firsts, counts
 
 
-def _counts(docs: DataFrame, sizes: list[int], least: int, now: Bitmaps, before: list[Bitmaps]) -> DataFrame:
-    """``lang, words, phrase, n`` of the phrases counted that occur ``least`` times, stored."""
-    held = docs.sparkSession.sparkContext.broadcast((now, before))
+def _binary(keys: list[bytes] | np.ndarray) -> pa.Array:
+    if isinstance(keys, list):
+        return pa.array(keys, pa.binary())
+    rows, width = keys.shape
+    offsets = np.arange(rows + 1, dtype=np.int32) * np.int32(8 * width)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(keys))])
 
+
+def _counts(docs: DataFrame, sizes: list[int], least: int, proposed: Bitmaps, failed: Bitmaps) -> DataFrame:
+    """``lang, words, key, n`` of the phrases counted that occur ``least`` times, stored."""
+    held = docs.sparkSession.sparkContext.broadcast((proposed, failed))
+
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, earlier = held.value
         for lang, texts in _slices(batches):
-            for words, phrases, counts in count_slice(lang, texts, sizes, current, earlier):
-                for start in range(0, len(phrases), 100_000):
-                    part = phrases[start : start + 100_000]
-                    columns = [pa.array([lang] * len(part), pa.string()), pa.array([words] * len(part), pa.int32())]
-                    columns += [pa.array(part, pa.binary()).cast(pa.string()), pa.array(counts[start : start + 100_000], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "n"])
-
-    made = docs.mapInArrow(run, COUNTED).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+            for words, keys, counts in count_slice(lang, texts, sizes, *held.value):
+                for start in range(0, len(keys), 100_000):
+                    part = keys[start : start + 100_000]
+                    columns = [pa.array([lang] * len(part), pa.string()), pa.array(np.full(len(part), words, np.int32))]
+                    columns += [_binary(part), pa.array(counts[start : start + 100_000], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "key", "n"])
+
+    made = docs.mapInArrow(run, COUNTED).groupBy("lang", "words", "key").agg(F.sum("n").alias("n"))
     made = stored(made.filter((F.col("words") == 0) | (F.col("n") >= least)), "collocations")
     held.destroy()
     return made
 
 
+def _hash_of(lang: str, words: int, key: bytes) -> int:
+    if words == 1:
+        return _word_hash(lang, key)
+    hashes = np.frombuffer(key, np.uint64)
+    while len(hashes) > 1:
+        hashes = _joined(hashes[:-1], hashes[1:])
+    return int(hashes[0])
+
+
 def _bitmap(phrases: DataFrame) -> np.ndarray:
-    """The bits of ``lang, phrase``, all of one number of words."""
+    """The bits of ``lang, words, key``, all of one number of words."""
     bits = 1 << 10
     while bits < min(MOST_BITS, BITS_EACH * phrases.count()):
         bits *= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True)
-            at = np.array([_phrase_hash(lang, phrase) for lang, phrase in rows], np.uint64) & np.uint64(bits - 1)
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            at = np.array([_hash_of(*row) for row in rows], np.uint64) & np.uint64(bits - 1)
             masks = np.uint64(1) << (at & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(masks.view(np.int64))], ["place", "mask"])
 
-    words = phrases.select("lang", "phrase").mapInArrow(run, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask"))
-    found = words.toArrow()  # MOST_BITS / 64 rows at most
+    longs = phrases.select("lang", "words", "key").mapInArrow(run, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask"))
+    found = longs.toArrow()  # MOST_BITS / 64 rows at most
     made = np.zeros(bits // 64, np.int64)
     made[found["place"].to_numpy()] = found["mask"].to_numpy()
     return made.view(np.uint8)
 
 
-def _phrase_hash(lang: str, phrase: bytes) -> int:
-    hashes = np.array([_word_hash(lang, w) for w in phrase.split(b" ")], np.uint64)
-    while len(hashes) > 1:
-        hashes = _joined(hashes[:-1], hashes[1:])
-    return int(hashes[0])
-
-
 def _of_size(phrases: DataFrame, words: int) -> DataFrame:
     return phrases.filter(F.col("words") == words)
 
 
 def _proposed(sample: DataFrame) -> tuple[DataFrame, Bitmaps]:
-    """The sample's phrases, level by level, with PROPOSED occurrences there."""
-    found, now = None, {}
+    """The sample's phrases, level by level, with PROPOSED occurrences there; and their bits."""
+    found, bits = None, {}
     for words in range(1, LONGEST):
-        level = _of_size(_counts(sample, [words], PROPOSED, now, []), words)
+        level = _of_size(_counts(sample, [words], PROPOSED, bits, {}), words)
         found = level if found is None else found.unionByName(level)
-        now[words] = _bitmap(level)
-    return found, now
+        bits[words] = _bitmap(level)
+    return found, bits
 
 
 def frequent_phrases(docs: DataFrame, least: int = FREQUENT) -> DataFrame:
-    """``lang, words, phrase, n`` of every phrase with ``least`` occurrences in its language; ``words`` 0 is for all words."""
+    """``lang, words, said, n`` of every phrase, as its words, with ``least`` occurrences in its language; ``words`` 0 is for all words."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", "doc_id")
     chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0
     texts = docs.select("lang", "text")
-    known, now = _proposed(docs.filter(chosen).select("lang", "text"))
-    found = _counts(texts, list(range(1, LONGEST + 1)), least, now, [])
-    before: list[Bitmaps] = []
-    latest = found
-    while True:
-        # Frequent phrases that weren't proposed: what goes on from them is still to be counted.
-        failed = latest.filter(F.col("words").between(1, LONGEST - 1)).join(known, ["lang", "words", "phrase"], "left_anti")
-        failed = stored(failed, "collocations-failed")
-        if failed.isEmpty():
-            return found
-        known = known.unionByName(failed)
-        before = [*before, now]
-        now = {words: _bitmap(_of_size(known, words)) for words in range(1, LONGEST)}
-        latest = _counts(texts, list(range(2, LONGEST + 1)), least, now, before)
-        found = found.unionByName(latest)
+    known, proposed = _proposed(docs.filter(chosen).select("lang", "text"))
+    found = _counts(texts, list(range(1, LONGEST + 1)), least, proposed, {})
+    # Frequent phrases that weren't proposed: what holds them is still to be counted.
+    missed = found.filter(F.col("words").between(1, LONGEST - 1)).join(known, ["lang", "words", "key"], "left_anti")
+    missed = stored(missed, "collocations-failed")
+    if not missed.isEmpty():
+        failed = {words: _bitmap(_of_size(missed, words)) for words in range(1, LONGEST)}
+        found = found.unionByName(_counts(texts, list(range(2, LONGEST + 1)), least, proposed, failed))
+    return _spelt(found)
+
+
+def _spelt(found: DataFrame) -> DataFrame:
+    """Phrases with their words in place of hashes."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys = np.array([_word_hash(lang, word) for lang, word in zip(langs, words, strict=True)], np.uint64).reshape(-1, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(keys), batch.column(1).cast(pa.string())], ["lang", "part", "word"])
+
+    # Every word of a frequent phrase is frequent.
+    words = _of_size(found, 1).select("lang", "key").mapInArrow(hashed, "lang string, part binary, word string")
+    several = found.filter("words > 1")
+    places = several.select("lang", "words", "key", "n", F.explode(F.sequence(F.lit(0), F.col("words") - 1)).alias("place"))
+    parts = places.withColumn("part", F.substring("key", F.col("place") * 8 + 1, F.lit(8))).join(words, ["lang", "part"])
+    spelt = parts.groupBy("lang", "words", "key", "n").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("said"))
+    spelt = spelt.select("lang", "words", F.col("said.word").alias("said"), "n")
+    single = found.filter("words < 2").select("lang", "words", F.array(F.col("key").cast("string")).alias("said"), "n")
+    return stored(spelt.unionByName(single), "collocations-spelt")
 
 
 def _run(words: Column, first: int | Column, length: int | Column) -> Column:
@@ -253,9 +282,9 @@ def collocations(docs: DataFrame, reported: int = REPORTED, least: int = FREQUEN
     A phrase's score is that of its worst cut into a first part and a rest.
     """
     found = frequent_phrases(docs, least)
-    counts = found.filter("words > 0").select("lang", "words", "phrase", F.col("n").alias("a"))
+    counts = found.filter("words > 0").select("lang", "words", F.array_join("said", " ").alias("phrase"), F.col("n").alias("a"), "said")
     totals = found.filter("words = 0").select("lang", "n")
-    candidates = counts.filter("words > 1").withColumn("said", F.split("phrase", " "))
+    candidates = counts.filter("words > 1")
 
     longer = candidates.filter("words > 2")
     inner = [(k, size) for size in range(2, LONGEST) for k in range(1, LONGEST - size + 2)]
