@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +21,15 @@ from ledgerloom.functions.conform import Source, typed
 BROADCAST_KEY = "ledgerloom.broadcast.bytes"
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-# Size of the heavy-hitter sketch: it cannot miss a key with half a percent of the rows.
-# What it misses is left to adaptive execution, which splits large partitions at run time.
+# Least size of the heavy-hitter sketch: it cannot miss a key with half a percent of the rows; it grows with the
+# number of partitions. What it misses is left to adaptive execution, which splits large partitions at run time.
 TRACKED_KEYS = 4096
 REPORTED_KEYS = 100
 SKETCH_GROUPS = 256
 
+# The share of rows without a key from which on they are left out of a join, and for how many joins at most.
+KEYLESS, KEYLESS_SIDES = 0.1, 2
+
 # What a row, and each of its cells, takes in a broadcast table besides the text itself.
 ROW_BYTES = 48
 CELL_BYTES = 16
@@ -77,6 +80,8 @@ class Spread:
 
     hot: Mapping[str, int] = field(default_factory=dict)
     missing: int = 1
+    #: The share of rows without a key.
+    keyless: float = 0.0
 
     def __bool__(self) -> bool:
         return bool(self.hot) or self.missing > 1
@@ -143,11 +148,13 @@ def find_spread(fact: DataFrame, sides: Sequence[Side], partitions: int) -> dict
     """
     if not sides:
         return {}
+    # A key that fills two average partitions has as many rows as only half as many keys as partitions can have.
+    reported, tracked = max(REPORTED_KEYS, partitions), max(TRACKED_KEYS, 4 * partitions)
     keyed = fact.select(*[composite(list(side.on)).alias(side.name) for side in sides])
     sketches = keyed.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))).agg(
         F.count(F.lit(1)).alias("__rows"),
         *[
-            F.expr(f"approx_top_k(`{side.name}`, {REPORTED_KEYS}, {TRACKED_KEYS})").alias(side.name)
+            F.expr(f"approx_top_k(`{side.name}`, {reported}, {tracked})").alias(side.name)
             for side in sides
         ],
     )
@@ -164,21 +171,45 @@ def find_spread(fact: DataFrame, sides: Sequence[Side], partitions: int) -> dict
         .groupBy("side", "key")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "side", "key")
-        .limit(1 + REPORTED_KEYS * len(sides))
+        .limit(1 + reported * len(sides))
         .collect()
     )
     counts: dict[str, dict[str | None, int]] = {"": {}, **{side.name: {} for side in sides}}
     for row in frequent:
         counts[row["side"]][row["key"]] = row["n"]
-    per_partition = max(1.0, counts[""].get("", 0) / partitions)
+    total_rows = counts[""].get("", 0)
+    per_partition = max(1.0, total_rows / partitions)
     spreads = {}
     for side in sides:
         pieces = {key: min(partitions, int(n / per_partition)) for key, n in counts[side.name].items()}
         missing = max(1, pieces.pop(None, 1))
-        spreads[side.name] = Spread({key: n for key, n in pieces.items() if n > 1}, missing)
+        keyless = counts[side.name].get(None, 0) / max(1, total_rows)
+        spreads[side.name] = Spread({key: n for key, n in pieces.items() if n > 1}, missing, keyless)
     return spreads
 
 
+def _pieces(spread: Spread, columns: Sequence[str]) -> Column:
+    if not spread.hot:
+        return F.lit(1)
+    hot = F.create_map(*[F.lit(v) for pair in spread.hot.items() for v in pair])
+    return F.coalesce(F.try_element_at(hot, composite(columns)), F.lit(1))
+
+
+def piece_of(side: Side, spread: Spread, spread_by: Sequence[str], missing: int | None = None) -> Column:
+    """The number of the piece of its key that a fact row belongs to, zero but for hot and missing keys.
+
+    It follows from the row's own columns alone, so that filters pass below the join and a recomputed task gives the same one.
+    """
+    own = list(side.on)
+    count = F.when(composite(own).isNull(), spread.missing if missing is None else missing).otherwise(_pieces(spread, own))
+    return F.pmod(F.xxhash64(*[F.col(c) for c in (*own, *spread_by)]), count).cast("int")
+
+
+def pieces_of(side: Side, spread: Spread) -> Column:
+    """All piece numbers of the key of a dimension row, projected by its side."""
+    return F.sequence(F.lit(0), _pieces(spread, side.keys) - 1)
+
+
 def attach(
     fact: DataFrame,
     dim: DataFrame,
@@ -190,33 +221,39 @@ def attach(
     """Join one dimension, already projected by its side, to the fact.
 
     Rows of a hot key get a piece number and meet that key's dimension rows, repeated once
-    per piece; rows without a key match nothing and are spread the same way. The piece
-    number follows from the row and its partition, so a recomputed task gives the same one.
+    per piece; rows without a key match nothing and are spread the same way.
     """
+    dim = dim.hint(hint) if hint and not spread else dim
     if not spread:
         on = [F.col(left) == F.col(side.key(left)) for left in side.on]
-        return fact.join(dim.hint(hint) if hint else dim, on, side.how).drop(*side.keys)
+        return fact.join(dim, on, side.how).drop(*side.keys)
 
     piece, dim_piece = f"__{side.name}_piece", f"__{side.name}_dim_piece"
-    hot = F.create_map(*[F.lit(v) for pair in spread.hot.items() for v in pair])
-
-    def pieces(columns: Sequence[str]) -> Column:
-        if not spread.hot:
-            return F.lit(1)
-        return F.coalesce(F.try_element_at(hot, composite(columns)), F.lit(1))
-
-    own = list(side.on)
-    count = F.when(composite(own).isNull(), spread.missing).otherwise(pieces(own))
-    # Of the row's own columns alone, so that filters pass below the join.
-    row = F.xxhash64(*[F.col(c) for c in (*own, *spread_by)])
-    left = fact.withColumn(piece, F.pmod(row, count).cast("int"))
-    right = dim.withColumn(dim_piece, F.explode(F.sequence(F.lit(0), pieces(side.keys) - 1)))
+    left = fact.withColumn(piece, piece_of(side, spread, spread_by))
+    right = dim.withColumn(dim_piece, F.explode(pieces_of(side, spread)))
     right = right.hint(hint) if hint else right
-    on = [F.col(name) == F.col(side.key(name)) for name in own]
+    on = [F.col(name) == F.col(side.key(name)) for name in side.on]
     joined = left.join(right, [*on, F.col(piece) == F.col(dim_piece)], side.how)
     return joined.drop(piece, dim_piece, *side.keys)
 
 
+def attach_keyed(
+    fact: DataFrame, dim: DataFrame, side: Side, hint: str | None = None, spread: Spread = Spread(), spread_by: Sequence[str] = ()
+) -> DataFrame:
+    """The same rows as :func:`attach`, but those without a key never leave their task.
+
+    They match nothing, so they get empty columns where they are read; only the others are joined. The fact is
+    read twice for that, each time with a filter that its scan can take.
+    """
+    if side.how != "left":
+        return attach(fact, dim, side, hint, spread, spread_by)
+    missing = reduce(or_, [F.col(c).isNull() for c in side.on])
+    keyed = attach(fact.filter(~missing), dim, side, hint, replace(spread, missing=1), spread_by)
+    kinds = {field.name: field.dataType for field in dim.schema.fields}
+    own = [F.lit(None).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in keyed.columns]
+    return keyed.unionByName(fact.filter(missing).select(*own))
+
+
 def star(
     fact: DataFrame,
     dims: Sequence[tuple[Side, DataFrame]],
@@ -237,8 +274,12 @@ def star(
     large.sort(key=lambda pair: len(pair[0].columns))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spreads = find_spread(fact, [side for side, _ in large], partitions)
+    # Each of them has the fact read twice, so only those with most rows to keep in place.
+    keyless = [side.name for side, _ in large if spreads[side.name].keyless >= KEYLESS]
+    apart = sorted(keyless, key=lambda name: -spreads[name].keyless)[:KEYLESS_SIDES]
     for side, dim in large:
-        fact = attach(fact, side.project(dim), side, hints[side.name], spreads[side.name], spread_by)
+        join = attach_keyed if side.name in apart else attach
+        fact = join(fact, side.project(dim), side, hints[side.name], spreads[side.name], spread_by)
     for side, dim in small:
         fact = attach(fact, side.project(dim), side, "broadcast")
     return fact

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.conform import account_type
 from ledgerloom.operators.quality import enforce
-from ledgerloom.operators.star import join_hints, star
+from ledgerloom.operators.star import Side, join_hints, star
 from ledgerloom.plans.dimensions import ACCOUNT_LINE, LINE, Raw
 from ledgerloom.plans.postings import FACT, JOURNAL, SIDES, SPREAD_BY, journal_lines
 from ledgerloom.plans.rules import RULES
@@ -66,24 +66,33 @@ def direct_lines(postings: DataFrame) -> DataFrame:
     return reported.groupBy(*GROUP, *line_keys()).agg(signed_amount())
 
 
-def direct_sums_from_journal(raw: Raw, lenient: bool = False) -> DataFrame:
-    """Signed amounts straight from the raw tables, summed by key before names are joined.
-
-    Only sums are shuffled and named. Where a key has several names its sum appears under
-    each of them, as its postings would; the rows are therefore still to be added up.
-    """
-    lines = enforce(journal_lines(raw["acdoca"], lenient), RULES[FACT])
-    accounts = [
+def account_sides(raw: Raw) -> list[tuple[Side, DataFrame]]:
+    """What leaves the lines of mapped P&L accounts, with their statement line and sign."""
+    return [
         (SIDES["ska1"].only().required(), raw["ska1"].filter(account_type() == "P&L")),
         (ACCOUNT_LINE.required(), raw[ACCOUNT_LINE.name].filter(F.col("PNL_LINE_ID").isNotNull())),
     ]
-    names = [
+
+
+def name_sides(raw: Raw) -> list[tuple[Side, DataFrame]]:
+    """What gives names to sums."""
+    return [
         (LINE, raw[LINE.name]),
         (SIDES["t001"].only("company_name", "company_country"), raw["t001"]),
         (SIDES["tvtw"], raw["tvtw"]),
         (SIDES["tspa"], raw["tspa"]),
         (SIDES["tvko"], raw["tvko"]),
     ]
+
+
+def direct_sums_from_journal(raw: Raw, lenient: bool = False) -> DataFrame:
+    """Signed amounts straight from the raw tables, summed by key before names are joined.
+
+    Only sums are shuffled and named. Where a key has several names its sum appears under
+    each of them, as its postings would; the rows are therefore still to be added up.
+    """
+    lines = enforce(journal_lines(raw["acdoca"], lenient), RULES[FACT])
+    accounts, names = account_sides(raw), name_sides(raw)
     hints = join_hints(lines.sparkSession, [*accounts, *names])
     sums = star(lines, accounts, SPREAD_BY, hints).groupBy(*KEYS, "pnl_line_id").agg(signed_amount())
     named = star(sums, names, ("fiscal_year", "fiscal_period"), hints)
