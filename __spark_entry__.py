@@ -16,7 +16,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_queries  # noqa: E402
 from ledgerloom.operators.quality import enforce, observe, quarantine, report  # noqa: E402
-from ledgerloom.plans import layers, pnl, postings, reports  # noqa: E402
+from ledgerloom.operators.star import BROADCAST_KEY  # noqa: E402
+from ledgerloom.plans import clustered, documents, increments, layers, pnl, postings, repairs, reports, runs  # noqa: E402
 from ledgerloom.plans.dimensions import CONFORMED_TS, DIMENSION_NAMES, dimension, dimension_rows  # noqa: E402
 from ledgerloom.plans.rules import RULES  # noqa: E402
 from ledgerloom.sources import landing  # noqa: E402
@@ -165,6 +166,105 @@ def refresh_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise AssertionError("a malformed amount was loaded")
 
 
+def raw_append_recommented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appending goes on after the table's comment was replaced, as loads are known from the job's log."""
+    job = new_job(spark, "recommented", lineage=False)
+    journal = RawTables(spark, sf_dir)["acdoca"]
+    late = F.coalesce(F.col("MONAT") > "06", F.lit(False))
+    for batch in (journal.filter(~late), journal.filter(late)):
+        landing.land(batch, "ACDOCA", job.landing, mode="append")
+        layers.refresh_raw(spark, job, ["ACDOCA"], append=True)
+        layers.set_comment(spark, job, "raw", "acdoca", "The general ledger")
+    return layers.read_layer(spark, job, "raw", "acdoca")
+
+
+def raw_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the job's log says of two loads, and that a third one is refused while a run hasn't ended."""
+    job = new_job(spark, "loads", lineage=False)
+    journal = RawTables(spark, sf_dir)["acdoca"]
+    late = F.coalesce(F.col("MONAT") > "06", F.lit(False))
+    for batch in (journal.filter(~late), journal.filter(late)):
+        landing.land(batch, "ACDOCA", job.landing, mode="append")
+        layers.refresh_raw(spark, job, ["ACDOCA"], append=True)
+    try:
+        with layers.begun(spark, job):
+            layers.refresh_raw(spark, job, ["ACDOCA"], append=True)
+        refused = False
+    except runs.ConcurrentRun:
+        refused = True
+    noted = layers.loads(layers.log_of(spark, job), "acdoca")
+    rows = [(r["batch"], r["rows"], sum(f["rows"] for f in r["files"]), refused) for r in noted]
+    return spark.createDataFrame(rows, "batch int, row_count long, rows_in_files long, next_refused boolean")
+
+
+def raw_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of extracts of two orders of columns, one with a column that the contract doesn't have."""
+    customers = RawTables(spark, sf_dir)["kna1"]
+    path = landing.source_path(scratch_folder(spark, "reconciled"), "KNA1")
+    other = F.expr("CAST(KUNNR AS BIGINT) % 3 = 0")
+    first, second = customers.filter(~other), customers.filter(other)
+    turned = second.select(*reversed(second.columns), F.col("KUNNR").alias("OLD_ID"))
+    for part in (first, turned):
+        part.write.mode("append").option("header", True).csv(path)
+    return landing.read_reconciled(spark, "KNA1", path, lineage=False)
+
+
+def layers_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each layer's published tables after a refresh that loaded more lines and then failed in the mart."""
+    job = landed_job(spark, sf_dir, "snapshot")
+    layers.refresh(spark, job)
+    landing.land(RawTables(spark, sf_dir)["acdoca"], "ACDOCA", job.landing, mode="append")
+    stage, layers.stage_mart = layers.stage_mart, lambda *_: (_ for _ in ()).throw(ArithmeticError("no mart"))
+    try:
+        layers.refresh(spark, job, append=True)
+    except ArithmeticError:
+        pass
+    finally:
+        layers.stage_mart = stage
+    shown = (("raw", "acdoca"), ("conformed", postings.FACT), ("mart", pnl.MART))
+    return reduce(DataFrame.unionAll, [layers.read_layer(spark, job, *table).agg(F.lit(".".join(table)).alias("table_name"), F.count(F.lit(1)).alias("row_count")) for table in shown])
+
+
+def mart_after_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mart of two loads, of which the second is all that is read for it."""
+    job = new_job(spark, "by_load", lineage=False)
+    raw = RawTables(spark, sf_dir)
+    late = F.coalesce(F.col("MONAT") > "06", F.lit(False))
+    for name, table in raw.items():
+        landing.land(table.filter(~late) if name == "acdoca" else table, name.upper(), job.landing)
+    first = increments.refresh_by_load(spark, job)
+    landing.land(raw["acdoca"].filter(late), "ACDOCA", job.landing, mode="append")
+    second = increments.refresh_by_load(spark, job)
+    assert (first, second) == ([0], [1])
+    return layers.read_layer(spark, job, "mart", pnl.MART).drop(pnl.MART_TS)
+
+
+def mart_after_retraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mart after a load that had half of the journal twice was taken back."""
+    job = landed_job(spark, sf_dir, "retracted")
+    increments.refresh_by_load(spark, job)
+    again = RawTables(spark, sf_dir)["acdoca"].filter("MONAT > '06'")
+    landing.land(again, "ACDOCA", job.landing, mode="append")
+    increments.refresh_by_load(spark, job)
+    wrong = layers.loads(layers.log_of(spark, job), "acdoca")[-1]
+    layers.retract(spark, job, "ACDOCA", wrong["files"][0]["file"])
+    assert increments.refresh_merged(spark, job) == []
+    return layers.read_layer(spark, job, "mart", pnl.MART).drop(pnl.MART_TS)
+
+
+def quarantine_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal lines with those taken back that had no document, under a document of their company, sent twice."""
+    job = new_job(spark, "replayed")
+    rules = RULES[postings.FACT]
+    lines = postings.journal_lines(RawTables(spark, sf_dir)["acdoca"])
+    repairs.set_aside(spark, job, "journal", lines, rules, "first")
+    broken = repairs.set_aside_rows(spark, job, "journal")
+    fixed = broken.withColumns({"document_number": F.coalesce("document_number", F.lit("CORRECTED")), "fiscal_year": F.coalesce("fiscal_year", F.lit("2024"))})
+    for _ in range(2):
+        repairs.take_back(spark, job, "journal", fixed.select(*lines.columns, repairs.ID), rules)
+    return repairs.repaired(spark, job, "journal", lines, rules)
+
+
 def names_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw table under a schema that the session's settings name."""
     job = new_job(spark, "names", lineage=False)
@@ -199,6 +299,47 @@ def posting(only: tuple[str, ...] | None, spark: SparkSession, sf_dir: str) -> D
     return postings.postings(RawTables(spark, sf_dir), only).drop(CONFORMED_TS)
 
 
+def postings_header_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with their header, joined where both are stored."""
+    root = scratch_folder(spark, "documents")
+    tables = [f"spark_catalog.default.{t}_{root.rsplit('-', 1)[1]}" for t in ("lines", "headers")]
+    documents.store_documents(spark, RawTables(spark, sf_dir), *tables, root)
+    return postings.ordered(enforce(documents.lines_with_header(spark, *tables), RULES[postings.FACT]))
+
+
+def postings_full_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole fact out of journal and headers that are stored side by side."""
+    root = scratch_folder(spark, "fact")
+    tables = [f"spark_catalog.default.{t}_{root.rsplit('-', 1)[1]}" for t in ("lines", "headers")]
+    raw = RawTables(spark, sf_dir)
+    documents.store_documents(spark, raw, *tables, root)
+    lines = enforce(documents.lines_with_header(spark, *tables), RULES[postings.FACT])
+    return postings.ordered(postings.enrich(lines, raw, [name for name in postings.SIDES if name not in HEADER]))
+
+
+def postings_commercial_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and materials joined by key, as if they were too large to broadcast; lines without one stay in place."""
+    spark.conf.set(BROADCAST_KEY, "0")
+    try:
+        return posting(COMMERCIAL, spark, sf_dir)
+    finally:
+        spark.conf.unset(BROADCAST_KEY)
+
+
+def postings_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many stored postings have each of the three metadata columns, and a load time no later than that of the fact."""
+    job = landed_job(spark, sf_dir, "metadata")
+    layers.refresh_raw(spark, job)
+    layers.refresh_conformed(spark, job)
+    fact = layers.read_layer(spark, job, "conformed", postings.FACT)
+    return fact.agg(
+        F.count("bronze_ingestion_ts").alias("with_load_time"),
+        F.count_if(F.col("bronze_source_file").contains("/ACDOCA.csv/")).alias("with_source_file"),
+        F.count(CONFORMED_TS).alias("with_conformed_time"),
+        F.count_if(F.col("bronze_ingestion_ts") <= F.col(CONFORMED_TS)).alias("in_order"),
+    )
+
+
 # Data quality --------------------------------------------------------------------------
 
 
@@ -267,6 +408,14 @@ def filtered(rows: DataFrame) -> DataFrame:
     )
 
 
+def filtered_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filtered mart out of those files of the stored fact that may have rows for it."""
+    folder, by = scratch_folder(spark, "clustered"), ["fiscal_year", "company_code"]
+    clustered.write_clustered(posting(MART_SIDES, spark, sf_dir), folder, by)
+    facts = clustered.read_clustered(spark, folder, by, {"fiscal_year": ["1999", "2000"], "company_code": ["C1", "C2", "C3"]})
+    return filtered(pnl.profit_and_loss(facts).drop(pnl.MART_TS))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The P&L by company, period, version, channel, division and sales organisation."""
     return mart(spark, FLAGSHIP_DIR)
@@ -284,6 +433,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "layer_refresh": layer_refresh,
         "layer_refresh_rescued": layer_refresh_rescued,
         "refresh_after_failure": refresh_after_failure,
+        "raw_append_recommented": raw_append_recommented,
+        "raw_loads": raw_loads,
+        "raw_reconciled": raw_reconciled,
+        "layers_after_failure": layers_after_failure,
         "names_override": names_override,
         "table_comment": table_comment,
         **{f"dim_{name}": partial(dim, name) for name in DIMENSION_NAMES},
@@ -292,10 +445,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "postings_org": partial(posting, ORG),
         "postings_commercial": partial(posting, COMMERCIAL),
         "postings_full": partial(posting, None),
+        "postings_header_stored": postings_header_stored,
+        "postings_full_stored": postings_full_stored,
+        "postings_commercial_shuffled": postings_commercial_shuffled,
+        "postings_metadata": postings_metadata,
         "dq_report": dq_report,
         "dq_observed": dq_observed,
         "dq_drop": dq_drop,
         "dq_quarantine": dq_quarantine,
+        "quarantine_replayed": quarantine_replayed,
+        "mart_after_append": mart_after_append,
+        "mart_after_retraction": mart_after_retraction,
         "pnl_direct": direct,
         "pnl_wide": wide,
         "pnl_mart": mart,
@@ -308,6 +468,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pnl_waterfall": partial(over_mart, reports.waterfall),
         "pnl_channel_share": partial(over_mart, reports.channel_share),
         "pnl_filtered": partial(over_mart, filtered),
+        "pnl_filtered_stored": filtered_stored,
         **(llm.queries() if llm else {}),
     }
 

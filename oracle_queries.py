@@ -241,6 +241,16 @@ BODIES: dict[str, str] = {
     "raw_unregistered": """
         SELECT COLUMNS(*)::VARCHAR FROM customer""",
     "raw_append": "SELECT * FROM acdoca",
+    "raw_append_recommented": "SELECT * FROM acdoca",
+    "raw_loads": """
+        SELECT (MONAT > '06' AND MONAT IS NOT NULL)::INT AS batch, count(*) AS row_count, count(*) AS rows_in_files, TRUE AS next_refused
+        FROM acdoca GROUP BY ALL""",
+    "raw_reconciled": """
+        SELECT *, if(KUNNR::BIGINT % 3 = 0, '{"OLD_ID":"' || KUNNR || '"}', NULL) AS _rescued_data FROM kna1""",
+    "layers_after_failure": """
+        SELECT 'raw.acdoca' AS table_name, count(*) AS row_count FROM acdoca
+        UNION ALL SELECT 'conformed.financial_postings', count(*) FROM kept
+        UNION ALL SELECT 'mart.profit_and_loss', count(*) FROM mart""",
     "raw_text_kept": """
         SELECT c_custkey::VARCHAR AS KUNNR,
             '  ' || c_name || ' ' || chr(9) || '"q", ' || chr(10) || ' ' || c_mktsegment || '  ' AS NAME1
@@ -260,6 +270,11 @@ BODIES: dict[str, str] = {
     "postings_org": f"SELECT * FROM kept {ORG}",
     "postings_commercial": f"SELECT * FROM kept {COMMERCIAL}",
     "postings_full": f"SELECT {CLASSED} FROM kept {HEADER} {ACCOUNT_LINE} {COMMERCIAL} {ORG}",
+    "postings_header_stored": f"SELECT * FROM kept {HEADER}",
+    "postings_full_stored": f"SELECT {CLASSED} FROM kept {HEADER} {ACCOUNT_LINE} {COMMERCIAL} {ORG}",
+    "postings_commercial_shuffled": f"SELECT * FROM kept {COMMERCIAL}",
+    "postings_metadata": """
+        SELECT count(*) AS with_load_time, count(*) AS with_source_file, count(*) AS with_conformed_time, count(*) AS in_order FROM kept""",
     "dq_report": " UNION ALL ".join(violations(*check) for check in CHECKS),
     "dq_observed": " UNION ALL ".join(
         [
@@ -275,6 +290,12 @@ BODIES: dict[str, str] = {
     "dq_quarantine": f"""
         SELECT * EXCLUDE (failed), array_to_string(failed, ',') AS failed_rules
         FROM (SELECT *, {_FAILED} AS failed FROM journal) WHERE len(failed) > 0""",
+    "quarantine_replayed": """
+        SELECT * REPLACE (coalesce(document_number, if(fiscal_year IS NULL OR document_number IS NULL, 'CORRECTED', NULL)) AS document_number,
+                          coalesce(fiscal_year, '2024') AS fiscal_year)
+        FROM journal""",
+    "mart_after_append": "SELECT * FROM mart",
+    "mart_after_retraction": "SELECT * FROM mart",
     "pnl_direct": "SELECT * FROM direct",
     "pnl_wide": f"""
         SELECT {GROUP},
@@ -324,6 +345,11 @@ BODIES: dict[str, str] = {
         WHERE fiscal_year IN ('1999', '2000') AND fiscal_period <= 6 AND version = 'ACT'
           AND company_code IN ('C1', 'C2', 'C3') AND division_id = '02'
           AND distribution_channel_id = '10' AND sales_org_id IN ('S1', 'S3')""",
+    "pnl_filtered_stored": """
+        SELECT * FROM mart
+        WHERE fiscal_year IN ('1999', '2000') AND fiscal_period <= 6 AND version = 'ACT'
+          AND company_code IN ('C1', 'C2', 'C3') AND division_id = '02'
+          AND distribution_channel_id = '10' AND sales_org_id IN ('S1', 'S3')""",
 }
 
 
