@@ -1,7 +1,7 @@
 """Line dedup with a log-template tree: recurring line templates lose all but their first document.
 
 A line's path through the tree is its number of tokens and its first DEPTH tokens; tokens with a digit
-are variable and stand as ``<*>``. Below the path lies a leaf. Lines of a leaf that agree in every token
+are variable and stand as ``<*>``, unless a line has no others. In scripts without spaces each character is a token. Below the path lies a leaf. Lines of a leaf that agree in every token
 are one template. Where a leaf holds several, it gets one general template: the commonest token
 of every position, over the leaf's distinct lines (the larger string on ties). Lines that agree with
 it in SIMILARITY of their tokens or more belong to it, the other positions being variable fields; the
@@ -10,7 +10,7 @@ any order.
 
 A template recurs if MIN_DOCS documents or more (distinct doc_ids) have a line of it. Its lines are dropped
 from all documents but the one of the smallest doc_id, so nothing that was said is lost altogether.
-Lines of fewer than MIN_TOKENS tokens are too short to tell and stay.
+Blank lines have no tokens and stay.
 
 Rows: a null text stays null and has no lines; an empty text is one empty line. Rows without a doc_id
 count for no document and lose lines that recur in others. Rows that repeat a doc_id count as one
@@ -25,27 +25,33 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import stored
 
 DEPTH = 3
-MIN_TOKENS = 3
-MIN_DOCS = 3
+MIN_TOKENS = 1
+MIN_DOCS = 2
 SIMILARITY = 0.8
 VARIABLE = "<*>"
 #: White space within a line; all of it separates tokens.
 WHITE = r"[ \t\r\x0b\x0c]"
 OTHER_WHITE = r"[\t\r\x0b\x0c]"
+#: The blocks of scripts that put no spaces between words (Thai to Tibetan, Burmese, Khmer, kana, Han), as
+#: first and last code points; and a character of any of them, for Java and for RE2.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+SIGN = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in UNSPACED) + "]"
+ONLY_VARIABLE = r"^<\*>( <\*>)*$"
 #: Leaves of several templates are broadcast only if counted as no more than this, 8 bytes each.
 BROADCAST_LEAVES = 1_000_000
 
 
 def masked(line: Column) -> Column:
-    """The line's tokens joined by one space each, those with a digit as ``<*>``."""
+    """The line's tokens joined by one space each, those with a digit as ``<*>`` if there are others."""
+    line = F.when(line.rlike(SIGN), F.regexp_replace(line, f"({SIGN})", " $1 ")).otherwise(line)
     plain = F.trim(F.when(F.contains(line, F.lit("  ")) | line.rlike(OTHER_WHITE), F.regexp_replace(line, f"{WHITE}+", " ")).otherwise(line))
     # A token is entered at its start only, and its parts give nothing back: linear in the line.
     variable = F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)
-    return F.when(line.rlike("[0-9]"), variable).otherwise(plain)
+    return F.when(line.rlike("[0-9]") & ~variable.rlike(ONLY_VARIABLE), variable).otherwise(plain)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for every line of enough tokens; ``text_hash`` tells rows of one doc_id apart."""
+    """A row for every line with tokens; ``text_hash`` tells rows of one doc_id apart."""
     # Masked before they become rows, so that no later step does it again.
     lines = F.transform(F.split("text", "\n"), masked)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.posexplode(lines).alias("pos", "masked"))
@@ -73,7 +79,7 @@ def _general(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, pos, template``: the template of every line of enough tokens."""
+    """``doc_id, text_hash, pos, template``: the template of every line with tokens."""
     lines = stored(_lines(docs).select("doc_id", "text_hash", "pos", "leaf", "line_id"), "lines")
     general = _general(docs, lines).withColumn("general", F.lit(True))
     template = F.when(F.col("general"), F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.col("line_id"))
@@ -125,12 +131,12 @@ WITH lines AS (
   SELECT doc_id, hash(text) AS text_hash, unnest(range(len(l))) AS pos, unnest(l) AS line
   FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
 ), plain AS (
-  SELECT doc_id, text_hash, pos, trim(regexp_replace(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' {{2,}}', ' ', 'g'), ' ') AS line
+  SELECT doc_id, text_hash, pos, trim(regexp_replace(translate(regexp_replace(line, '({SIGN})', ' \\1 ', 'g'), chr(9) || chr(13) || chr(11) || chr(12), '    '), ' {{2,}}', ' ', 'g'), ' ') AS line
   FROM lines
 ), tokenised AS (
-  SELECT doc_id, text_hash, pos, CASE WHEN line = '' THEN [] ELSE
-    string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '{VARIABLE}', 'g'), ' ') END AS tokens
-  FROM plain
+  SELECT doc_id, text_hash, pos, CASE WHEN line = '' THEN [] WHEN regexp_matches(variable, '{ONLY_VARIABLE}') THEN string_split(line, ' ')
+    ELSE string_split(variable, ' ') END AS tokens
+  FROM (SELECT *, regexp_replace(line, '[^ ]*[0-9][^ ]*', '{VARIABLE}', 'g') AS variable FROM plain)
 ), parsed AS (
   SELECT *, len(tokens) AS n, tokens[1:{DEPTH}] AS path FROM tokenised WHERE len(tokens) >= {MIN_TOKENS}
 ), distinct_lines AS (

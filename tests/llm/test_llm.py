@@ -12,6 +12,8 @@ import pytest
 import tiktoken
 import xxhash
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerloom.llm import bpe, chat, decontaminate, fingerprint, langid, linededup, pii, quality, queries, simhash, warc
 
@@ -430,3 +432,24 @@ def test_leaks_are_those_of_every_passage(spark):
     wanted = {(d, i): n for d, t in enumerate(texts) for i, w in items if (n := brute(w, t)) <= decontaminate.edits_allowed(len(w))}
     assert set(got) <= set(wanted) and all(got[k] == wanted[k] for k in got)
     assert len(got) >= 0.97 * len(wanted) > 40
+
+
+def test_lines_of_two_documents_short_ones_and_scripts_without_spaces_recur(spark):
+    passage = "a passage of sixteen words that stands in exactly two of the documents and in no more"
+    han = "漢字仮名交じり文"
+    rows = [(1, f"{passage}\nown a\n12 34\nLes."), (2, f"own b\n{passage}\n{han}\n56 78"), (3, f"{han}\nLes.\nown c\n\n12 34"), (4, f" {han}\n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame).collect()}
+    assert got == {1: rows[0][1], 2: f"own b\n{han}\n56 78", 3: "own c\n", 4: ""}
+    duck = duckdb.connect()
+    duck.register("documents", frame.toArrow())
+    assert {r[0]: r[1] for r in duck.execute(f"SELECT doc_id, text FROM ({linededup.ORACLE})").fetchall()} == got
+
+
+def test_names_that_clash_with_columns_of_the_operators(spark):
+    names = ["_hash", "_dropped", "kinds", "_row", "leaf", "fp", "text_hash", "rows", "root", "held_out"]
+    rows = [(1, "one line\nsaid here twice", *names), (2, "said here twice\nanother line of it", *names), (None, None, *names)]
+    frame = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    for made in (linededup.without_recurring(frame), simhash.one_of_each(frame), langid.only_identified(frame.withColumn("lang", F.lit("en")))):
+        rows = made.collect()
+        assert rows and all(r[n] == n for r in rows for n in names)
