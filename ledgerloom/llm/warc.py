@@ -4,14 +4,15 @@ Writing. Each record is a gzip member of its own, so archives can be cut and joi
 with equal payloads of MIN_BYTES or more have one ``response``, that of the largest page_id; the others
 are ``revisit`` records that name it and carry no payload. Only digests and ids are grouped to find it;
 payloads move once at most, dealt by page, so a payload that many pages share doesn't gather anywhere.
-A task writes one archive file, through Spark's own file writer and so to any store Spark knows:
-committed as a whole, written anew if an executor is lost. Members are followed by one zero byte,
-the padding that gzip readers skip.
+Archives go through Spark's own file writer and so to any store Spark knows: committed as a whole, written anew
+if an executor is lost. Of ARCHIVE_BYTES of payload, about, a task begins another file. That writer ends every row with a
+separator, here a zero byte, which is also the last byte of a gzip member of less than 16 MiB of content; so rows are
+members without it. After a larger record comes an empty member. Files are plain gzip throughout.
 
 Reading. An archive is read in sequence: members are decompressed incrementally in small chunks, the
-record's Content-Length frames its block, and block and payload are checked against their digests
-while they pass through, so a record needs no more memory than its headers and its block. A record that
-breaks any of these rules stops the job with BadRecord.
+record's Content-Length frames its block, and block and payload are checked against their digests, where it
+names them, while they pass through, so a record needs no more memory than its headers. Records of any kind are read, also those of other
+writers; names of fields are the same in any case. A record that breaks any of these rules stops the job with BadRecord.
 
 Rows: a null html is an empty payload; a null url an empty target. A page without a page_id has no id of
 its own in the archive; it is a response unless a page with an id has the same payload. Rows that
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +40,13 @@ MIN_BYTES = 0
 CHUNK = 1 << 16
 BATCH_BYTES = 8 << 20
 DATE = "1970-01-01T00:00:00Z"
-PADDING = "\0"
+#: What the file writer puts after each row, and the end of each member.
+LAST = "\0"
+#: Bytes of payload, about, of an archive file.
+ARCHIVE_BYTES = 128 << 20
+EMPTY_MEMBER = zlib.compressobj(wbits=31).flush()
+#: Kinds of records whose block is an HTTP message.
+HTTP_KINDS = ("response", "revisit", "request")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -83,7 +91,12 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [batch.column(x).to_pylist() for x in ("page_id", "url", "size", "sha1", "refers_to")]
             rows = zip(raw_texts(batch.column("html")), *columns, strict=True)
             made = [record(i, url or "", html or b"", size, sha1, refers) for html, i, url, size, sha1, refers in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["member"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(_open_ended, made), pa.binary())], ["member"])
+
+
+def _open_ended(member: bytes) -> bytes:
+    """A member, or a large one and an empty one, without the zero byte at the end."""
+    return (member if member.endswith(b"\0") else member + EMPTY_MEMBER)[:-1]
 
 
 def with_responses(pages: DataFrame) -> DataFrame:
@@ -103,15 +116,20 @@ def with_responses(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str) -> None:
-    """Writes a record for every row of ``pages`` to archives below ``folder``, one for each partition."""
+    """Writes a record for every row of ``pages`` to archives below ``folder``."""
+    size = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    records = max(1, ARCHIVE_BYTES // max(1, int(size)))
     members = with_responses(pages).mapInArrow(_members, "member binary")
-    members.select(F.col("member").cast("string")).write.option("lineSep", PADDING).text(folder)
+    writer = members.select(F.col("member").cast("string")).write.option("lineSep", LAST)
+    writer.option("maxRecordsPerFile", records).text(folder)
 
 
 @dataclass
 class Record:
+    #: Names in lower case.
     headers: dict[str, str]
-    payload_bytes: int
+    #: As declared by a revisit; none if it doesn't say.
+    payload_bytes: int | None
     payload_digest: str
 
 
@@ -121,12 +139,15 @@ def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes | None]:
     for chunk in chunks:
         while chunk:
             if member is None:
-                chunk = chunk.lstrip(PADDING.encode())
+                chunk = chunk.lstrip(b"\0")  # padding, which gzip readers skip
                 if not chunk:
                     break
                 member = zlib.decompressobj(wbits=31)
             # Little is decompressed at a time, whatever a chunk holds.
-            made = member.decompress(chunk, 4 * CHUNK)
+            try:
+                made = member.decompress(chunk, 4 * CHUNK)
+            except zlib.error as error:
+                raise BadRecord(f"no gzip member: {error}") from error
             chunk = member.unused_data if member.eof else member.unconsumed_tail
             if made:
                 yield made
@@ -142,9 +163,10 @@ def read_records(chunks: Iterator[bytes]) -> Iterator[Record]:
     held, state = bytearray(), None
     for made in _inflated(chunks):
         if made is None:
-            if state is None:
+            if state is not None:
+                yield state.finish()
+            elif held:
                 raise BadRecord("a member ends within the headers of its record")
-            yield state.finish()
             held, state = bytearray(), None
         elif state is None:
             held += made
@@ -156,11 +178,37 @@ def read_records(chunks: Iterator[bytes]) -> Iterator[Record]:
             state.add(made)
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    """``name: value`` lines; a line that starts with white space goes on with the value before."""
+    found: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            found[name] += " " + line.strip()
+        else:
+            name, colon, value = line.partition(":")
+            if not colon:
+                raise BadRecord(f"no header: {line[:40]!r}")
+            name = name.strip().lower()
+            found[name] = value.strip()
+    return found
+
+
+def _number(text: str, what: str) -> int:
+    if not text.isdecimal():
+        raise BadRecord(f"{what} is no number: {text[:40]!r}")
+    return int(text)
+
+
 def _headers(head: bytes) -> dict[str, str]:
-    version, *lines = head.decode().split("\r\n")
-    if not version.startswith("WARC/1."):
+    version, *lines = head.decode("utf-8", "replace").split("\r\n")
+    if not version.startswith("WARC/"):
         raise BadRecord(f"no record starts with {version[:20]!r}")
-    return dict(line.split(": ", 1) for line in lines)
+    found = _fields(lines)
+    for name in ("warc-type", "warc-record-id", "content-length"):
+        if name not in found:
+            raise BadRecord(f"a record has no {name}")
+    return found
 
 
 class _Block:
@@ -168,46 +216,56 @@ class _Block:
 
     def __init__(self, headers: dict[str, str]):
         self.headers = headers
-        self.left = int(headers["Content-Length"])
+        self.name, self.kind = headers["warc-record-id"], headers["warc-type"].lower()
+        self.left = _number(headers["content-length"], f"{self.name}: Content-Length")
         self.block, self.payload = hashlib.sha1(), hashlib.sha1()
-        self.http: bytearray | None = bytearray()
-        self.declared = self.size = 0
+        is_http = self.kind in HTTP_KINDS and headers.get("content-type", "application/http").startswith("application/http")
+        self.http: bytearray | None = bytearray() if is_http else None
+        self.declared: int | None = None
+        self.size = 0
         self.after = bytearray()
 
     def add(self, data: bytes) -> None:
         inside, rest = data[: self.left], data[self.left :]
         self.left -= len(inside)
-        self.after += rest
+        self.after += rest[:8]
         self.block.update(inside)
         if self.http is not None:
             self.http += inside
             end = self.http.find(b"\r\n\r\n")
             if end < 0:
                 return
-            fields = bytes(self.http[:end]).decode().split("\r\n")[1:]
-            self.declared = int(dict(x.split(": ", 1) for x in fields)["Content-Length"])
+            fields = _fields(bytes(self.http[:end]).decode("latin-1").split("\r\n")[1:])
+            if "content-length" in fields:
+                self.declared = _number(fields["content-length"], f"{self.name}: the payload's Content-Length")
             inside, self.http = bytes(self.http[end + 4 :]), None
         self.size += len(inside)
         self.payload.update(inside)
 
     def finish(self) -> Record:
-        if self.left or self.after != b"\r\n\r\n" or self.http is not None:
-            raise BadRecord(f"{self.headers['WARC-Record-ID']}: the block's length isn't its Content-Length")
-        for name, got in (("Block", self.block), ("Payload", self.payload)):
-            wanted = self.headers[f"WARC-{name}-Digest"].removeprefix("sha1:")
-            if name == "Payload" and self.headers["WARC-Type"] == "revisit":
+        if self.left or self.after != b"\r\n\r\n":
+            raise BadRecord(f"{self.name}: the block's length isn't its Content-Length")
+        if self.http:
+            raise BadRecord(f"{self.name}: the HTTP headers don't end")
+        own = {"block": digest(self.block.digest()), "payload": digest(self.payload.digest())}
+        for part in ("block", "payload"):
+            kind, _, wanted = self.headers.get(f"warc-{part}-digest", "").partition(":")
+            if part == "payload" and self.kind == "revisit":
                 if self.size:
-                    raise BadRecord(f"{self.headers['WARC-Record-ID']}: a revisit has a payload")
-            elif wanted != base64.b32encode(got.digest()).decode():
-                raise BadRecord(f"{self.headers['WARC-Record-ID']}: the {name.lower()}'s digest doesn't match")
-        if self.headers["WARC-Type"] == "response" and self.size != self.declared:
-            raise BadRecord(f"{self.headers['WARC-Record-ID']}: the payload's length isn't as declared")
-        return Record(self.headers, self.declared, self.headers["WARC-Payload-Digest"].removeprefix("sha1:"))
+                    raise BadRecord(f"{self.name}: a revisit has a payload")
+                own[part] = wanted
+            elif kind.lower() == "sha1" and wanted.upper() != own[part]:
+                raise BadRecord(f"{self.name}: the {part}'s digest doesn't match")
+        if self.kind == "revisit":
+            return Record(self.headers, self.declared, own["payload"])
+        if self.declared is not None and self.size != self.declared:
+            raise BadRecord(f"{self.name}: the payload's length isn't as declared")
+        return Record(self.headers, self.size, own["payload"])
 
 
 def _page(urn: str | None) -> int | None:
-    name = (urn or "").removeprefix("<urn:page:").rstrip(">")
-    return int(name) if name and name != "none" else None
+    found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", urn or "")
+    return int(found[1]) if found else None
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +279,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = []
             for x in read_records(bytes(view[at : at + CHUNK]) for at in range(0, len(view), CHUNK)):
                 h = x.headers
-                made.append((_page(h["WARC-Record-ID"]), h["WARC-Target-URI"], x.payload_bytes, x.payload_digest,
-                             h["WARC-Type"], _page(h.get("WARC-Refers-To"))))
+                made.append((_page(h["warc-record-id"]), h.get("warc-target-uri"), x.payload_bytes, x.payload_digest,
+                             h["warc-type"].lower(), _page(h.get("warc-refers-to"))))
                 if len(made) == 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), schema)], schema=schema)
                     made = []
@@ -231,7 +289,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` of every record below ``folder``."""
+    """``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` of every record below ``folder``.
+
+    Ids are those of pages; records of other writers have none.
+    """
     archives = spark.read.format("binaryFile").load(folder).select("content")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return archives.mapInArrow(_rows, schema)

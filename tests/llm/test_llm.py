@@ -1,9 +1,11 @@
 """Operators against brute force, and their behaviour on awkward rows."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
+import subprocess
 
 import duckdb
 import numpy as np
@@ -453,3 +455,34 @@ def test_names_that_clash_with_columns_of_the_operators(spark):
     for made in (linededup.without_recurring(frame), simhash.one_of_each(frame), langid.only_identified(frame.withColumn("lang", F.lit("en")))):
         rows = made.collect()
         assert rows and all(r[n] == n for r in rows for n in names)
+
+
+def test_archives_are_plain_gzip(spark, tmp_path, monkeypatch):
+    rows = [(k, f"http://a/{k}", "x" * k) for k in range(40)] + [(50, "big", "y" * (17 << 20)), (51, "null", None), (-7, "u", "z")]
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 20)
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), str(tmp_path / "warc"))
+    files = sorted((tmp_path / "warc").glob("part-*"))
+    assert len(files) > 2
+    whole = b"".join(gzip.decompress(f.read_bytes()) for f in files)
+    assert whole.count(b"WARC/1.1\r\n") == len(rows)
+    for f in files:
+        assert subprocess.run(["gzip", "-t"], input=f.read_bytes(), capture_output=True).stderr == b""
+    got = {r.page_id: r.payload_bytes for r in warc.read(spark, str(tmp_path / "warc")).collect()}
+    assert got == {i: len(t or "") for i, _, t in rows}
+
+
+def test_records_of_other_writers():
+    def member(head, block):
+        return gzip.compress(f"WARC/1.0\r\n{head}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+    info = member("warc-type: warcinfo\r\nWARC-RECORD-ID: <urn:uuid:1>\r\nContent-Type: application/warc-fields", b"software: x\r\n")
+    plain = member("WARC-Type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Type: application/http;msgtype=response", b"HTTP/1.1 200 OK\r\nserver: s\r\n\r\nbody")
+    asked = member("WARC-Type: request\r\nWARC-Record-ID: <urn:uuid:3>\r\nContent-Type: application/http", b"GET / HTTP/1.1\r\n\r\n")
+    got = list(warc.read_records(iter([info + plain, asked])))
+    assert [(x.headers["warc-type"], x.payload_bytes) for x in got] == [("warcinfo", 13), ("response", 4), ("request", 0)]
+    assert got[1].payload_digest == base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+    bad = [b"no gzip at all", gzip.compress(b"HTTP/1.1 200 OK\r\n\r\n"), member("WARC-Type: response\r\nnonsense", b""), plain[:-9], gzip.compress(b"WARC/1.0\r\nWARC-Type: x"),
+           member("WARC-Type: response\r\nWARC-Record-ID: 1", b"HTTP/1.1 200\r\nContent-Length: many\r\n\r\n"), gzip.compress(b"WARC/1.0\r\nWARC-Type: x\r\nWARC-Record-ID: 1\r\nContent-Length: -3\r\n\r\n")]
+    for broken in bad:
+        with pytest.raises(warc.BadRecord):
+            list(warc.read_records(iter([broken])))
