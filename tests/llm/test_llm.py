@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import subprocess
+import time
 
 import duckdb
 import numpy as np
@@ -486,3 +487,34 @@ def test_records_of_other_writers():
     for broken in bad:
         with pytest.raises(warc.BadRecord):
             list(warc.read_records(iter([broken])))
+
+
+def test_chat_takes_time_in_proportion_to_turns():
+    def took(n):
+        turns = [chat.Turn("user", f"<|im_end|> {k} " + "some text " * 20) for k in range(n)]
+        start = time.process_time()
+        output, found, rewrites = chat.spans(chat.chat_ml, turns)
+        assert len(found) == n and not rewrites and output[found[-1].text_start :].startswith(chat.escape(turns[-1].text))
+        return time.process_time() - start
+
+    took(2000)
+    assert took(8000) < 10 * min(took(2000) for _ in range(3)) + 0.2
+
+
+def test_appending_templates_have_the_spans_of_any_other():
+    turns = [chat.Turn(r, t) for r, t in (("user", "a<|b"), ("assistant", ""), ("user", "x"), ("\n", "y\\"))]
+    numbered = chat.Appending(lambda turn, k: f"{k}{turn.role}:{turn.text};")
+    for template in (chat.chat_ml, numbered):
+        assert chat.spans(template, turns) == chat.spans(lambda turns, own=template: own(turns), turns)
+    liar = chat.Appending(lambda turn, k: turn.text + ";")
+    liar_calls = type("Liar", (chat.Appending,), {"__call__": lambda self, turns: "".join(t.text + ";" for t in turns[-2:])})
+    assert chat.spans(liar_calls(liar.piece), turns)[2]
+
+
+def test_awkward_conversations(spark):
+    rows = [(None, 1, "user", "a"), (None, None, "assistant", "b"), (1, None, None, None), (1, 2, "user", "z"), (1, 2, "user", "z"), (1, 2, "assistant", "c")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.read_back(chat.format_conversations(turns)).collect()
+    assert sorted((repr(r.conv_id), r.n_turns, r.loss_chars) for r in made) == [("1", 4, 1), ("None", 1, 0), ("None", 1, 1)]
+    said = "\n\nassistant\nc\nuser\nz\nuser\nz\n"
+    assert hashlib.sha256(said.encode()).hexdigest() in {r.turns_sha256 for r in made}
