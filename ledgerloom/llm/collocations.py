@@ -38,14 +38,15 @@ from ledgerloom.llm.common import raw_texts, stored, tidied
 LONGEST = 4
 FREQUENT = 30
 #: One document in so many is sampled; phrases with so many occurrences there are proposed.
-SAMPLE, PROPOSED = 8, 2
+SAMPLE, PROPOSED = 8, 3
 #: Percent of a phrase's occurrences that lie in one longer phrase, which then stands for it.
 COVERED = 80
 SCALE = 2_000_000
 REPORTED = 2000
-#: Bits of a bitmap for each phrase, and at most.
-BITS_EACH, MOST_BITS = 16, 1 << 27
-SLICE_BYTES = 4 << 20
+#: Bits of a bitmap for each phrase, and at most; and how many of them each phrase sets.
+BITS_EACH, MOST_BITS, SET_EACH = 32, 1 << 27, 3
+#: Bytes of text that are counted at a time, and split into words at a time.
+SLICE_BYTES, SPLIT_BYTES = 8 << 20, 1 << 18
 #: Ends of pieces, as bytes. The mark stands for them; it is in no UTF-8 text.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 MARK = b"\xff"
@@ -104,24 +105,44 @@ def _word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, len(lang)) ^ xxhash.xxh64_intdigest(lang)
 
 
+def _places(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The bits that phrases set, one of each phrase at a time."""
+    for turn in range(SET_EACH):
+        yield _joined(hashes, np.uint64(turn)) & np.uint64(bits - 1)
+
+
 def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(8 * len(bits) - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    found = np.ones(len(hashes), bool)
+    for at in _places(hashes, 8 * len(bits)):
+        found &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
+
+
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The words of a slice as numbers, 0 for MARK, and the words by number."""
+    numbers: dict[bytes, int] = defaultdict(count().__next__)
+    numbers[MARK]
+    found, held, size = [], [], 0
+    for k, text in enumerate(texts, 1):
+        held.append(text)
+        size += len(text)
+        if size >= SPLIT_BYTES or k == len(texts):
+            said = [MARK, *_words(held)]
+            found.append(np.fromiter(map(numbers.__getitem__, said), np.int32, len(said)))
+            held, size = [], 0
+    return np.concatenate([*found, np.zeros(0, np.int32)]), list(numbers)
 
 
 def count_slice(
-    lang: str, texts: list[bytes], sizes: list[int], proposed: Bitmaps, failed: Bitmaps
+    lang: str, texts: list[bytes], sizes: list[int], proposed: Bitmaps, failed: Bitmaps, frequent: Bitmaps
 ) -> Iterator[tuple[int, list[bytes] | np.ndarray, np.ndarray]]:
     """``words, keys, counts`` for each number of words in ``sizes``; a phrase's key is the hashes of its words.
 
     Keys of words are the words themselves, and 0 stands for all words together. Phrases of several words
-    count if both their parts are in ``proposed``; in an expansion those others that hold a phrase of ``failed``.
+    count if both their parts are in ``proposed``; in an expansion those others that hold a phrase of ``failed``
+    and whose parts are in ``frequent`` or weren't counted before.
     """
-    said = _words(texts)
-    numbers: dict[bytes, int] = defaultdict(count().__next__)
-    numbers[MARK]
-    ids = np.fromiter(map(numbers.__getitem__, said), np.int64, len(said))
-    vocabulary = list(numbers)
+    ids, vocabulary = _numbered(texts)
     if 1 in sizes:
         times = np.bincount(ids, minlength=len(vocabulary))
         yield 0, [b""], times[1:].sum(keepdims=True)
@@ -130,26 +151,35 @@ def count_slice(
         return
     own = np.array([_word_hash(lang, w) for w in vocabulary], np.uint64)
     hashes, whole = own[ids], ids > 0
-    holds = np.zeros(len(ids), bool)
+    if failed:
+        holds = _has(failed[1], own)[ids]
+        possible = _has(frequent[1], own)[ids] & whole
     for size in range(2, max(sizes) + 1):
         # Parts start here and one word on.
         part = size - 1
-        here = whole & _has(proposed[part], hashes)
+        here = whole & (_has(proposed[1], own)[ids] if part == 1 else _has(proposed[part], hashes))
         wanted = here[:-1] & here[1:]
+        whole = whole[:-1] & whole[1:]
         if failed:
-            holds |= _has(failed[part], hashes)
+            counted = wanted
+            possible = possible[:-1] & possible[1:]
             holds = holds[:-1] | holds[1:]
-            wanted = ~wanted & holds & whole[:-1] & whole[1:]
+            wanted = ~counted & holds & possible
         if size in sizes:
             at = np.flatnonzero(wanted)
             firsts, counts = _distinct(ids, at, size)
             yield size, own[ids[at[firsts][:, None] + np.arange(size)]], counts
-        whole = whole[:-1] & whole[1:]
+        if size == max(sizes):
+            break
         hashes = _joined(hashes[:-1], hashes[1:])
+        if failed:
+            possible &= ~counted | _has(frequent[size], hashes)
+            holds |= _has(failed[size], hashes)
 
 
 def _distinct(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The first of the places ``at`` of each distinct phrase of ``size`` words, and its number of places."""
+    ids = ids.astype(np.int64)
     code = ids[at] << 32 | ids[at + 1]
     if size > 2:
         head = np.unique(code, return_inverse=True)[1]
@@ -169,9 +199,9 @@ def _binary(keys: list[bytes] | np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(keys))])
 
 
-def _counts(docs: DataFrame, sizes: list[int], least: int, proposed: Bitmaps, failed: Bitmaps) -> DataFrame:
+def _counts(docs: DataFrame, sizes: list[int], least: int, proposed: Bitmaps, failed: Bitmaps, frequent: Bitmaps) -> DataFrame:
     """``lang, words, key, n`` of the phrases counted that occur ``least`` times, stored."""
-    held = docs.sparkSession.sparkContext.broadcast((proposed, failed))
+    held = docs.sparkSession.sparkContext.broadcast((proposed, failed, frequent))
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +237,8 @@ def _bitmap(phrases: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
-            at = np.array([_hash_of(*row) for row in rows], np.uint64) & np.uint64(bits - 1)
+            hashes = np.array([_hash_of(*row) for row in rows], np.uint64)
+            at = np.concatenate(list(_places(hashes, bits)))
             masks = np.uint64(1) << (at & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(masks.view(np.int64))], ["place", "mask"])
 
@@ -226,7 +257,7 @@ def _proposed(sample: DataFrame) -> tuple[DataFrame, Bitmaps]:
     """The sample's phrases, level by level, with PROPOSED occurrences there; and their bits."""
     found, bits = None, {}
     for words in range(1, LONGEST):
-        level = _of_size(_counts(sample, [words], PROPOSED, bits, {}), words)
+        level = _of_size(_counts(sample, [words], PROPOSED, bits, {}, {}), words)
         found = level if found is None else found.unionByName(level)
         bits[words] = _bitmap(level)
     return found, bits
@@ -238,13 +269,13 @@ def frequent_phrases(docs: DataFrame, least: int = FREQUENT) -> DataFrame:
     chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0
     texts = docs.select("lang", "text")
     known, proposed = _proposed(docs.filter(chosen).select("lang", "text"))
-    found = _counts(texts, list(range(1, LONGEST + 1)), least, proposed, {})
+    found = _counts(texts, list(range(1, LONGEST + 1)), least, proposed, {}, {})
     # Frequent phrases that weren't proposed: what holds them is still to be counted.
     missed = found.filter(F.col("words").between(1, LONGEST - 1)).join(known, ["lang", "words", "key"], "left_anti")
     missed = stored(missed, "collocations-failed")
     if not missed.isEmpty():
-        failed = {words: _bitmap(_of_size(missed, words)) for words in range(1, LONGEST)}
-        found = found.unionByName(_counts(texts, list(range(2, LONGEST + 1)), least, proposed, failed))
+        failed, frequent = ({words: _bitmap(_of_size(rows, words)) for words in range(1, LONGEST)} for rows in (missed, found))
+        found = found.unionByName(_counts(texts, list(range(2, LONGEST + 1)), least, proposed, failed, frequent))
     return _spelt(found)
 
 

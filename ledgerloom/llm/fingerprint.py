@@ -11,7 +11,7 @@ The likeness of two fingerprints is the share of the two texts' spans that they
 their sketches tell it: 1 for equal texts, about 0.5 if half of the text is the same, exact for texts of
 few spans. Two empty texts are alike, an empty and another text are not.
 
-Rows: a null text counts as empty. Documents are ordered by descending doc_id, null last, then by text, so
+Rows: a null text counts as empty. Documents are ordered by descending doc_id, null last, then by a hash of the text, so
 rows that repeat a doc_id follow each other; the first follows the last, and a single row itself. Other
 columns are not read.
 """
@@ -37,6 +37,8 @@ SKETCH = 64
 #: Code points whose powers are kept, and that are hashed at a time.
 BLOCK = 1 << 20
 BATCH_BYTES = 8 << 20
+#: Bytes of text of a part, about.
+PART_BYTES = 64 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -213,29 +215,51 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every row's text, of its edited text, and their likeness; ``same_as_edited`` and
     ``same_as_next`` count the code points with which the text begins like the other text.
 
-    Documents are dealt by ranges of doc_id into as many parts as the session shuffles to. Each
-    part also gets the first document of the next one, so texts move once and no part is larger than
-    its share.
+    Documents are dealt in their order into parts: by ranges of doc_id, and where rows without a doc_id or of
+    one doc_id would fill more than two parts, by the hashes of their texts as well, which order such rows. Each
+    part also gets the first document of the next one, so texts move once. Only rows equal in doc_id and text stay in one part
+    however many they are. There are as many parts as a shuffle has partitions, or as many as PART_BYTES of text fill.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    total = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total["bytes"] // PART_BYTES + 1)
     shares = [k / parts for k in range(1, parts)]
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), shares or [0.5], 10_000).alias("cuts")).first()["cuts"]
     cuts = sorted(set(cuts or []), reverse=True) if shares else []
-    # Parts in descending order of doc_id: the number of cuts that are larger.
-    part = F.coalesce(_cuts_above(cuts, F.col("doc_id")), F.lit(len(cuts)))
-    rows = rows.withColumn("part", part)
-    firsts = {r["part"]: r["first"] for r in rows.groupBy("part").agg(F.max("doc_id").alias("first")).collect()}
-    filled = sorted(firsts)
-    # Of each part its first document, and the part before; at most as many as there are parts.
-    guests = spark.createDataFrame([(firsts[p], filled[k - 1]) for k, p in enumerate(filled)], "_first long, _to int")
-    rows = rows.join(F.broadcast(guests), rows["doc_id"].eqNullSafe(guests["_first"]), "left")
+    share = max(1, total["rows"] // parts)
+    # At most half as many as there are parts.
+    crowds = {r["doc_id"]: r["n"] // share + 1 for r in rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * share).collect()}
+    crowded = sorted((i for i in crowds if i is not None), reverse=True)
+    # Parts in descending order of doc_id: the number of cuts that are larger, of crowds that are, and the piece of a crowd.
+    cut = F.coalesce(_cuts_above(cuts, F.col("doc_id")), F.lit(len(cuts)))
+    # An odd number stands for a crowd, an even one for the rows between two crowds.
+    above = F.coalesce(_cuts_above(crowded, F.col("doc_id")), F.lit(len(crowded)))
+    inside = F.coalesce(F.col("doc_id").isin(crowded), F.lit(False)) if crowded else F.lit(False)
+    if None in crowds:
+        inside = inside | F.col("doc_id").isNull()
+    pieces = F.lit(1)
+    for doc_id, n in crowds.items():
+        pieces = F.when(F.col("doc_id").eqNullSafe(F.lit(doc_id).cast("long")), n).otherwise(pieces)
+    piece = F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * pieces).cast("int")
+    place = F.struct(cut.alias("cut"), (2 * above + inside.cast("int")).alias("crowd"), F.when(inside, piece).otherwise(0).alias("piece"))
+    rows = rows.withColumn("place", place)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.bitwise_not("doc_id").alias("falling"), F.col("hash").alias("hash"))
+    firsts = sorted((tuple(r["place"]), r["first"]) for r in rows.groupBy("place").agg(F.min(order).alias("first")).collect())
+    # Of each part its number and first document, and the part before; at most twice as many as there are parts.
+    numbered = [(*at, k) for k, (at, _) in enumerate(firsts)]
+    named = spark.createDataFrame(numbered, "cut int, crowd int, piece int, part int")
+    named = named.select(F.struct("cut", "crowd", "piece").alias("place"), "part")
+    first = [(None if f["nameless"] else ~f["falling"], f["hash"], k - 1 if k else len(firsts) - 1) for k, (_, f) in enumerate(firsts)]
+    guests = spark.createDataFrame(first, "_first long, _hash long, _to int")
+    rows = rows.join(F.broadcast(named), "place")
+    same = rows["doc_id"].eqNullSafe(guests["_first"]) & (rows["hash"] == guests["_hash"])
+    rows = rows.join(F.broadcast(guests), same, "left")
     own, guest = (F.struct(F.col(c).alias("part"), F.lit(g).alias("guest")) for c, g in (("part", False), ("_to", True)))
     copies = F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, guest))
-    dealt = rows.select("doc_id", "text", F.explode(copies).alias("copy")).select("doc_id", "text", "copy.part", "copy.guest")
-    dealt = dealt.repartitionById(len(cuts) + 1, F.col("part"))
-    ordered = dealt.sortWithinPartitions("guest", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = rows.select("doc_id", "text", "hash", F.explode(copies).alias("copy")).select("doc_id", "text", "hash", "copy.part", "copy.guest")
+    dealt = dealt.repartitionById(max(1, len(firsts)), F.col("part"))
+    ordered = dealt.sortWithinPartitions("guest", F.col("doc_id").desc_nulls_last(), "hash", "text")
     return ordered.mapInArrow(_in_order, DDL)
 
 

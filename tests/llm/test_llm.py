@@ -518,3 +518,39 @@ def test_awkward_conversations(spark):
     assert sorted((repr(r.conv_id), r.n_turns, r.loss_chars) for r in made) == [("1", 4, 1), ("None", 1, 0), ("None", 1, 1)]
     said = "\n\nassistant\nc\nuser\nz\nuser\nz\n"
     assert hashlib.sha256(said.encode()).hexdigest() in {r.turns_sha256 for r in made}
+
+
+@pytest.mark.parametrize("name", [7, None])
+def test_crowded_doc_ids_are_spread(spark, name):
+    random.seed(1)
+    rows = [(k, "".join(random.choices("abc ", k=20))) for k in range(-40, 40)] + [(name, "".join(random.choices("abc ", k=30)) + str(k)) for k in range(720)]
+    random.shuffle(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    try:
+        made = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        got = sorted((repr(r.doc_id), r.n_chars, r.edited_sha256) for r in made.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(sizes) >= 8 and max(sizes) <= 200
+    # Those that share a doc_id are in order of the hashes that Spark gives their texts.
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    wanted = []
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        wanted.append((repr(i), len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()))
+    assert got == sorted(wanted)
+
+
+def test_likeness_is_that_of_the_spans():
+    random.seed(2)
+    for _ in range(60):
+        a = "".join(random.choices("ab", k=random.choice([0, 5, 25, 70])))
+        b = a if random.random() < 0.2 else a[: len(a) // 2] + "".join(random.choices("ab", k=random.choice([0, 10, 40])))
+        spans = [{x[i : i + fingerprint.WIDTH] for i in range(max(1, len(x) - fingerprint.WIDTH + 1))} if x else set() for x in (a, b)]
+        wanted = 1.0 if a == b else 2 * len(spans[0] & spans[1]) / max(1, len(spans[0]) + len(spans[1]))
+        got = fingerprint.Hashed(a).fingerprint.likeness(fingerprint.Hashed(b).fingerprint)
+        # Exact for texts of few spans.
+        exact = len(spans[0] | spans[1]) <= fingerprint.SKETCH
+        assert abs(got - wanted) < (1e-9 if exact else 0.3), (a, b, got, wanted)
