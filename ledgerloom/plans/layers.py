@@ -13,14 +13,18 @@ import uuid
 from collections.abc import Collection, Mapping, Sequence
 from contextlib import AbstractContextManager
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.quality import enforce, observe
+from ledgerloom.operators.quality import enforce, observe, report
+from ledgerloom.plans.clustered import read_clustered, write_clustered
 from ledgerloom.plans.dimensions import CONFORMED_TS, DIMENSION_NAMES, dimension_rows
-from ledgerloom.plans.pnl import MART, MART_TS, direct_lines, mart_rows
-from ledgerloom.plans.postings import FACT, posting_rows
+from ledgerloom.plans.documents import lines_with_header, store_documents
+from ledgerloom.plans.keys import repeating
+from ledgerloom.plans.pnl import MART, MART_TS, direct_lines, direct_sums_from_journal, mart_rows
+from ledgerloom.plans.postings import FACT, SIDES, posting_report, posting_rows, posting_rows_with_header
 from ledgerloom.plans.rules import RULES
 from ledgerloom.plans.runs import BATCH, Run, State, published, publications, running, states_of
 from ledgerloom.sources.commits import CommitLog, Record
@@ -32,6 +36,7 @@ from ledgerloom.streaming.append import LOAD_COLUMNS, landed_files, load_landed
 SCHEMAS = {"raw": "bronze", "conformed": "silver", "mart": "gold"}
 COUNTS = "rule_counts"
 HISTORY = "rule_history"
+LINES, HEADERS = "journal_lines", "document_headers"
 
 
 @dataclass(frozen=True)
@@ -50,6 +55,10 @@ class Job:
     #: Values that don't convert become NULL and show in the rule counts, instead of stopping the refresh.
     lenient: bool = False
     partition_fact_by: Sequence[str] = ()
+    #: The fact's files hold ranges of these columns, and filters on them skip files (see ``read_fact``).
+    cluster_fact_by: Sequence[str] = ()
+    #: Journal lines and headers are stored by document, and the fact is built where they lie.
+    bucket_documents: bool = False
     #: Seconds after which a run that didn't end no longer keeps others out.
     stale_after: float = 24 * 3600.0
 
@@ -94,9 +103,15 @@ def raw_tables(run: Run) -> dict[str, DataFrame]:
     return {table_name(s): run.read(f"raw.{table_name(s)}") for s in CONTRACTS}
 
 
-def stage(run: Run, df: DataFrame, job: Job, layer: str, name: str, comment: str, partition_by: Sequence[str] = ()) -> None:
+def stage(
+    run: Run, df: DataFrame, job: Job, layer: str, name: str, comment: str, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()
+) -> None:
     """Write a new generation of a table, to be published with the run."""
     folder = f"{job.folder(layer, name)}/{uuid.uuid4().hex}"
+    if cluster_by:
+        write_clustered(df, folder, cluster_by)
+        run.staged[f"{layer}.{name}"] = State(f"{folder}/data", tuple(df.columns), comment, clustered=tuple(cluster_by))
+        return
     writer = df.write
     if partition_by:
         # Rows of a value meet, large values in several files; otherwise every task writes a file for each value.
@@ -167,12 +182,20 @@ def retract(spark: SparkSession, job: Job, source: str, file: str) -> int:
 
 
 def refresh_model(
-    run: Run, rows: DataFrame, job: Job, layer: str, table: str, stamp: str, comment: str, partition_by: Sequence[str] = ()
+    run: Run,
+    rows: DataFrame,
+    job: Job,
+    layer: str,
+    table: str,
+    stamp: str,
+    comment: str,
+    partition_by: Sequence[str] = (),
+    cluster_by: Sequence[str] = (),
 ) -> dict[str, int]:
     """Save a model and count its rule violations in the same pass over its rows."""
     counted, observation = observe(rows, RULES[table], f"{job.table(layer, table)} rules")
     kept = enforce(counted, RULES[table]).withColumn(stamp, F.current_timestamp())
-    stage(run, kept, job, layer, table, comment, partition_by)
+    stage(run, kept, job, layer, table, comment, partition_by, cluster_by)
     return observation.get
 
 
@@ -186,17 +209,51 @@ def stage_conformed(run: Run, job: Job) -> dict[str, dict[str, int]]:
     }
     counts[FACT] = refresh_model(
         run,
-        posting_rows(raw, lenient=job.lenient),
+        _posting_rows(run, job, raw),
         job,
         "conformed",
         FACT,
         CONFORMED_TS,
         "Journal lines with document header and dimensions.",
         job.partition_fact_by,
+        job.cluster_fact_by,
     )
     return counts
 
 
+def _posting_rows(run: Run, job: Job, raw: Mapping[str, DataFrame]) -> DataFrame:
+    if not job.bucket_documents:
+        return posting_rows(raw, lenient=job.lenient)
+    names = [job.table("conformed", f"{t}_{run.name}") for t in (LINES, HEADERS)]
+    store_documents(run.spark, raw, *names, job.folder("conformed", "_documents"), lenient=job.lenient)
+    run.note("documents", lines=names[0], headers=names[1])
+    return posting_rows_with_header(lines_with_header(run.spark, *names), raw)
+
+
+def stored_documents(spark: SparkSession, job: Job) -> DataFrame:
+    """Journal lines with their document header, joined where the last refresh has stored both."""
+    last = next(r for r in reversed(log_of(spark, job).records()) if r["event"] == "documents")
+    return lines_with_header(spark, last["lines"], last["headers"])
+
+
+def read_fact(spark: SparkSession, job: Job, wanted: Mapping[str, Collection]) -> DataFrame:
+    """Postings with one of the wanted values in each of the columns named; of a clustered fact out of the files that may hold them."""
+    state = published(log_of(spark, job))[f"conformed.{FACT}"]
+    if state.clustered:
+        return read_clustered(spark, state.folder.removesuffix("/data"), state.clustered, wanted).select(*state.columns)
+    return reduce(lambda rows, c: rows.filter(F.col(c).isin(list(wanted[c]))), wanted, spark.sql(state.select()))
+
+
+def rule_report(spark: SparkSession, job: Job) -> DataFrame:
+    """Violations of all rules in the published tables; side tables are searched for repeated keys only if they changed."""
+    with begun(spark, job) as run:
+        raw = raw_tables(run)
+        reports = [report(dimension_rows(name, raw), RULES[name], name) for name in DIMENSION_NAMES]
+        reports.append(posting_report(raw, repeating(run, list(SIDES.values()))))
+        reports.append(report(mart_rows(direct_sums_from_journal(raw)), RULES[MART], MART))
+    return reduce(DataFrame.unionByName, reports)
+
+
 def refresh_conformed(spark: SparkSession, job: Job) -> dict[str, dict[str, int]]:
     """Save the dimensions and the fact; returns rows and violations per table."""
     with begun(spark, job) as run:
@@ -245,7 +302,7 @@ def clean(spark: SparkSession, job: Job, keep: int = 2, older_than: float = 24 *
     """
     removed = []
     with begun(spark, job) as run:
-        shown = {s.folder for record in publications(run.log)[-keep:] for s in states_of(record).values()}
+        shown = {s.folder.removesuffix("/data") for record in publications(run.log)[-keep:] for s in states_of(record).values()}
         known = {table for record in publications(run.log) for table in record["tables"]}
         for table in sorted(known):
             root = job.folder(*table.split(".", 1))
@@ -253,4 +310,12 @@ def clean(spark: SparkSession, job: Job, keep: int = 2, older_than: float = 24 *
                 if f"{root}/{name.removeprefix('state-')}" not in shown and time.time() - changed >= older_than:
                     run.log.remove(f"{root}/{name}")
                     removed.append(f"{root}/{name}")
+        kept = {record["run"] for record in publications(run.log)[-keep:]}
+        for record in run.log.records():
+            if record["event"] == "documents" and record["run"] not in kept and time.time() - record["time"] >= older_than:
+                for table in (record["lines"], record["headers"]):
+                    if spark.catalog.tableExists(table):
+                        spark.sql(f"DROP TABLE {table}")
+                        run.log.remove(f"{job.folder('conformed', '_documents')}/{table.rsplit('.', 1)[1]}")
+                        removed.append(table)
     return removed

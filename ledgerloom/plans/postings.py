@@ -206,26 +206,33 @@ def ordered(rows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return rows.select(*[c for c in (*COLUMNS, *extra) if c in present])
 
 
+LINEAGE = ("bronze_ingestion_ts", "bronze_source_file")
+
+
 def posting_rows(raw: Raw, only: Collection[str] | None = None, lenient: bool = False) -> DataFrame:
     """The fact before its rules are applied."""
-    rows = enrich(journal_lines(raw["acdoca"], lenient), raw, only)
-    return ordered(rows, ("bronze_ingestion_ts", "bronze_source_file"))
+    return ordered(enrich(journal_lines(raw["acdoca"], lenient), raw, only), LINEAGE)
+
+
+def posting_rows_with_header(lines: DataFrame, raw: Raw) -> DataFrame:
+    """The same out of journal lines that have their document header already."""
+    return ordered(enrich(lines, raw, [name for name in SIDES if name != "bkpf"]), LINEAGE)
 
 
 def postings(raw: Raw, only: Collection[str] | None = None, lenient: bool = False) -> DataFrame:
     """The fact. Its drop rule reads journal columns only, so it is applied ahead of the joins."""
     lines = enforce(journal_lines(raw["acdoca"], lenient), RULES[FACT])
-    rows = ordered(enrich(lines, raw, only), ("bronze_ingestion_ts", "bronze_source_file"))
+    rows = ordered(enrich(lines, raw, only), LINEAGE)
     return rows.withColumn(CONFORMED_TS, F.current_timestamp())
 
 
-def posting_report(raw: Raw) -> DataFrame:
+def posting_report(raw: Raw, repeating: Collection[str] | None = None) -> DataFrame:
     """Violations of the fact's rules.
 
     The rules read journal columns only, so a join matters just where it multiplies rows;
-    tables with unique keys are left out.
+    tables with unique keys are left out. Those that repeat a key are counted unless named.
     """
-    multiplying = duplicated_sides(sides_of(raw))
+    multiplying = duplicated_sides(sides_of(raw)) if repeating is None else set(repeating)
     if LINE.name in multiplying:
         multiplying.add(ACCOUNT_LINE.name)
     return report(posting_rows(raw, multiplying, lenient=True), RULES[FACT], FACT)

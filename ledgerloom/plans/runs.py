@@ -35,6 +35,8 @@ class State:
     comment: str
     batches: int | None = None
     retracted: tuple[int, ...] = ()
+    #: The columns that the files hold ranges of.
+    clustered: tuple[str, ...] = ()
 
     def select(self) -> str:
         columns = ", ".join(f"`{c}`" for c in self.columns)
@@ -48,7 +50,7 @@ class State:
 
     @staticmethod
     def of(record: Record) -> State:
-        return State(**{**record, "columns": tuple(record["columns"]), "retracted": tuple(record["retracted"])})
+        return State(**{k: tuple(v) if isinstance(v, list) else v for k, v in record.items()})
 
 
 class Run:

@@ -1,13 +1,15 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledger import ledger, line
-from ledgerloom.plans import clustered, postings, repairs
+from ledgerloom.plans import clustered, keys, layers, pnl, postings, repairs
+from ledgerloom.plans.postings import SIDES
 from ledgerloom.plans.rules import RULES
 from ledgerloom.sources import landing
-from test_layers import job  # noqa: F401
+from test_layers import job, land_all  # noqa: F401
 
 
 def test_filters_skip_files(spark, tmp_path):
@@ -60,3 +62,50 @@ def test_files_are_mapped_by_their_own_headers(spark, tmp_path):
     assert landing.read_reconciled(spark, "TSPA", str(folder)).filter(F.col(landing.SOURCE_FILE).endswith("b.csv")).count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         landing.read_reconciled(spark, "TSPA", str(tmp_path / "nothing.csv"))
+
+
+def test_a_refresh_with_bucketed_documents_and_a_clustered_fact(spark, job):  # noqa: F811
+    journal = [line(BUZEI="1"), line(BUZEI="2", GJAHR="2023"), line(BUZEI="3", BELNR="9"), line(BELNR=None)]
+    land_all(ledger(spark, journal), job)
+    layers.refresh(spark, job)
+    plain = sorted(map(str, layers.read_layer(spark, job, "conformed", postings.FACT).select(*postings.COLUMNS).collect()))
+    other = replace(job, bucket_documents=True, cluster_fact_by=("fiscal_year", "company_code"))
+    for _ in range(3):
+        layers.refresh(spark, other)
+    assert sorted(map(str, layers.read_layer(spark, job, "conformed", postings.FACT).select(*postings.COLUMNS).collect())) == plain
+    assert layers.read_layer(spark, job, "mart", pnl.MART).count() == 10
+    rows = layers.read_fact(spark, other, {"fiscal_year": ["2023"]})
+    assert [r.line_item_number for r in rows.collect()] == [2] and len(rows.inputFiles()) == 1
+    assert layers.stored_documents(spark, other).count() == 4
+    assert any("journal_lines_" in name for name in layers.clean(spark, other, older_than=0))
+    assert layers.stored_documents(spark, other).count() == 4
+    layers.clean(spark, other, older_than=0)
+    assert len(layers.log_of(spark, job).folders(job.folder("conformed", postings.FACT))) == 2
+
+
+def test_keys_are_counted_only_after_changes(spark, job, monkeypatch):  # noqa: F811
+    land_all(ledger(spark, [line()]), job)
+    layers.refresh_raw(spark, job)
+    first = sorted(map(tuple, layers.rule_report(spark, job).collect()))
+
+    def never(*_):
+        raise AssertionError("keys were counted again")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(keys, "duplicated_sides", never)
+        assert sorted(map(tuple, layers.rule_report(spark, job).collect())) == first
+    own = SIDES["kna1"]
+
+    def unique():
+        with layers.begun(spark, job) as run:
+            return "kna1" not in keys.repeating(run, [own])
+
+    rows = lambda *names: ledger(spark, [], kna1=[{"KUNNR": n} for n in names])["kna1"]
+    seen = []
+    monkeypatch.setattr(keys, "duplicated_sides", lambda pairs, count=keys.duplicated_sides: seen.append(pairs[0][1].count()) or count(pairs))
+    for names, wanted in ((["K2", "K3"], True), (["K4", None, None], True), (["K3"], False), (["K5"], False)):
+        landing.land(rows(*names), "KNA1", job.landing, mode="append")
+        layers.refresh_raw(spark, job, ["KNA1"], append=True)
+        assert unique() is wanted
+    # Only the new keys were grouped, and nothing once a key was found twice.
+    assert seen == [2, 1, 1]
