@@ -19,12 +19,10 @@ MART = "profit_and_loss"
 MART_TS = "gold_transformation_ts"
 
 # The reporting group of the mart.
-GROUP: tuple[str, ...] = tuple(
-    """
-    company_code company_name company_country fiscal_year fiscal_period version
-    distribution_channel_id distribution_channel_name division_id division_name
-    sales_org_id sales_org_name
-    """.split()
+GROUP: tuple[str, ...] = (
+    "company_code", "company_name", "company_country", "fiscal_year", "fiscal_period", "version",
+    "distribution_channel_id", "distribution_channel_name", "division_id", "division_name", "sales_org_id",
+    "sales_org_name",
 )
 KEYS = tuple(name for name in GROUP if name in JOURNAL)
 LINE_COLUMNS = ("pnl_line_id", "pnl_line_name", "sort_order", "line_type")

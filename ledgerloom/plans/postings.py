@@ -142,26 +142,21 @@ SIDES: dict[str, Side] = {
 }
 
 # The columns of the fact, in order.
-COLUMNS: tuple[str, ...] = tuple(
-    """
-    ledger company_code document_number fiscal_year line_item_number posting_date fiscal_period
-    account_id account_name account_group account_type
-    pnl_line_id pnl_line_name pnl_sort_order pnl_line_type pnl_sign
-    transaction_currency amount_transaction_currency local_currency amount_local_currency
-    group_currency amount_group_currency quantity base_uom
-    debit_credit_indicator line_type version document_status
-    company_name company_country company_currency
-    cost_center_id cost_center_name cost_center_function cost_center_country
-    profit_center_id profit_center_name business_area profit_center_country
-    plant_id plant_name plant_city plant_country plant_type
-    sales_org_id sales_org_name distribution_channel_id distribution_channel_name
-    division_id division_name
-    material_id material_name material_type material_group product_hierarchy
-    brand season color size style
-    customer_id customer_name customer_country customer_city customer_account_group
-    document_type document_header_text reference_document_number created_by_user
-    transaction_code document_date
-    """.split()
+COLUMNS: tuple[str, ...] = (
+    "ledger", "company_code", "document_number", "fiscal_year", "line_item_number", "posting_date",
+    "fiscal_period", "account_id", "account_name", "account_group", "account_type", "pnl_line_id",
+    "pnl_line_name", "pnl_sort_order", "pnl_line_type", "pnl_sign", "transaction_currency",
+    "amount_transaction_currency", "local_currency", "amount_local_currency", "group_currency",
+    "amount_group_currency", "quantity", "base_uom", "debit_credit_indicator", "line_type", "version",
+    "document_status", "company_name", "company_country", "company_currency", "cost_center_id",
+    "cost_center_name", "cost_center_function", "cost_center_country", "profit_center_id",
+    "profit_center_name", "business_area", "profit_center_country", "plant_id", "plant_name", "plant_city",
+    "plant_country", "plant_type", "sales_org_id", "sales_org_name", "distribution_channel_id",
+    "distribution_channel_name", "division_id", "division_name", "material_id", "material_name",
+    "material_type", "material_group", "product_hierarchy", "brand", "season", "color", "size", "style",
+    "customer_id", "customer_name", "customer_country", "customer_city", "customer_account_group",
+    "document_type", "document_header_text", "reference_document_number", "created_by_user",
+    "transaction_code", "document_date",
 )
 
 # What tells one journal line from another when the lines of one hot key are spread.

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import time
 import uuid
 from functools import cache
 
 from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: A label and 32 hexadecimal digits.
+NAME = re.compile(r"[a-z-]+-[0-9a-f]{32}")
 
 
 class NoSharedFolder(RuntimeError):
@@ -24,6 +28,34 @@ def _own_folder() -> str:
     return folder
 
 
+def remove_scratch(spark: SparkSession, older_than: float = 7 * 24 * 3600.0) -> list[str]:
+    """Remove what :func:`scratch_folder` has named in the session's ``spark.checkpoint.dir`` and that was last changed so many seconds ago.
+
+    Folders of other names aren't touched. A job that still reads one must be younger than ``older_than``.
+    """
+    root = spark.conf.get(SETTING, None)
+    if not root:
+        return []
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    removed = []
+    for status in files.listStatus(path) if files.exists(path) else []:
+        name = status.getPath().getName()
+        if NAME.fullmatch(name) and time.time() - status.getModificationTime() / 1000 >= older_than:
+            files.delete(status.getPath(), True)
+            removed.append(name)
+    return removed
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove one folder that :func:`scratch_folder` has named."""
+    if not NAME.fullmatch(folder.rsplit("/", 1)[-1]):
+        raise ValueError(f"{folder} is no scratch folder")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder below the session's ``spark.checkpoint.dir``.
 

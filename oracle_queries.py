@@ -10,7 +10,7 @@ from __future__ import annotations
 from ledgerloom.sources.contracts import COLUMNS, CONTRACTS
 from ledgerloom.sources.driver_tables import derived_sql
 
-# Business views over the raw tables: view name -> SELECT.
+# Business views over the raw tables: view name -> SELECT. Names of columns, and what they are derived from.
 VIEWS: dict[str, str] = {
     "journal": """
         SELECT RLDNR AS ledger, RBUKRS AS company_code, BELNR AS document_number, GJAHR AS fiscal_year,
@@ -78,12 +78,14 @@ ORG = """
     LEFT JOIN divisions USING (division_id)"""
 CLASSED = "* EXCLUDE (class), coalesce(class, 'OTHER') AS account_type"
 
+# The reporting group.
 GROUP = (
     "company_code, company_name, company_country, fiscal_year, fiscal_period, version, "
     "distribution_channel_id, distribution_channel_name, division_id, division_name, "
     "sales_org_id, sales_org_name"
 )
 
+# Fixed values within: subtotals with their positions and members.
 VIEWS |= {
     "direct": f"""
         SELECT {GROUP}, pnl_line_id, pnl_line_name, pnl_sort_order AS sort_order, pnl_line_type AS line_type,
@@ -123,6 +125,7 @@ VIEWS |= {
         FROM mart WHERE pnl_line_id IN ('PL01', 'PL03', 'PL05', 'PL14') GROUP BY ALL""",
 }
 
+# Columns of the dimensions.
 DIMENSIONS: dict[str, str] = {
     "division": "SELECT SPART AS division_id, VTEXT AS division_name FROM tspa",
     "channel": "SELECT VTWEG AS channel_id, VTEXT AS channel_name FROM tvtw",
@@ -204,7 +207,7 @@ def violations(table: str, rule: str, action: str, rows: str, condition: str) ->
 
 
 def raw_size(source: str) -> str:
-    cells = COLUMNS[source].split()
+    cells = COLUMNS[source]
     filled = " + ".join(f"count({c})" for c in cells)
     length = " + ".join(f"coalesce(sum(length({c})), 0)" for c in cells)
     return (
@@ -221,7 +224,7 @@ def with_views(body: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in views.items()) + "\n" + body
 
 
-_JOURNAL_TEXT = " || ',' || ".join(f"coalesce({c}, '')" for c in COLUMNS["ACDOCA"].split())
+_JOURNAL_TEXT = " || ',' || ".join(f"coalesce({c}, '')" for c in COLUMNS["ACDOCA"])
 _DAMAGED = "BUZEI = '3' AND RACCT LIKE '%700'"
 _FAILED = """
     list_filter([

@@ -8,7 +8,7 @@ from ledger import ledger, line
 from ledgerloom.plans import clustered, keys, layers, pnl, postings, repairs
 from ledgerloom.plans.postings import SIDES
 from ledgerloom.plans.rules import RULES
-from ledgerloom.sources import landing
+from ledgerloom.sources import landing, scratch
 from test_layers import job, land_all  # noqa: F401
 
 
@@ -109,3 +109,14 @@ def test_keys_are_counted_only_after_changes(spark, job, monkeypatch):  # noqa:
         assert unique() is wanted
     # Only the new keys were grouped, and nothing once a key was found twice.
     assert seen == [2, 1, 1]
+
+
+def test_old_scratch_folders_are_removed(spark):
+    made, kept = (scratch.scratch_folder(spark, label) for label in ("old-one", "other"))
+    for path in (made, kept, made.rsplit("/", 1)[0] + "/own folder"):
+        spark.range(1).write.mode("overwrite").parquet(path)
+    assert made.rsplit("/", 1)[1] not in scratch.remove_scratch(spark)
+    scratch.remove_folder(spark, made)
+    assert spark.read.parquet(kept).count() == 1
+    with pytest.raises(ValueError, match="no scratch"):
+        scratch.remove_folder(spark, kept.rsplit("/", 1)[0])
