@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.sources.scratch import scratch_folder
+from ledgerloom.sources.scratch import remove_folder, scratch_folder
 
 WHITE = b" \t\n\r\x0b\x0c"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -25,6 +25,8 @@ BATCH_SETTING, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 <<
 #: Applications whose executors were sent the package.
 _shipped: set[str] = set()
 _held: list[Broadcast] = []
+#: Folders of stored rows, in order.
+_stored: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,7 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     """``rows`` written to the shared scratch folder and read again: computed once, and safe from lost executors."""
     path = scratch_folder(rows.sparkSession, label)
     rows.write.parquet(path)
+    _stored.append(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -52,6 +55,16 @@ def let_workers_import(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(ARROW_BYTES))
 
 
+def stored_count() -> int:
+    return len(_stored)
+
+
+def forget_stored(spark: SparkSession, since: int) -> None:
+    """Remove what was stored after the first ``since`` but for the last; for a job that goes on from that alone."""
+    while len(_stored) > since + 1:
+        remove_folder(spark, _stored.pop(since))
+
+
 def shared(spark: SparkSession, value):
     """``value`` broadcast, until :func:`release` is called."""
     held = spark.sparkContext.broadcast(value)
