@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import bpe, decontaminate, langid, linededup, simhash
-from ledgerloom.llm.common import let_workers_import, release, stored, table
+from ledgerloom.llm.common import forget_stored, let_workers_import, release, stored, stored_count, table
 from ledgerloom.llm.queries import RANKS
 
 
@@ -53,8 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage is stored in the shared folder and read by the next one."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage is stored in the shared folder and read by the next one.
+
+    What a stage stored on its way, and the stage before, is removed once the stage is stored.
+    """
+    docs, since = table(spark, sf_dir, "documents"), stored_count()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        forget_stored(spark, since)
     return docs
