@@ -274,8 +274,8 @@ def star(
     large.sort(key=lambda pair: len(pair[0].columns))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spreads = find_spread(fact, [side for side, _ in large], partitions)
-    # Each of them has the fact read twice, so only those with most rows to keep in place.
-    keyless = [side.name for side, _ in large if spreads[side.name].keyless >= KEYLESS]
+    # Each of them has the fact read twice, so only sides that grow, and those with most rows to keep in place.
+    keyless = [side.name for side, _ in large if not side.bounded and spreads[side.name].keyless >= KEYLESS]
     apart = sorted(keyless, key=lambda name: -spreads[name].keyless)[:KEYLESS_SIDES]
     for side, dim in large:
         join = attach_keyed if side.name in apart else attach
