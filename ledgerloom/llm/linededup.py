@@ -37,23 +37,25 @@ OTHER_WHITE = r"[\t\r\x0b\x0c]"
 UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 SIGN = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in UNSPACED) + "]"
 ONLY_VARIABLE = r"^<\*>( <\*>)*$"
+#: A line that is nothing else once its tokens with digits are masked.
+ALL_VARIABLE = r"^(?:(?:<\*>(?= |$)|[^ 0-9]*+[0-9][^ ]*+)(?: |$))++$"
 #: Leaves of several templates are broadcast only if counted as no more than this, 8 bytes each.
 BROADCAST_LEAVES = 1_000_000
 
 
 def masked(line: Column) -> Column:
     """The line's tokens joined by one space each, those with a digit as ``<*>`` if there are others."""
-    line = F.when(line.rlike(SIGN), F.regexp_replace(line, f"({SIGN})", " $1 ")).otherwise(line)
     plain = F.trim(F.when(F.contains(line, F.lit("  ")) | line.rlike(OTHER_WHITE), F.regexp_replace(line, f"{WHITE}+", " ")).otherwise(line))
     # A token is entered at its start only, and its parts give nothing back: linear in the line.
     variable = F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)
-    return F.when(line.rlike("[0-9]") & ~variable.rlike(ONLY_VARIABLE), variable).otherwise(plain)
+    return F.when(line.rlike("[0-9]") & ~plain.rlike(ALL_VARIABLE), variable).otherwise(plain)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for every line with tokens; ``text_hash`` tells rows of one doc_id apart."""
     # Masked before they become rows, so that no later step does it again.
-    lines = F.transform(F.split("text", "\n"), masked)
+    spaced = F.when(F.col("text").rlike(SIGN), F.regexp_replace("text", f"({SIGN})", " $1 ")).otherwise(F.col("text"))
+    lines = F.transform(F.split(spaced, "\n"), masked)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.posexplode(lines).alias("pos", "masked"))
     spaces = F.length("masked") - F.length(F.replace("masked", F.lit(" ")))
     rows = rows.withColumn("tokens", F.when(F.col("masked") == "", 0).otherwise(spaces + 1)).filter(F.col("tokens") >= MIN_TOKENS)
