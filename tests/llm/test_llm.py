@@ -511,6 +511,29 @@ def test_appending_templates_have_the_spans_of_any_other():
     assert chat.spans(liar_calls(liar.piece), turns)[2]
 
 
+@pytest.mark.parametrize("n", [1, 5, chat.BLOCK])
+def test_every_prefix_of_an_appending_template_is_rendered(n):
+    rendered = []
+
+    class Noted(chat.Appending):
+        def __call__(self, turns):
+            rendered.append(list(turns))
+            return super().__call__(turns)
+
+    turns = [chat.Turn("assistant", f"<|text {k}") for k in range(n)]
+    output = chat.spans(Noted(chat.chat_ml.piece), turns)[0]
+    assert all(turns[:k] in rendered for k in range(1, n + 1)) and output == chat.chat_ml(turns)
+
+
+def test_blocks_of_turns_have_the_spans_of_whole_prefixes():
+    turns = [chat.Turn("user", f"a<|{k}") for k in range(2 * chat.BLOCK + 3)]
+    numbered = chat.Appending(lambda turn, k: f"{k}{turn.role}:{turn.text};")
+    for template in (chat.chat_ml, numbered):
+        assert chat.spans(template, turns) == chat.spans(lambda turns, own=template: own(turns), turns)
+    last = type("Last", (chat.Appending,), {"__call__": lambda self, turns: super(type(self), self).__call__(turns[-chat.BLOCK :])})
+    assert chat.spans(last(numbered.piece), turns)[2]
+
+
 def test_awkward_conversations(spark):
     rows = [(None, 1, "user", "a"), (None, None, "assistant", "b"), (1, None, None, None), (1, 2, "user", "z"), (1, 2, "user", "z"), (1, 2, "assistant", "c")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
