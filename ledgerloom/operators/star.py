@@ -248,7 +248,7 @@ def attach_keyed(
     if side.how != "left":
         return attach(fact, dim, side, hint, spread, spread_by)
     missing = reduce(or_, [F.col(c).isNull() for c in side.on])
-    keyed = attach(fact.filter(~missing), dim, side, hint, replace(spread, missing=1), spread_by)
+    keyed = attach(fact.filter(~missing), dim, side, hint, spread, spread_by)
     kinds = {field.name: field.dataType for field in dim.schema.fields}
     own = [F.lit(None).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in keyed.columns]
     return keyed.unionByName(fact.filter(missing).select(*own))
@@ -277,6 +277,8 @@ def star(
     # Each of them has the fact read twice, so only sides that grow, and those with most rows to keep in place.
     keyless = [side.name for side, _ in large if not side.bounded and spreads[side.name].keyless >= KEYLESS]
     apart = sorted(keyless, key=lambda name: -spreads[name].keyless)[:KEYLESS_SIDES]
+    # These come ahead of all others, whose joins would be made twice otherwise, once for either half of the rows.
+    large.sort(key=lambda pair: apart.index(pair[0].name) if pair[0].name in apart else len(apart))
     for side, dim in large:
         join = attach_keyed if side.name in apart else attach
         fact = join(fact, side.project(dim), side, hints[side.name], spreads[side.name], spread_by)
