@@ -86,3 +86,11 @@ def test_land_and_read_back(spark, tmp_path):
     df = spark.createDataFrame(rows, contract("TSPA"))
     path = landing.land(df, "TSPA", str(tmp_path))
     assert {tuple(r) for r in landing.read_extract(spark, "TSPA", path, lineage=False).collect()} == set(rows)
+
+
+def test_landed_files_are_packed_and_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(landing, "FILE_ROWS", 10)
+    rows = spark.range(25).selectExpr("cast(id AS string) AS SPART", "concat(' a, ', id) AS VTEXT").coalesce(1)
+    path = landing.land(rows, "TSPA", str(tmp_path))
+    assert len(list((tmp_path / "TSPA.csv").glob("part-*.csv.gz"))) == 3
+    assert sorted(landing.read_extract(spark, "TSPA", path, lineage=False).collect()) == sorted(rows.collect())
