@@ -18,7 +18,7 @@ from ledgerloom.plans.layers import Job, begun, loads, raw_tables, stage_mart, s
 from ledgerloom.plans.pnl import AMOUNT_EUR, GROUP, KEYS, account_sides, line_keys, mart_rows, name_sides
 from ledgerloom.plans.postings import FACT, journal_lines
 from ledgerloom.plans.rules import RULES
-from ledgerloom.plans.runs import BATCH, Run, State
+from ledgerloom.plans.runs import BATCH, STORED, Run, State
 from ledgerloom.sources.contracts import CONTRACTS
 
 JOURNAL_TABLE = "acdoca"
@@ -56,7 +56,7 @@ def stage_sums(run: Run, job: Job) -> list[int]:
     new = [n for n in active_batches(run, state) if n not in done]
     for batch in new:
         journal = run.spark.read.parquet(f"{state.folder}/{BATCH}={batch}")
-        load_sums(journal, job.lenient).write.mode("overwrite").parquet(_folder(job, generation, batch))
+        load_sums(journal, job.lenient).write.mode("overwrite").options(**STORED).parquet(_folder(job, generation, batch))
         run.note("sums", generation=generation, batch=batch)
     return new
 

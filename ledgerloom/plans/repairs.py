@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.quality import DROP, Rule, enforce, quarantine
 from ledgerloom.plans.layers import Job, begun
-from ledgerloom.plans.runs import BATCH, Run, State
+from ledgerloom.plans.runs import BATCH, STORED, Run, State
 
 ID, RULES_BROKEN, LOAD = "_quarantine_id", "_failed_rules", "_load"
 
@@ -24,7 +24,7 @@ def _stage_batch(run: Run, job: Job, table: str, rows: DataFrame, comment: str)
     last = run.state(f"conformed.{table}")
     folder = last.folder if last else f"{job.folder('conformed', table)}/{uuid.uuid4().hex}"
     number = last.batches + 1 if last else 0
-    rows.write.mode("overwrite").parquet(f"{folder}/{BATCH}={number}")
+    rows.write.mode("overwrite").options(**STORED).parquet(f"{folder}/{BATCH}={number}")
     run.staged[f"conformed.{table}"] = State(folder, tuple(rows.columns), comment, number)
 
 

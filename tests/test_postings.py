@@ -128,6 +128,16 @@ def test_joins_by_key_give_the_same_fact(spark, sf_dir):
     assert rows == sorted(broadcast.collect(), key=str)
 
 
+def test_lines_travel_with_what_they_share_side_by_side(spark, sf_dir):
+    raw = RawTables(spark, sf_dir)
+    lines = postings.journal_lines(raw["acdoca"])
+    moved = postings.packed(lines)
+    assert sorted(moved.columns) == sorted(lines.columns) and tuple(moved.columns[-len(postings.VARYING) :]) == postings.VARYING
+    enriched = postings.enrich(lines, raw, ["bkpf"])
+    assert enriched.columns == [*moved.columns, *postings.SIDES["bkpf"].columns]
+    assert sorted(enriched.select(*lines.columns).collect(), key=str) == sorted(lines.collect(), key=str)
+
+
 def test_small_tables_move_no_journal_rows(spark, sf_dir):
     raw = RawTables(spark, sf_dir)
     plan = postings.postings(raw)._jdf.queryExecution().executedPlan().toString()
