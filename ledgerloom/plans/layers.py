@@ -109,7 +109,10 @@ def stage(
     """Write a new generation of a table, to be published with the run."""
     folder = f"{job.folder(layer, name)}/{uuid.uuid4().hex}"
     if cluster_by:
-        write_clustered(df, folder, cluster_by)
+        # Clustering reads its input twice. What counts rule violations must see each row once, and the joins are to be made once.
+        df.write.options(**STORED).parquet(f"{folder}/rows")
+        write_clustered(run.spark.read.schema(df.schema).parquet(f"{folder}/rows"), folder, cluster_by)
+        run.log.remove(f"{folder}/rows")
         run.staged[f"{layer}.{name}"] = State(f"{folder}/data", tuple(df.columns), comment, clustered=tuple(cluster_by))
         return
     writer = df.write.options(**STORED)

@@ -120,3 +120,38 @@ def test_old_scratch_folders_are_removed(spark):
     assert spark.read.parquet(kept).count() == 1
     with pytest.raises(ValueError, match="no scratch"):
         scratch.remove_folder(spark, kept.rsplit("/", 1)[0])
+
+
+def test_values_are_dealt_by_their_counts(spark, monkeypatch):
+    rows = spark.range(900).selectExpr("if(id < 500, 'a', nullif(cast(id % 4 AS string), '3')) AS y", "id")
+    plan = lambda: clustered.dealt(rows, ["y"], 9)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan()
+    parts = clustered.dealt(rows, ["y"], 9).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.collect_set("y").alias("ys")).collect()
+    assert len(parts) == 9 and sum(r["n"] for r in parts) == 900 and max(r["n"] for r in parts) < 200 and max(len(r["ys"]) for r in parts) <= 2
+    assert sorted(map(str, clustered.dealt(rows, ["y"], 9).collect())) == sorted(map(str, rows.collect()))
+    monkeypatch.setattr(clustered, "COUNTED", 3)
+    assert "rangepartitioning" in plan()
+    assert clustered.dealt(rows, ["y"], 9).columns == ["y", "id"]
+    assert clustered.dealt(rows.limit(0), ["y"]).count() == 0
+
+
+def test_a_clustered_fact_has_its_violations_counted_once(spark, job):  # noqa: F811
+    land_all(ledger(spark, [line(BUZEI="1"), line(BUZEI="2", GJAHR="2023"), line(BELNR=None)]), job)
+    counts = layers.refresh(spark, replace(job, cluster_fact_by=("fiscal_year",)))
+    assert counts[postings.FACT]["rows"] == 3 and counts[postings.FACT]["document_key_not_null"] == 1
+
+
+def test_postings_are_clustered_before_or_after_their_joins(spark, tmp_path):
+    raw = ledger(spark, [line(BUZEI=str(k), GJAHR=str(2020 + k % 3)) for k in range(9)])
+    wanted = {"fiscal_year": ["2020", "2021"]}
+    plain = postings.postings(raw).drop("silver_transformation_ts").filter("fiscal_year <= '2021'")
+    for limit in (None, "0"):
+        if limit:
+            spark.conf.set("ledgerloom.broadcast.bytes", limit)
+        try:
+            clustered.write_postings(raw, f"{tmp_path}/{limit}", ["fiscal_year"])
+        finally:
+            spark.conf.unset("ledgerloom.broadcast.bytes")
+        rows = clustered.read_clustered(spark, f"{tmp_path}/{limit}", ["fiscal_year"], wanted)
+        assert sorted(map(str, rows.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+        assert len(rows.inputFiles()) < len(clustered.files_with(spark, f"{tmp_path}/{limit}", ["fiscal_year"], {}))
