@@ -230,7 +230,7 @@ def _posting_rows(run: Run, job: Job, raw: Mapping[str, DataFrame]) -> DataFrame
     names = [job.table("conformed", f"{t}_{run.name}") for t in (LINES, HEADERS)]
     store_documents(run.spark, raw, *names, job.folder("conformed", "_documents"), lenient=job.lenient)
     run.note("documents", lines=names[0], headers=names[1])
-    return posting_rows_with_header(lines_with_header(run.spark, *names), raw)
+    return posting_rows_with_header(lines_with_header(run.spark, *names), raw, run.spark.table(names[0]))
 
 
 def stored_documents(spark: SparkSession, job: Job) -> DataFrame:

@@ -190,11 +190,14 @@ def sides_of(raw: Raw, names: Collection[str] = tuple(SIDES)) -> list[tuple[Side
     return [(side, raw[name]) for name, side in SIDES.items() if name in names]
 
 
-def enrich(lines: DataFrame, raw: Raw, only: Collection[str] | None = None, hints: Mapping[str, str | None] | None = None) -> DataFrame:
+def enrich(
+    lines: DataFrame, raw: Raw, only: Collection[str] | None = None, hints: Mapping[str, str | None] | None = None, keys: DataFrame | None = None
+) -> DataFrame:
     """Journal lines with the columns of the other tables, or of ``only`` some of them.
 
     Leaving out tables whose columns are not needed saves their joins: Catalyst cannot, as
-    it does not know that their keys are unique. Pass ``hints`` where :func:`join_hints` was already called.
+    it does not know that their keys are unique. Pass ``hints`` where :func:`join_hints` was already called,
+    and as ``keys`` the lines before they were joined to anything.
     """
     names = tuple(SIDES) if only is None else only
     sides = sides_of(raw, names)
@@ -206,7 +209,7 @@ def enrich(lines: DataFrame, raw: Raw, only: Collection[str] | None = None, hint
         [pair for pair in sides if pair[0] is not LINE],
         [pair for pair in sides if pair[0] is LINE],
     ):
-        lines = star(lines, stage, SPREAD_BY, hints)
+        lines = star(lines, stage, SPREAD_BY, hints, None if LINE in [side for side, _ in stage] else keys)
     if "ska1" in names:
         lines = lines.withColumn("account_type", F.coalesce("account_type", F.lit("OTHER")))
     return lines
@@ -225,9 +228,9 @@ def posting_rows(raw: Raw, only: Collection[str] | None = None, lenient: bool =
     return ordered(enrich(journal_lines(raw["acdoca"], lenient), raw, only), LINEAGE)
 
 
-def posting_rows_with_header(lines: DataFrame, raw: Raw) -> DataFrame:
+def posting_rows_with_header(lines: DataFrame, raw: Raw, keys: DataFrame | None = None) -> DataFrame:
     """The same out of journal lines that have their document header already."""
-    return ordered(enrich(lines, raw, [name for name in SIDES if name != "bkpf"]), LINEAGE)
+    return ordered(enrich(lines, raw, [name for name in SIDES if name != "bkpf"], keys=keys), LINEAGE)
 
 
 def postings(raw: Raw, only: Collection[str] | None = None, lenient: bool = False) -> DataFrame:

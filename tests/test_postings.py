@@ -5,6 +5,7 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 
 from ledger import ledger, line
+from ledgerloom.operators import star
 from ledgerloom.operators.star import BROADCAST_KEY
 from ledgerloom.plans import postings
 from ledgerloom.plans.dimensions import dimension
@@ -151,3 +152,17 @@ def test_violations_and_divisions_on_the_test_tables(spark, sf_dir):
     assert counts == {"document_key_not_null": 5, "valid_fiscal_year": 4362, "company_code_not_null": 12}
     known = raw["acdoca"].join(raw["tspa"], "SPART", "left_semi")
     assert known.count() == 4780
+
+
+def test_hot_keys_are_looked_for_in_the_rows_named(spark, sf_dir, monkeypatch):
+    raw = RawTables(spark, sf_dir)
+    lines, seen = postings.journal_lines(raw["acdoca"]), []
+    monkeypatch.setattr(star, "find_spread", lambda fact, sides, n, find=star.find_spread: seen.append(fact) or find(fact, sides, n))
+    spark.conf.set(BROADCAST_KEY, "-1")
+    try:
+        joined = postings.enrich(lines, raw, ["bkpf"])
+        rows = postings.enrich(joined.drop(*postings.SIDES["bkpf"].columns), raw, ["kna1", "mara"], keys=lines)
+        assert any(fact is lines for fact in seen)
+    finally:
+        spark.conf.unset(BROADCAST_KEY)
+    assert rows.count() == lines.count()
