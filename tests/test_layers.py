@@ -134,3 +134,14 @@ def test_report_filters_reach_the_stored_fact(spark, job):
     scans = [text for text in plan.splitlines() if "FileScan" in text]
     assert len(scans) == 1 and "Expand" not in plan
     assert "EqualTo(fiscal_year,2024)" in scans[0] and "EqualTo(company_code,C1)" in scans[0]
+
+
+def test_landed_files_are_dealt_to_several_tasks_a_core(spark, job, tmp_path):
+    rows = ledger(spark, [line(BUZEI=str(k)) for k in range(64)])["acdoca"].repartition(64)
+    landing.land(rows, "ACDOCA", job.landing)
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    layers.refresh_raw(spark, job, ["ACDOCA"])
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) == before
+    # With fewer than two tasks a core, some cores would wait for a second round of the others.
+    assert len(list((tmp_path / "tables").glob("*/acdoca/*/_batch=0/part-*"))) >= 2 * spark.sparkContext.defaultParallelism
+    assert lines_of(spark, job) == sorted(str(k) for k in range(64))
