@@ -1,10 +1,11 @@
+import threading
 from dataclasses import replace
 
 import pytest
 from pyspark.errors import PySparkException
 
 from ledger import ledger, line
-from ledgerloom.plans import layers, pnl
+from ledgerloom.plans import layers, pnl, runs
 from ledgerloom.sources import landing
 
 
@@ -145,3 +146,39 @@ def test_landed_files_are_dealt_to_several_tasks_a_core(spark, job, tmp_path):
     # With fewer than two tasks a core, some cores would wait for a second round of the others.
     assert len(list((tmp_path / "tables").glob("*/acdoca/*/_batch=0/part-*"))) >= 2 * spark.sparkContext.defaultParallelism
     assert lines_of(spark, job) == sorted(str(k) for k in range(64))
+
+
+def test_sources_are_loaded_side_by_side(spark, job, monkeypatch):
+    raw = ledger(spark, [line()], kna1=[{"KUNNR": "K1"}])
+    for name in ("acdoca", "kna1"):
+        landing.land(raw[name], name.upper(), job.landing)
+    both, note = threading.Barrier(2, timeout=60), runs.Run.note
+
+    def met(run, event, **details):
+        if event == "load":
+            both.wait()
+        note(run, event, **details)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(runs.Run, "note", met)
+        layers.refresh_raw(spark, job, ["ACDOCA", "KNA1"])
+    log = layers.log_of(spark, job)
+    for name in ("acdoca", "kna1"):
+        (load,) = layers.loads(log, name)
+        assert load["rows"] == 1 and f"/{name.upper()}.csv/" in load["files"][0]["file"]
+        # The file's name is stored once.
+        stored = spark.read.parquet(f"{runs.published(log)[f'raw.{name}'].folder}/{runs.BATCH}=0").columns
+        assert stored == [*raw[name].columns, "_load_bytes", landing.INGESTION_TS, landing.SOURCE_FILE]
+        assert layers.read_layer(spark, job, "raw", name).columns == [*raw[name].columns, landing.INGESTION_TS, landing.SOURCE_FILE]
+
+
+def test_a_failed_load_ends_after_the_others(spark, job, tmp_path):
+    land_all(ledger(spark, [line()]), job)
+    (tmp_path / "landed" / "TSPA.csv" / "odd.csv").write_text("SPART,VTEXT\n01,a,surplus\n")
+    with pytest.raises(PySparkException):
+        layers.refresh_raw(spark, job, ["TSPA", "ACDOCA"])
+    assert not spark.streams.active
+    assert [r["rows"] for r in layers.loads(layers.log_of(spark, job), "acdoca")] == [1]
+    (tmp_path / "landed" / "TSPA.csv" / "odd.csv").write_text("SPART,VTEXT\n99,a\n")
+    layers.refresh_raw(spark, job, ["TSPA", "ACDOCA"])
+    assert lines_of(spark, job) == ["1"] and layers.read_layer(spark, job, "raw", "tspa").filter("SPART = '99'").count() == 1
