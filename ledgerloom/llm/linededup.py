@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stored
+from ledgerloom.llm.common import forget_stored, stored, stored_count
 
 DEPTH = 3
 MIN_TOKENS = 1
@@ -39,6 +39,8 @@ SIGN = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in UNSPACED) + "]"
 ONLY_VARIABLE = r"^<\*>( <\*>)*$"
 #: A line that is nothing else once its tokens with digits are masked.
 ALL_VARIABLE = r"^(?:(?:<\*>(?= |$)|[^ 0-9]*+[0-9][^ ]*+)(?: |$))++$"
+#: A text without digits, white space but spaces and line ends, or characters of those scripts: tested in one run over it.
+PLAIN = r"^[\n -/:-\x{dff}\x{2000}-\x{2fff}]*\z"
 #: Leaves of several templates are broadcast only if counted as no more than this, 8 bytes each.
 BROADCAST_LEAVES = 1_000_000
 
@@ -53,23 +55,26 @@ def masked(line: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for every line with tokens; ``text_hash`` tells rows of one doc_id apart."""
-    # Masked before they become rows, so that no later step does it again.
-    spaced = F.when(F.col("text").rlike(SIGN), F.regexp_replace("text", f"({SIGN})", " $1 ")).otherwise(F.col("text"))
-    lines = F.transform(F.split(spaced, "\n"), masked)
+    # Masked before they become rows, so that no later step does it again. Most texts have nothing to mask.
+    text = F.col("text")
+    spaced = F.when(text.rlike(SIGN), F.regexp_replace(text, f"({SIGN})", " $1 ")).otherwise(text)
+    plain = text.rlike(PLAIN) & ~F.contains(text, F.lit("  "))
+    lines = F.when(plain, F.transform(F.split(text, "\n"), lambda line: F.trim(line))).otherwise(F.transform(F.split(spaced, "\n"), masked))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.posexplode(lines).alias("pos", "masked"))
-    spaces = F.length("masked") - F.length(F.replace("masked", F.lit(" ")))
-    rows = rows.withColumn("tokens", F.when(F.col("masked") == "", 0).otherwise(spaces + 1)).filter(F.col("tokens") >= MIN_TOKENS)
+    # Told without counting, as the optimizer counts once more for a filter on the count.
+    rows = rows.filter(F.substring_index("masked", " ", MIN_TOKENS - 1) != F.col("masked"))
+    rows = rows.withColumn("tokens", F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "))) + 1)
     leaf = F.xxhash64("tokens", F.substring_index("masked", " ", DEPTH))
     return rows.withColumns({"leaf": leaf, "line_id": F.xxhash64("tokens", "masked")})
 
 
-def _general(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def _general(lines: DataFrame) -> DataFrame:
     """``leaf, line_id`` of the lines that belong to their leaf's general template."""
     distinct = lines.groupBy("leaf", "line_id").agg(F.lit(1).alias("_"))
     mixed = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("leaf")
     mixed = stored(mixed, "mixed-leaves")
     few = mixed.count() <= BROADCAST_LEAVES
-    texts = _lines(docs).select("leaf", "line_id", "masked").join(F.broadcast(mixed) if few else mixed, "leaf")
+    texts = lines.select("leaf", "line_id", "masked").join(F.broadcast(mixed) if few else mixed, "leaf")
     texts = stored(texts.groupBy("leaf", "line_id").agg(F.min("masked").alias("masked")), "leaves")
     tokens = texts.select("leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     common = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
@@ -82,15 +87,19 @@ def _general(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def parsed(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, pos, template``: the template of every line with tokens."""
-    lines = stored(_lines(docs).select("doc_id", "text_hash", "pos", "leaf", "line_id"), "lines")
-    general = _general(docs, lines).withColumn("general", F.lit(True))
+    # Stored with their texts, so that documents are read and masked once.
+    lines = stored(_lines(docs).select("doc_id", "text_hash", "pos", "leaf", "line_id", "masked"), "lines", compression="zstd")
+    general = _general(lines).withColumn("general", F.lit(True))
     template = F.when(F.col("general"), F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.col("line_id"))
     return lines.join(general, ["leaf", "line_id"], "left").select("doc_id", "text_hash", "pos", template.alias("template"))
 
 
 def drop_recurring(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines dropped from ``text``, and with ``n_lines`` and ``n_dropped``."""
+    since = stored_count()
     lines = stored(parsed(docs), "templates")
+    # The texts of all lines are no longer needed.
+    forget_stored(docs.sparkSession, since)
     recurring = lines.groupBy("template").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first"))
     # Stored, so that the join deals lines anew and adaptive execution can split those of a hot template.
     recurring = stored(recurring.filter(F.col("docs") >= MIN_DOCS).select("template", "first"), "recurring")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import bpe, chat, decontaminate, fingerprint, langid, linededup, pii, quality, queries, simhash, warc
+from ledgerloom.llm import bpe, chat, common, decontaminate, fingerprint, langid, linededup, pii, quality, queries, simhash, warc
 
 RANKS = public_tokenizers.path(queries.RANKS)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, component_id long"
@@ -449,6 +449,32 @@ def test_lines_of_two_documents_short_ones_and_scripts_without_spaces_recur(spar
     assert {r[0]: r[1] for r in duck.execute(f"SELECT doc_id, text FROM ({linededup.ORACLE})").fetchall()} == got
 
 
+def test_lines_are_parsed_once_and_their_texts_removed(spark, docs, monkeypatch):
+    seen, since = [], common.stored_count()
+    monkeypatch.setattr(linededup, "_lines", lambda docs, lines=linededup._lines: seen.append(docs) or lines(docs))
+    assert linededup.dedup_lines(docs).count() == docs.count()
+    assert len(seen) == 1
+    left = [folder.rsplit("/", 1)[-1].rsplit("-", 1)[0] for folder in common._stored[since:]]
+    assert left == ["templates", "recurring"]
+
+
+def test_lines_of_plain_texts_are_masked_like_any_other(spark):
+    plain = ["one line said here", " one line said here ", "the 1st of them", "x", "", " ", "é—“ok” ’tis", " 0 1 2", "end "]
+    rows = [(k, "\n".join(plain[k:] + plain[:k])) for k in range(len(plain))]
+    rows += [(100 + k, f"{line}\n{line}") for k, line in enumerate(plain)] + [(200 + k, f"{line}\n9 x\n漢\ta  b") for k, line in enumerate(plain)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    text = F.when(F.col("text").rlike(linededup.SIGN), F.regexp_replace("text", f"({linededup.SIGN})", " $1 ")).otherwise(F.col("text"))
+    wanted = frame.select("doc_id", F.posexplode(F.transform(F.split(text, "\n"), linededup.masked)).alias("pos", "masked")).filter("masked != ''")
+    wanted = wanted.withColumn("tokens", F.size(F.split("masked", " ")))
+    got = linededup._lines(frame).select(*wanted.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+    duck = duckdb.connect()
+    duck.register("documents", frame.toArrow())
+    assert dict(duck.execute(f"SELECT doc_id, text FROM ({linededup.ORACLE})").fetchall()) == {
+        r.doc_id: r.text for r in linededup.dedup_lines(frame).collect()
+    }
+
+
 def test_names_that_clash_with_columns_of_the_operators(spark):
     names = ["_hash", "_dropped", "kinds", "_row", "leaf", "fp", "text_hash", "rows", "root", "held_out"]
     rows = [(1, "one line\nsaid here twice", *names), (2, "said here twice\nanother line of it", *names), (None, None, *names)]
