@@ -381,7 +381,8 @@ def _clean(held):
                 made += [not hits for hits in held.value.find_all([text or "" for text in texts(part.column("text"))])]
             yield pa.array(made, pa.bool_())
 
-    return clean(F.col("text"))
+    # Not to be moved: put together with filters below it in a plan that isn't stored, it failed as one that can't be evaluated.
+    return clean.asNondeterministic()(F.col("text"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
