@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from ledger import ledger, line
-from ledgerloom.plans import layers, pnl, runs
+from ledgerloom.plans import layers, pnl, portions, postings, runs
 from ledgerloom.sources import landing
 
 
@@ -182,3 +182,41 @@ def test_a_failed_load_ends_after_the_others(spark, job, tmp_path):
     (tmp_path / "landed" / "TSPA.csv" / "odd.csv").write_text("SPART,VTEXT\n99,a\n")
     layers.refresh_raw(spark, job, ["TSPA", "ACDOCA"])
     assert lines_of(spark, job) == ["1"] and layers.read_layer(spark, job, "raw", "tspa").filter("SPART = '99'").count() == 1
+
+
+def test_the_fact_is_written_in_portions(spark, job, monkeypatch):
+    """Portions of the journal's files are queries of their own, so that the shuffles of one go before the next; rows and counts are the same."""
+    lines = [line(BUZEI=str(k), BELNR=None if k % 7 == 0 else f"{k % 5:010}", KUNNR=None if k % 3 else "K1") for k in range(48)]
+    raw = ledger(spark, lines)
+    land_all({**raw, "acdoca": raw["acdoca"].repartition(16)}, job)
+    layers.refresh_raw(spark, job)
+    whole = layers.refresh_conformed(spark, job)
+    columns = [*postings.COLUMNS, *postings.LINEAGE]
+    rows = layers.read_layer(spark, job, "conformed", postings.FACT).select(columns).collect()
+    read, build = [], postings.posting_rows
+    monkeypatch.setattr(postings, "posting_rows", lambda raw, **rest: read.append(raw["acdoca"]) or build(raw, **rest))
+    monkeypatch.setattr(portions, "PORTIONS", 4)
+    spark.conf.set(portions.PORTION_KEY, "1")
+    try:
+        counts = layers.refresh_conformed(spark, job)
+    finally:
+        spark.conf.unset(portions.PORTION_KEY)
+    assert len(read) == 4 and sum(part.count() for part in read) == 48
+    # Of each, only its own files are opened.
+    assert max(part.select("BUZEI").rdd.getNumPartitions() for part in read) <= 5
+    fact = layers.read_layer(spark, job, "conformed", postings.FACT)
+    assert sorted(map(str, fact.select(columns).collect())) == sorted(map(str, rows)) and counts == whole
+    assert fact.select("silver_transformation_ts").distinct().count() == 1
+
+
+def test_a_portion_may_have_no_lines(spark, job, monkeypatch):
+    land_all(ledger(spark, [line()]), job)
+    layers.refresh_raw(spark, job)
+    monkeypatch.setattr(portions, "PORTIONS", 2)
+    spark.conf.set(portions.PORTION_KEY, "1")
+    try:
+        # One of the files is that which names the table's columns.
+        assert layers.refresh_conformed(spark, job)[postings.FACT]["rows"] == 1
+    finally:
+        spark.conf.unset(portions.PORTION_KEY)
+    assert layers.read_layer(spark, job, "conformed", postings.FACT).count() == 1
